@@ -49,7 +49,7 @@ def chunk_table(
 
     ``columns`` maps metadata names to columns of ``documents``; a name without
     a column is a null string.  Texts too short to use and rows without a
-    document id give no chunk (see :func:`skipped_count`).  The index counts
+    document id give no chunk (:func:`index_summary` counts them).  The index counts
     the kept chunks of a document from 0.
     """
     columns = dict(
@@ -81,14 +81,18 @@ def chunk_table(
     ).select(*CHUNK_COLUMNS)
 
 
-def skipped_count(
+def index_summary(
     documents: DataFrame,
     text_column: str = "complaint_narrative",
     id_column: str = "complaint_id",
+    size: int = tx.CHUNK_SIZE,
+    overlap: int = tx.CHUNK_OVERLAP,
     min_length: int = tx.MIN_CHUNK_LENGTH,
 ) -> DataFrame:
-    """One row: documents used and documents skipped."""
+    """One row: chunks the documents give, documents used, documents skipped."""
+    pieces = F.size(tx.chunk_text(F.col("_clean"), size, overlap, min_length))
     return _cleaned(documents, text_column, id_column, min_length).agg(
+        F.sum(F.when(F.col("_usable"), pieces).otherwise(0)).alias("n_chunks"),
         F.count_if("_usable").alias("documents_used"),
         F.count_if(~F.col("_usable")).alias("documents_skipped"),
     )

@@ -33,8 +33,7 @@ def chunks_per_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = chunking.skipped_count(documents(spark, sf_dir), "text", "doc_id")
-    return chunking.index_count(chunks(spark, sf_dir)).crossJoin(used)
+    return chunking.index_summary(documents(spark, sf_dir), "text", "doc_id")
 
 
 def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
