@@ -27,7 +27,7 @@ def main(args):
             else:
                 verdict = f"rows only: {entry.queries()[name](spark, sf_dir).count()}"
         except Exception as exc:
-            verdict = f"ERROR {type(exc).__name__}: {str(exc)[:1500]}"
+            verdict = f"ERROR {type(exc).__name__}: {str(exc)[:500]}"
         print(f"{name:28s} {time.time() - start:6.1f}s {verdict}", flush=True)
 
 

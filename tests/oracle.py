@@ -24,6 +24,15 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
 def plain(value):
     if isinstance(value, bool) or value is None:
         return value
@@ -60,6 +69,14 @@ def compare(spark, query, sql, sf_dir):
     relation = duck(sf_dir).sql(sql)
     if sorted(frame.columns) != sorted(relation.columns):
         return f"columns {sorted(frame.columns)} / {sorted(relation.columns)}"
+    types = dict(zip(relation.columns, map(str, relation.types)))
+    uneven = {
+        f.name: (f.dataType.simpleString(), types[f.name])
+        for f in frame.schema
+        if TYPES.get(f.dataType.simpleString()) != types[f.name]
+    }
+    if uneven:
+        return f"types {uneven}"
     ours = canonical(frame.columns, [tuple(r) for r in frame.collect()])
     theirs = canonical(relation.columns, relation.fetchall())
     if len(ours) != len(theirs):
