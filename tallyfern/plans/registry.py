@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "table_queries", "monitor_queries")
+MODULES = ("text_queries", "table_queries", "monitor_queries", "ask_queries")
 
 
 def _collect(attribute: str) -> dict:
