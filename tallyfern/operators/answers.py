@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +27,7 @@ EVIDENCE_NOTE = "Evidence quality: %s (avg_similarity=%.3f, max_similarity=%.3f,
 EVIDENCE_ITEM = "%d. [Complaint ID: %s | Product: %s | Company: %s | Date: %s]\n   %s"
 ERROR_PREFIX = "LLM error: "
 DEFAULT_QUESTION = "What are common product complaints and issues?"
+CHUNK_LABEL, LABEL_ID_LENGTH = "Chunk %d: %s\u2026", 8
 THEME_NAME = "Complaint theme "
 THEME_PARTS, THEMED_IDS = 3, 9
 
@@ -59,9 +60,8 @@ def sufficient_chunks(ranked: DataFrame, min_similarity: float = MIN_SIMILARITY)
 
 def evidence_tiers(ranked: DataFrame) -> DataFrame:
     """Every chunk with the tier of its similarity and a short label."""
-    return ranked.withColumn("tier", tier(F.col("similarity"))).withColumn(
-        "label", F.concat(F.lit("Chunk "), F.col("rank").cast("string"))
-    )
+    label = F.format_string(CHUNK_LABEL, F.col("rank"), F.substring("chunk_id", 1, LABEL_ID_LENGTH))
+    return ranked.withColumn("tier", tier(F.col("similarity"))).withColumn("label", label)
 
 
 def _shown(c: str) -> Column:
@@ -302,9 +302,16 @@ def choose_filter(requests: DataFrame) -> DataFrame:
 
 
 def customer_intel(
-    scored: DataFrame, records: DataFrame, key: str = "request_id", model_version: str = ""
+    scored: DataFrame,
+    records: DataFrame,
+    key: str = "request_id",
+    model_version: str = "",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Scored customers with the answers to their questions, one row each."""
+    """Scored customers with the answers to their questions, one row each.
+
+    ``records`` has one row per key; several customers may share one.
+    """
     answered = records.select(
         key,
         F.col("question").alias("complaint_question"),
@@ -317,6 +324,7 @@ def customer_intel(
     )
     profile = scored.select(
         key,
+        *keep,
         F.round("probability", 6).alias("conversion_probability"),
         F.col("prediction").alias("conversion_prediction"),
         tier(F.col("probability")).alias("conversion_band"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfern.functions.text import chunk_text, clean_text
 from tallyfern.operators import answer_eval, answers, encoding, retrieval
 from tallyfern.plans.table_queries import table
 from tallyfern.plans.text_queries import CHUNKS_SQL, chunks
@@ -12,6 +13,7 @@ from tallyfern.plans.text_queries import CHUNKS_SQL, chunks
 DIMENSIONS = encoding.DIMENSIONS
 TIGHT_DISTANCE = 0.6
 STRONG_SIMILARITY = 0.75
+MEAN_REFUSAL = 0.65
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refused_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the 20 nearest of each mean survive a tight refusal distance."""
     kept = retrieval.retrieve(
-        vectors(spark, sf_dir), label_means(spark, sf_dir), 20, 0.45, chunk_key="vec_id"
+        vectors(spark, sf_dir), label_means(spark, sf_dir), 20, MEAN_REFUSAL, chunk_key="vec_id"
     )
     return kept.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n_kept"), F.round(F.max("similarity"), 6).alias("best_similarity")
@@ -67,7 +69,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     return items.select(
         F.col("item_id").alias("query_id"),
-        F.when(F.length("text") < 250, F.lit("  ")).otherwise(F.col("text")).alias("question"),
+        F.when(F.length("text") < 200, F.lit("  ")).otherwise(F.col("text")).alias("question"),
     )
 
 
@@ -161,16 +163,16 @@ def answer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Themes over the documents of each language and source, as evidence lists."""
-    listed = (
-        table(spark, sf_dir, "labels")
-        .join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
-        .groupBy(F.concat_ws("/", "lang", "source", (F.col("doc_id") % 97).cast("string")).alias("query_id"))
-        .agg(
-            F.transform(
-                F.sort_array(F.collect_list("doc_id")), lambda d: d.cast("string")
-            ).alias("evidence_ids")
-        )
+    """Themes over the windows of every document, listed as ``document:window``."""
+    pieces = chunk_text(clean_text(F.col("text")))
+    listed = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("query_id"),
+        F.transform(
+            pieces,
+            lambda p, i: F.concat_ws(
+                ":", F.col("doc_id").cast("string"), i.cast("string"), F.length(p).cast("string")
+            ),
+        ).alias("evidence_ids"),
     )
     rows = listed.select("query_id", F.inline(answers.themes(F.col("evidence_ids"))))
     return rows.withColumn("evidence_ids", F.array_join("evidence_ids", ","))
@@ -182,7 +184,7 @@ def theme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), (F.length("text") < 400).alias("expect_refused")
+        F.col("item_id").alias("query_id"), (F.length("text") < 220).alias("expect_refused")
     )
     return answer_eval.judge_cases(cases, _records(spark, sf_dir))
 
@@ -207,7 +209,7 @@ def answer_eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ASK_SQL = rf"""
 {CHUNKS_SQL}, asked AS (
-  SELECT item_id AS query_id, CASE WHEN length(text) < 250 THEN '  ' ELSE text END AS question
+  SELECT item_id AS query_id, CASE WHEN length(text) < 200 THEN '  ' ELSE text END AS question
   FROM benchmark
 ), words AS (
   SELECT chunk_id AS id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM chunks
@@ -319,9 +321,9 @@ RECORDS_SQL = _EVIDENCE_SQL + f""", given AS (
   FROM prepared LEFT JOIN given USING (query_id)
 )"""
 _JUDGED_SQL = RECORDS_SQL + """, judged AS (
-  SELECT b.item_id AS query_id, length(b.text) < 400 AS expect_refused, r.refused AS actual_refused,
+  SELECT b.item_id AS query_id, length(b.text) < 220 AS expect_refused, r.refused AS actual_refused,
          r.answer <> '' AND NOT r.refused AS answer_present,
-         r.refused = (length(b.text) < 400) AS refusal_correct,
+         r.refused = (length(b.text) < 220) AS refusal_correct,
          len(r.ids) > 0 AS evidence_ids_present, r.prompt_version = 'v1.0' AS prompt_version_ok,
          substring(r.answer, 1, 200) AS answer_preview
   FROM benchmark b JOIN records r ON b.item_id = r.query_id
@@ -372,12 +374,12 @@ SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM ranked""",
 SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM ranked""",
     "refused_queries": f"""WITH {_MEANS_SQL}, {_rank_sql("20")}
 SELECT query_id, count(*) AS n_kept, round(max(1 - distance / 2), 6) AS best_similarity
-FROM ranked WHERE distance < 0.45::DOUBLE GROUP BY query_id""",
+FROM ranked WHERE distance < {MEAN_REFUSAL}::DOUBLE GROUP BY query_id""",
     "ask_topk": f"""WITH {_found_sql(retrieval.REFUSAL_DISTANCE)}
 SELECT query_id, rank, chunk_id, complaint_id, round(distance, 6) AS distance,
        round(similarity, 6) AS similarity FROM found""",
     "evidence_tiers": f"""WITH {_found_sql(retrieval.REFUSAL_DISTANCE)}
-SELECT query_id, chunk_id, 'Chunk ' || rank AS label,
+SELECT query_id, chunk_id, 'Chunk ' || rank || ': ' || substring(chunk_id, 1, 8) || chr(8230) AS label,
        CASE WHEN similarity >= 0.7 THEN 'HIGH' WHEN similarity >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END
          AS tier FROM found""",
     "evidence_blocks": f"""WITH {_EVIDENCE_SQL}
@@ -390,10 +392,10 @@ SELECT query_id, NOT grounded AS refused, {_NOTE_SQL} AS evidence_sufficiency,
     "answer_records": f"""WITH {RECORDS_SQL}
 SELECT query_id, question, answer, refused, evidence_ids, evidence_sufficiency, prompt_version,
        retrieval_count, total_tokens, model FROM records""",
-    "themes": """WITH lists AS (
-  SELECT lang || '/' || source || '/' || (doc_id % 97) AS query_id,
-         list_transform(list_sort(list(doc_id)), lambda d: CAST(d AS VARCHAR)) AS ids
-  FROM labels JOIN documents USING (doc_id) GROUP BY 1
+    "themes": f"""WITH {CHUNKS_SQL}, lists AS (
+  SELECT doc_id AS query_id,
+         list_transform(ks, lambda k, i: doc_id || ':' || (i - 1) || ':' || length(k)) AS ids
+  FROM pieces
 ), sized AS (
   SELECT query_id, ids, greatest(1, len(ids) // 3) AS size, least(len(ids), 9) AS upto FROM lists
 ), starts AS (

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "table_queries", "monitor_queries", "ask_queries")
+MODULES = (
+    "text_queries",
+    "table_queries",
+    "monitor_queries",
+    "ask_queries",
+    "model_queries",
+    "stream_queries",
+)
 
 
 def _collect(attribute: str) -> dict:

@@ -12,7 +12,7 @@ from tallyfern.functions.text import is_nonempty
 from tallyfern.sources.paths import path_exists
 
 # Bank-marketing columns, in order.
-BANK_INTEGERS = ("age", "duration", "campaign", "pdays", "previous")
+BANK_INTEGERS = ("age", "duration", "campaign", "previous", "pdays")
 BANK_DOUBLES = ("emp_var_rate", "cons_price_idx", "cons_conf_idx", "euribor3m", "nr_employed")
 BANK_CATEGORIES = (
     "job", "marital", "education", "default", "housing",
