@@ -62,15 +62,17 @@ def chunk_table(
             "date": "date_received",
         }
     )
-    source = columns["complaint_id"]
-    usable = _cleaned(documents, text_column, source, min_length).where("_usable")
+    # No length test here: a text too short to use has no window to explode, and
+    # a filter on the cleaned text would clean every text twice.
+    identified = documents.where(F.col(columns["complaint_id"]).isNotNull())
+    cleaned = identified.withColumn("_clean", tx.clean_text(F.col(text_column)))
     metadata = [
         F.col(columns[name]).cast("string").alias(name)
         if name in columns
         else F.lit(None).cast("string").alias(name)
         for name in METADATA
     ]
-    pieces = usable.select(
+    pieces = cleaned.select(
         *metadata,
         F.posexplode(tx.chunk_text(F.col("_clean"), size, overlap, min_length)).alias(
             "chunk_index", "text"

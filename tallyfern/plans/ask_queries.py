@@ -9,6 +9,7 @@ from tallyfern.functions.text import chunk_text, clean_text
 from tallyfern.operators import answer_eval, answers, encoding, retrieval
 from tallyfern.plans.table_queries import table
 from tallyfern.plans.text_queries import CHUNKS_SQL, chunks
+from tallyfern.sources.tables import cut_lineage
 
 DIMENSIONS = encoding.DIMENSIONS
 TIGHT_DISTANCE = 0.6
@@ -76,7 +77,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _retrieved(
     spark: SparkSession, sf_dir: str, refusal: float = retrieval.REFUSAL_DISTANCE
 ) -> tuple[DataFrame, DataFrame]:
-    corpus = chunks(spark, sf_dir)
+    corpus = cut_lineage(chunks(spark, sf_dir))
     model = encoding.fit_hashed_tfidf(corpus.select("text"))
     asked = questions(spark, sf_dir)
     encoded = encoding.encode(asked.withColumnRenamed("question", "text"), model)

@@ -149,9 +149,11 @@ def sample_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    train, test = sampling.stratified_split(orders, "o_orderpriority", ["o_orderkey"], 0.2, SEED)
-    return train.withColumn("part", F.lit("train")).unionByName(
-        test.withColumn("part", F.lit("test"))
+    marked = sampling.mark_test_rows(orders, "o_orderpriority", ["o_orderkey"], 0.2, SEED)
+    return marked.select(
+        "o_orderkey",
+        "o_orderpriority",
+        F.when(F.col("is_test"), "test").otherwise("train").alias("part"),
     )
 
 

@@ -27,12 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows.
+    """``df`` evaluated once and marked for broadcast if it has at most
+    ``max_rows`` rows.
 
     The check reads no more than ``max_rows + 1`` rows.  A larger table comes
-    back without a hint, and the join that uses it stays a shuffle join with
-    AQE's skew handling.
+    back as it is, and the join that uses it stays a shuffle join with AQE's
+    skew handling.  Meant for narrow tables: the rows pass through the driver.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
