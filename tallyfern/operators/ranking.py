@@ -32,7 +32,7 @@ def _splits(rows: DataFrame, value: str, n_buckets: int | None, rows_per_bucket:
     shares = [i / n_buckets for i in range(1, n_buckets)]
     seen = rows if fraction == 1.0 else rows.sample(fraction, seed=0)
     limits = seen.agg(F.percentile_approx(number, shares, max(1_000, 4 * n_buckets))).first()[0]
-    return sorted(set(limits or []))
+    return sorted({x for x in limits or [] if math.isfinite(x)})
 
 
 def ranged_cumsum(
@@ -147,7 +147,10 @@ def exact_medians(
     if not cells:
         return df.sparkSession.createDataFrame([], "column string, median double")
     counted = df.select(F.inline(F.array(*cells))).where("_kept").withColumn("n", F.lit(1))
-    ranked = ranged_cumsum(counted, "value", ["n"], ["column", "_total"])
+    # The sketch bounds the distinct values left in all brackets together.
+    left = sum(bracket[f"n{i}"] for i in range(len(columns))) * 2 * (margin + 1 / accuracy)
+    n_buckets = max(1, math.ceil(left / ROWS_PER_BUCKET))
+    ranked = ranged_cumsum(counted, "value", ["n"], ["column", "_total"], n_buckets=n_buckets)
 
     def at(rank):
         inside = (rank <= F.col("cum_n")) & (rank > F.col("cum_n") - F.col("n"))

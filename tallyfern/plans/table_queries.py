@@ -12,9 +12,18 @@ from tallyfern.sources.readers import filter_nonempty_text, rename_project
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
 SEED = 42
 
+# Keys of the tables whose queries are heavy enough to spread a small file.
+KEYS = {
+    "documents": "doc_id",
+    "embeddings": "vec_id",
+    "events": "event_id",
+    "lineitem": "l_orderkey",
+    "orders": "o_orderkey",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", KEYS.get(name))
 
 
 def with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ DOCUMENT_COLUMNS = {"complaint_id": "doc_id", "product": "lang", "company": "sou
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/documents.parquet")
+    return read_table(spark, f"{sf_dir}/documents.parquet", "doc_id")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,16 +40,19 @@ NA_TOKENS = (
 _EXTRA = "_extra"
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
     """A parquet table, spread over the cluster when it has fewer splits than cores.
 
     Such a table is small (one split holds at most
     ``spark.sql.files.maxPartitionBytes``), so the extra exchange is cheap and
     lets CPU-heavy expressions use every core.  Larger tables are not moved.
+    ``spread_by`` names a key; without one the table stays as it is.
     """
     table = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    if spread_by and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores, spread_by)
+    return table
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
