@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfern.sources.tables import cut_lineage
+
 # Vector length and the batch size of a user encoder.
 DIMENSIONS = 384
 ENCODE_BATCH = 64
@@ -25,6 +27,23 @@ SELECT *, transform(
 FROM __THIS__"""
 
 
+def _counter(text_column: str, dimensions: int) -> PipelineModel:
+    slots = CountVectorizerModel.from_vocabulary(
+        [str(i) for i in range(dimensions)], inputCol="_buckets", outputCol="_counts"
+    )
+    words = SQLTransformer(statement=_BUCKETS.format(text=text_column, dimensions=dimensions))
+    return PipelineModel([words, slots])
+
+
+def _weigher() -> Pipeline:
+    return Pipeline(
+        stages=[
+            IDF(inputCol="_counts", outputCol="_weighted"),
+            Normalizer(p=2.0, inputCol="_weighted", outputCol="_unit"),
+        ]
+    )
+
+
 def fit_hashed_tfidf(
     chunks: DataFrame, text_column: str = "text", dimensions: int = DIMENSIONS
 ) -> PipelineModel:
@@ -33,16 +52,30 @@ def fit_hashed_tfidf(
     Fitting is one pass that keeps one counter per dimension.  All stages are
     Spark ML's own, so the model saves and loads as any pipeline does.
     """
-    slots = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(dimensions)], inputCol="_buckets", outputCol="_counts"
+    counter = _counter(text_column, dimensions)
+    weigher = _weigher().fit(counter.transform(chunks))
+    return PipelineModel([*counter.stages, *weigher.stages])
+
+
+def fit_and_encode(
+    chunks: DataFrame,
+    text_column: str = "text",
+    dimensions: int = DIMENSIONS,
+    output: str = "embedding",
+) -> tuple[PipelineModel, DataFrame]:
+    """The fitted encoder and the encoded chunks, with the words counted once.
+
+    The counts are written to the shared folder; fitting and encoding read them.
+    """
+    counter = _counter(text_column, dimensions)
+    counted = cut_lineage(counter.transform(chunks).drop("_buckets"))
+    if counted.isEmpty():
+        raise ValueError("there is no chunk to encode")
+    weigher = _weigher().fit(counted)
+    encoded = weigher.transform(counted).select(
+        *chunks.columns, vector_to_array("_unit", "float32").alias(output)
     )
-    stages = [
-        SQLTransformer(statement=_BUCKETS.format(text=text_column, dimensions=dimensions)),
-        slots,
-        IDF(inputCol="_counts", outputCol="_weighted"),
-        Normalizer(p=2.0, inputCol="_weighted", outputCol="_unit"),
-    ]
-    return Pipeline(stages=stages).fit(chunks)
+    return PipelineModel([*counter.stages, *weigher.stages]), encoded
 
 
 def encode(chunks: DataFrame, model: PipelineModel, output: str = "embedding") -> DataFrame:

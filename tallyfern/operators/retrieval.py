@@ -93,16 +93,15 @@ class _Best:
         self.rows: pa.Table | None = None
 
     def add(self, batch: pa.RecordBatch, units: np.ndarray, admitted: np.ndarray | None) -> None:
-        distances = 1.0 - units @ self.vectors.T
+        distances = 1.0 - self.vectors @ units.T
         if admitted is not None:
-            distances[~admitted] = np.inf
-        limit = self.limit
-        if len(distances) > self.k:
-            kth = np.partition(distances, self.k - 1, axis=0)[self.k - 1]
-            limit = np.minimum(limit, kth)
-        near, question = np.nonzero(
-            (distances <= limit[None, :] + SLACK) & np.isfinite(distances)
-        )
+            distances[~admitted.T] = np.inf
+        limit = self.limit.copy()
+        fresh = np.isinf(limit)
+        if fresh.any() and distances.shape[1] > self.k:
+            kth = np.partition(distances[fresh], self.k - 1, axis=1)[:, self.k - 1]
+            limit[fresh] = kth
+        question, near = np.nonzero((distances <= limit[:, None] + SLACK) & np.isfinite(distances))
         if not len(near):
             return
         # Summed per pair in one fixed order, so equal vectors score equally

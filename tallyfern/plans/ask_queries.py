@@ -9,7 +9,6 @@ from tallyfern.functions.text import chunk_text, clean_text
 from tallyfern.operators import answer_eval, answers, encoding, retrieval
 from tallyfern.plans.table_queries import table
 from tallyfern.plans.text_queries import CHUNKS_SQL, chunks
-from tallyfern.sources.tables import cut_lineage
 
 DIMENSIONS = encoding.DIMENSIONS
 TIGHT_DISTANCE = 0.6
@@ -77,14 +76,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _retrieved(
     spark: SparkSession, sf_dir: str, refusal: float = retrieval.REFUSAL_DISTANCE
 ) -> tuple[DataFrame, DataFrame]:
-    corpus = cut_lineage(chunks(spark, sf_dir))
-    model = encoding.fit_hashed_tfidf(corpus.select("text"))
+    model, index = encoding.fit_and_encode(chunks(spark, sf_dir))
     asked = questions(spark, sf_dir)
     encoded = encoding.encode(asked.withColumnRenamed("question", "text"), model)
     encoded = encoded.withColumnRenamed("text", "question")
-    found = retrieval.retrieve(
-        encoding.encode(corpus, model), encoded, refusal_distance=refusal
-    )
+    found = retrieval.retrieve(index, encoded, refusal_distance=refusal)
     return asked, found
 
 
@@ -353,7 +349,18 @@ def _rank_sql(k: str, condition: str = "true") -> str:
 )"""
 
 
+def approx_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the cells searched; compare with knn_topk for the recall."""
+    stored = vectors(spark, sf_dir)
+    cells = retrieval.fit_cells(stored, 8)
+    found = retrieval.approx_top_k(
+        retrieval.assign_cells(stored, cells), label_means(spark, sf_dir), cells, 4, chunk_key="vec_id"
+    )
+    return _near(found)
+
+
 QUERIES = {
+    "approx_topk": approx_topk,
     "knn_topk": knn_topk,
     "knn_filtered": knn_filtered,
     "refused_queries": refused_queries,

@@ -87,9 +87,10 @@ def train_and_gate(
 ) -> DataFrame:
     """Train both models, log their run, save them and log the gate's decision."""
     labelled = prep.encode_target(bank, target)
-    fitted, metrics = models.train_both(labelled, keys, numeric, categorical, **options)
+    fitted, metrics, seconds = models.train_both(labelled, keys, numeric, categorical, **options)
     metrics = cut_lineage(metrics)
-    models.log_run(metrics, f"{output}/runs", {k: str(v) for k, v in options.items()})
+    for name, took in seconds.items():
+        models.log_run(metrics.where(F.col("model") == name), f"{output}/runs", options, took)
     for name, model in fitted.items():
         models.save_model(model, f"{output}/{name}")
     return gate.gate_and_log(
@@ -108,15 +109,11 @@ def build_index(
     min_length: int = 30,
 ) -> int:
     """Chunk, encode and upsert documents; returns the number of chunks."""
-    chunks = cut_lineage(
-        chunk_table(documents, text_column, columns, size, overlap, min_length)
-    )
-    n = chunks.count()
-    if n == 0:
-        raise ValueError("no document gives a usable chunk")
-    encoder = encoding.fit_hashed_tfidf(chunks)
+    chunks = chunk_table(documents, text_column, columns, size, overlap, min_length)
+    encoder, encoded = encoding.fit_and_encode(chunks)
+    n = encoded.count()
     encoder.write().overwrite().save(model_path)
-    upsert_version(encoding.encode(chunks, encoder), base)
+    upsert_version(encoded, base)
     return n
 
 

@@ -37,11 +37,11 @@ def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole index refreshed by the same texts under a new company name,
-    arriving for the documents that start out under 1,000 characters."""
+    """The whole index with every text not in English arriving again under a new
+    company name."""
     docs = documents(spark, sf_dir)
     existing = chunking.chunk_table(docs, "text", DOCUMENT_COLUMNS)
-    edited = docs.where("n_chars < 1000").withColumn("source", F.concat("source", F.lit("-new")))
+    edited = docs.where("lang <> 'en'").withColumn("source", F.concat("source", F.lit("-new")))
     new = chunking.chunk_table(edited, "text", DOCUMENT_COLUMNS)
     return chunking.upsert_chunks(existing, new).select(
         "chunk_id", "complaint_id", "company", "chunk_index"
@@ -105,6 +105,6 @@ SELECT (SELECT count(*) FROM chunks) AS n_chunks,
        count(*) FILTER (WHERE length(c) < 30) AS documents_skipped FROM cleaned""",
     "upsert_chunks": f"""WITH {CHUNKS_SQL}
 SELECT chunk_id, complaint_id,
-       CASE WHEN n_chars < 1000 THEN company || '-new' ELSE company END AS company, chunk_index
+       CASE WHEN product <> 'en' THEN company || '-new' ELSE company END AS company, chunk_index
 FROM chunks""",
 }

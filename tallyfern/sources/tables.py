@@ -62,19 +62,26 @@ def upsert_version(rows: DataFrame, base: str, key: str = "chunk_id") -> int:
 
 
 def read_index(spark: SparkSession, base: str, key: str = "chunk_id") -> DataFrame:
-    """The newest row of every key over all finished versions."""
+    """The newest row of every key over all finished versions.
+
+    Rows drop out by an anti join with the keys of later versions: only those
+    narrow keys move, and Spark broadcasts them when their files are small, so
+    the bulk of the index is read where it lies.
+    """
     known = versions(spark, base)
     if not known:
         raise FileNotFoundError(f"no index version in {base}")
-    paths = [f"{base}/{VERSION}={n}" for n in known]
-    rows = spark.read.option("basePath", base).parquet(*paths)
-    if len(known) == 1:
-        return rows.drop(VERSION)
-    rest = [c for c in rows.columns if c not in (key, VERSION)]
-    newest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), VERSION).alias("_row"))
-    return newest.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(
-        *[c for c in rows.columns if c != VERSION]
-    )
+
+    def read(numbers: Sequence[int]) -> DataFrame:
+        paths = [f"{base}/{VERSION}={n}" for n in numbers]
+        return spark.read.option("basePath", base).parquet(*paths)
+
+    rows = read(known)
+    if len(known) > 1:
+        later = read(known[1:]).select(F.col(key).alias("_key"), F.col(VERSION).alias("_later"))
+        superseded = (F.col(key) == F.col("_key")) & (F.col("_later") > F.col(VERSION))
+        rows = rows.join(later, superseded, "left_anti")
+    return rows.drop(VERSION)
 
 
 def compact(spark: SparkSession, base: str, target: str, key: str = "chunk_id") -> None:
