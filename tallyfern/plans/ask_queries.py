@@ -349,6 +349,21 @@ def _rank_sql(k: str, condition: str = "true") -> str:
 )"""
 
 
+def filter_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as requests with a product filter, an issue filter, both or none."""
+    requests = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("question"),
+        F.nullif("c_mktsegment", F.lit("BUILDING")).alias("product_filter"),
+        F.when(F.col("c_acctbal") > 3000, F.col("c_nationkey").cast("string"))
+        .otherwise("")
+        .alias("issue_filter"),
+    )
+    return answers.choose_filter(requests).select(
+        "c_custkey", "question", "filter_key", "filter_value"
+    )
+
+
 def approx_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the cells searched; compare with knn_topk for the recall."""
     stored = vectors(spark, sf_dir)
@@ -361,6 +376,7 @@ def approx_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "approx_topk": approx_topk,
+    "filter_choice": filter_choice,
     "knn_topk": knn_topk,
     "knn_filtered": knn_filtered,
     "refused_queries": refused_queries,
@@ -376,6 +392,13 @@ QUERIES = {
 }
 
 ORACLES = {
+    "filter_choice": f"""
+SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_name ELSE '{answers.DEFAULT_QUESTION}' END AS question,
+       CASE WHEN c_mktsegment <> 'BUILDING' THEN 'product' WHEN c_acctbal > 3000 THEN 'issue' END
+         AS filter_key,
+       CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment
+            WHEN c_acctbal > 3000 THEN CAST(c_nationkey AS VARCHAR) END AS filter_value
+FROM customer""",
     "knn_topk": f"""WITH {_MEANS_SQL}, {_rank_sql("5")}
 SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM ranked""",
     "knn_filtered": f"""WITH {_MEANS_SQL}, {_rank_sql("query_id + 1", "label = (query_id + 1) % 10")}

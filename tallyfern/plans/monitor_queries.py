@@ -169,6 +169,35 @@ def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.withColumn("drifted_columns", F.array_join("drifted_columns", ","))
 
 
+def _accounts(spark: SparkSession, sf_dir: str, name: str, prefix: str) -> DataFrame:
+    balance, nation = F.col(f"{prefix}_acctbal"), F.col(f"{prefix}_nationkey")
+    return table(spark, sf_dir, name).select(
+        balance.alias("balance"),
+        nation.cast("string").alias("nation"),
+        F.when(balance < 0, "debt").otherwise("credit").alias("side"),
+    )
+
+
+def drift_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test statistics of suppliers as the reference and customers as current."""
+    ref, cur = (
+        _accounts(spark, sf_dir, "supplier", "s"),
+        _accounts(spark, sf_dir, "customer", "c"),
+    )
+    numbers = drift.numeric_statistics(ref, cur, ["balance"])
+    p = drift.kolmogorov_p(F.col("ks"), F.col("rows_ref"), F.col("rows_cur"))
+    words = drift.categorical_statistics(ref, cur, ["nation", "side"])
+    return numbers.select("column", F.lit("ks").alias("statistic"), F.round("ks", 6).alias("value")).unionByName(
+        numbers.select("column", F.lit("ks_p").alias("statistic"), F.round(p, 6).alias("value"))
+    ).unionByName(
+        words.select(
+            "column",
+            F.when(F.col("distinct_all") <= 2, "z").otherwise("chi_square").alias("statistic"),
+            F.round(F.when(F.col("distinct_all") <= 2, F.col("z")).otherwise(F.col("chi_square")), 6).alias("value"),
+        )
+    )
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the number in their payload as ``k``."""
     return table(spark, sf_dir, "events").select(
@@ -296,6 +325,7 @@ QUERIES = {
     "drift_categorical": drift_categorical,
     "drift_columns": drift_columns,
     "drift_summary": drift_summary,
+    "drift_accounts": drift_accounts,
     "events_by_type": events_by_type,
     "prediction_summary": prediction_summary,
     "rag_log_summary": rag_log_summary,
@@ -351,6 +381,33 @@ SELECT avg(drift_detected::INTEGER) >= 0.5 AS dataset_drift_detected,
        count(*) FILTER (WHERE NOT drift_detected) AS n_not_drifted_columns,
        string_agg("column", ',' ORDER BY "column") FILTER (WHERE drift_detected) AS drifted_columns
 FROM ({_DRIFT_SQL})""",
+    "drift_accounts": """WITH cells AS (
+  SELECT s_acctbal AS b, CAST(s_nationkey AS VARCHAR) AS nation, 1 AS r, 0 AS c FROM supplier
+  UNION ALL SELECT c_acctbal, CAST(c_nationkey AS VARCHAR), 0, 1 FROM customer
+), totals AS (SELECT sum(r)::DOUBLE AS n, sum(c)::DOUBLE AS m FROM cells),
+values_ AS (SELECT b, sum(r) AS r, sum(c) AS c FROM cells GROUP BY b),
+ks AS (
+  SELECT max(gap) AS d, any_value(n) AS n, any_value(m) AS m FROM (
+    SELECT abs(sum(r) OVER (ORDER BY b) / n - sum(c) OVER (ORDER BY b) / m) AS gap, n, m
+    FROM values_, totals)
+), nations AS (
+  SELECT nation, sum(r) AS r, sum(c) AS c FROM cells GROUP BY nation
+), debts AS (
+  SELECT sum(r) FILTER (WHERE b < 0) / any_value(n) AS p, sum(c) FILTER (WHERE b < 0) / any_value(m) AS q,
+         any_value(n) AS n, any_value(m) AS m FROM cells, totals
+)
+SELECT 'balance' AS "column", 'ks' AS statistic, round(d, 6) AS value FROM ks
+UNION ALL
+SELECT 'balance', 'ks_p', round(least(1, greatest(0, list_sum(list_transform(range(1, 101),
+  lambda k: CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2 * k * k * d * d * n * m / (n + m)))))), 6)
+FROM ks
+UNION ALL
+SELECT 'nation', 'chi_square', round(sum(CASE WHEN r > 0 THEN (c - r * m / n) ** 2 / (r * m / n)
+                                              WHEN c > 0 THEN 'Infinity'::DOUBLE END), 6)
+FROM nations, totals
+UNION ALL
+SELECT 'side', 'z', round(abs(p - q) / sqrt((p * n + q * m) / (n + m) * (1 - (p * n + q * m) / (n + m))
+                                            * (1 / n + 1 / m)), 6) FROM debts""",
     "events_by_type": "SELECT event_type, count(*) AS n_events FROM events GROUP BY event_type",
     "prediction_summary": f"""WITH {_EVENTS_SQL}
 SELECT count(*) AS count, round(avg(probability), 4) AS avg_probability,
