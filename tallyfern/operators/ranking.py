@@ -57,19 +57,30 @@ def ranged_cumsum(
     keys = [*by, "_range"]
     splits = _splits(rows, value, n_buckets, rows_per_bucket)
     grouped = rows.groupBy(*by, value).agg(*[F.sum(s).alias(s) for s in sums])
-    if splits:
-        cutter = Bucketizer(
-            splits=[-math.inf, *splits, math.inf], inputCol="_position", outputCol="_range"
-        )
-        grouped = cutter.transform(
-            grouped.withColumn("_position", F.col(value).cast("double"))
-        ).drop("_position")
-    else:
-        grouped = grouped.withColumn("_range", F.lit(0.0))
+    scope = Window.partitionBy(*(by or [F.lit(0)]))
 
     def ordered(c):
         return F.col(c).desc() if descending else F.col(c).asc()
 
+    if not splits:
+        # Few enough values for one range per group: no totals to carry over.
+        inside = scope.orderBy(ordered(value))
+        running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return grouped.select(
+            *by,
+            value,
+            *sums,
+            *[F.sum(s).over(running).alias(f"cum_{s}") for s in sums],
+            *[F.sum(s).over(scope).alias(f"total_{s}") for s in sums],
+            F.lead(value).over(inside).alias("next_value"),
+        )
+
+    cutter = Bucketizer(
+        splits=[-math.inf, *splits, math.inf], inputCol="_position", outputCol="_range"
+    )
+    grouped = cutter.transform(
+        grouped.withColumn("_position", F.col(value).cast("double"))
+    ).drop("_position")
     inside = Window.partitionBy(*keys).orderBy(ordered(value))
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = grouped.select(
@@ -84,7 +95,6 @@ def ranged_cumsum(
     ranges = grouped.groupBy(*keys).agg(
         *[F.sum(s).alias(f"_in_{s}") for s in sums], first.alias("_first")
     )
-    scope = Window.partitionBy(*(by or [F.lit(0)]))
     across = scope.orderBy(ordered("_range"))
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select(
