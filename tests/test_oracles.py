@@ -5,7 +5,7 @@ from oracle import compare
 
 import __spark_entry__ as entry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
