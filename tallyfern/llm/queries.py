@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfern.llm import bpe, decontamination, line_quality, simhash, substrings
+from tallyfern.llm import (
+    bpe,
+    decontamination,
+    html_extraction,
+    language_id,
+    line_quality,
+    pii,
+    simhash,
+    substrings,
+    toxicity,
+    warc,
+)
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -58,11 +69,75 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    found = language_id.identify(docs, model)
+    return found.select(
+        "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity(docs, model)
+    return scored.select("doc_id", language_id.held_out().alias("held_out"), "score", "predicted")
+
+
+def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two derived records of each page's response, by page."""
+    records = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")), keep=["page_id"])
+    return records.select(
+        "page_id",
+        "record_id",
+        "warc_type",
+        "target_uri",
+        "refers_to",
+        "content_type",
+        "block_digest",
+        F.col("fields")["WARC-Source-Payload-Digest"].alias("source_digest"),
+        F.length("block").cast("long").alias("content_length"),
+    )
+
+
+def _joined(spans: str) -> Column:
+    return F.concat_ws(
+        ",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    )
+
+
+def _number_of(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, pii.fit(docs))
+    counts = [_number_of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(_joined("base"), 256).alias("base_sha256"),
+        _joined("spans").alias("spans"),
+    )
+
+
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_extraction.extract(pages, html_extraction.fit(pages.select("page_id", "html")))
+
+
 QUERIES = {
     "op1_byte_bpe": byte_bpe,
+    "op2_language_id": languages,
     "op3_decontamination": decontaminate,
+    "op4_toxicity": toxic_documents,
+    "op5_warc_derivatives": warc_derivatives,
     "op6_simhash_groups": simhash_groups,
+    "op7_personal_data": personal_data,
     "op8_quality_rules": quality_rules,
+    "op9_html_text": page_text,
     "op10_substring_dedup": substring_dedup,
 }
 ORACLES: dict[str, str] = {}

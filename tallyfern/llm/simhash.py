@@ -272,8 +272,9 @@ def near_duplicates(
     keep: Sequence[str] = (),
     radius: int = RADIUS,
 ) -> DataFrame:
-    """``doc_id``, ``keep``, ``fingerprint`` (signed long) and ``component_id``, the
-    smallest doc_id of the documents that links reach from this one.
+    """``doc_id``, ``keep``, ``fingerprint`` (signed long), ``component_id``, the smallest
+    doc_id of the documents that links reach from this one, and
+    ``component_fingerprint``, the smallest fingerprint of them.
 
     Links join fingerprints that differ in at most ``radius`` bits.  Exact copies
     share a fingerprint and collapse before any shard is built, so a group of
@@ -296,7 +297,9 @@ def near_duplicates(
     ).withColumn("root", F.coalesce("root", "fingerprint"))
     # Only components of several fingerprints need their smallest id gathered.
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = labelled.join(least, "root").select("fingerprint", "component_id")
+    named = labelled.join(least, "root").select(
+        "fingerprint", "component_id", F.col("root").alias("component_fingerprint")
+    )
     return _by_fingerprint(marked, named)
 
 
