@@ -8,7 +8,7 @@ sorting the bucket's windows finds each window's smallest document exactly.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import itertools
 from collections.abc import Iterator, Sequence
 
@@ -27,14 +27,17 @@ from tallyfern.sources.tables import cut_lineage
 WINDOW_WORDS = 13
 MINIMISER_WORDS = 2
 #: Buckets for each shuffle partition.
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 8
 #: Text gathered before its super-k-mers are packed and sent.
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
+#: Bytes whose words are hashed at a time.
+STRETCH = 1 << 19
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 
 
+@functools.lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base modulo 2^64 and of its inverse."""
     inverse = pow(_BASE, -1, 1 << 64)
@@ -54,17 +57,29 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Word places and hashes of UTF-8 bytes whose words single blanks separate."""
+    """Word places and hashes of UTF-8 bytes whose words single blanks separate.
 
-    def __init__(self, data: bytes, powers: tuple[np.ndarray, np.ndarray]):
+    Hashes come from prefix sums over stretches of about ``STRETCH`` bytes, so that
+    the wide arrays stay small however long the data are.
+    """
+
+    def __init__(self, data: bytes):
         marks = np.frombuffer(data, np.uint8)
-        blank = marks <= 32
-        gaps = np.flatnonzero(blank)
-        self.ends = gaps if len(marks) and blank[-1] else np.append(gaps, len(marks))
+        gaps = np.flatnonzero(marks <= 32)
+        self.ends = gaps if len(marks) and marks[-1] <= 32 else np.append(gaps, len(marks))
         self.starts = np.append(0, self.ends[:-1] + 1)
-        sums = np.zeros(len(marks) + 1, np.uint64)
-        np.cumsum(marks.astype(np.uint64) * powers[0][: len(marks)], out=sums[1:])
-        self.hashes = _mixed((sums[self.ends] - sums[self.starts]) * powers[1][self.starts])
+        self.hashes = np.empty(len(self.ends), np.uint64)
+        first, n = 0, len(self.ends)
+        while first < n:
+            begin = self.starts[first]
+            stop = max(first + 1, int(np.searchsorted(self.ends, begin + STRETCH, side="right")))
+            part = marks[begin : self.ends[stop - 1]]
+            up, down = _powers(max(STRETCH, len(part)) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * up[: len(part)], out=sums[1:])
+            s, e = self.starts[first:stop] - begin, self.ends[first:stop] - begin
+            self.hashes[first:stop] = _mixed((sums[e] - sums[s]) * down[s])
+            first = stop
 
 
 def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -86,7 +101,7 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-ROW = np.dtype([("id", "<i8"), ("mark", "<i8"), ("first", "<i4"), ("windows", "<i4")])
+ROW = np.dtype([("id", "<i8"), ("mark", "<i4"), ("first", "<i4"), ("windows", "<i4")])
 
 
 class Packer:
@@ -100,7 +115,7 @@ class Packer:
 
     def __init__(self, buckets: int, window: int):
         self.buckets, self.window = buckets, window
-        self.compressor = zstandard.ZstdCompressor(level=3)
+        self.compressor = zstandard.ZstdCompressor(level=6)
         self.texts: list[tuple[int, int, bytes]] = []
         self.size = 0
 
@@ -118,7 +133,7 @@ class Packer:
         if not self.texts:
             return
         data = b"\n".join([t[2] for t in self.texts])
-        words = Words(data, _powers(len(data) + 1))
+        words = Words(data)
         ends_at = np.cumsum([len(t[2]) + 1 for t in self.texts]) - 1
         last = np.searchsorted(words.ends, ends_at, side="right")
         first = np.append(0, last[:-1])
@@ -138,7 +153,7 @@ class Packer:
         begin, end = words.starts[at].tolist(), words.ends[stops + self.window - 2].tolist()
         rows = np.zeros(len(at), ROW)
         rows["id"] = np.array([t[0] for t in self.texts], np.int64)[owner]
-        rows["mark"] = np.array([t[1] for t in self.texts], np.int64)[owner]
+        rows["mark"] = np.array([t[1] for t in self.texts], np.int32)[owner]
         rows["first"], rows["windows"] = at - first[owner], stops - at
         smallest: dict[bytes, int] = {}
         strings = [data[a:b] for a, b in zip(begin, end)]
@@ -178,7 +193,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
 def repeated_runs(rows: np.ndarray, data: bytes, window: int) -> np.ndarray:
     """Of a bucket's super-k-mers (one per line), the runs of windows that also
     start in a smaller document: rows of ``ROW``."""
-    words = Words(data, _powers(len(data) + 1))
+    words = Words(data)
     hashes = _rolled(words.hashes, window)
     owner = np.repeat(np.arange(len(rows)), rows["windows"])
     firsts = np.append(0, np.cumsum(rows["windows"].astype(np.int64) + window - 1)[:-1])
@@ -264,11 +279,11 @@ def repeated_windows(
         return _runs_frame(repeated_runs(rows, b"\n".join([d for _, d in unpacked]), window))
 
     source = docs.where(F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).cast("long"), F.xxhash64(text), F.col(text).cast("string")
+        F.col(doc_id).cast("long"), F.hash(text), F.col(text).cast("string")
     )
     packed = source.mapInArrow(pack, "bucket long, pack binary")
     return packed.groupBy("bucket").applyInPandas(
-        count, "id long, mark long, first int, windows int"
+        count, "id long, mark int, first int, windows int"
     )
 
 
@@ -295,7 +310,7 @@ def remove_repeated(
     )
     kept = [c for c in keep if c.lower() not in (doc_id.lower(), text.lower())]
     source = docs.select(
-        doc_id, *kept, F.col(text).cast("string").alias("__text"), F.xxhash64(text).alias("__mark")
+        doc_id, *kept, F.col(text).cast("string").alias("__text"), F.hash(text).alias("__mark")
     )
     matched = source.join(
         by_doc, (F.col(doc_id) == F.col("id")) & (F.col("__mark") == F.col("mark")), "left"
