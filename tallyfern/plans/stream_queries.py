@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfern.operators.chunking import chunks_per_group
+from tallyfern.operators.chunking import chunk_table, chunks_per_group
 from tallyfern.plans.text_queries import CHUNKS_SQL, DOCUMENT_COLUMNS
 from tallyfern.sources.session import shared_folder
-from tallyfern.sources.tables import read_index
+from tallyfern.sources.tables import read_index, upsert_version
 from tallyfern.streaming import streams
 
 
@@ -31,7 +31,7 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = _workplace(spark)
     counts = streams.running_event_counts(_events(spark, sf_dir))
     streams.to_table(counts, f"{place}/out", f"{place}/log", "complete").awaitTermination()
-    return spark.read.parquet(f"{place}/out")
+    return read_index(spark, f"{place}/out", None)
 
 
 def stream_request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def stream_request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     totals = streams.running_request_metrics(requests)
     streams.to_table(totals, f"{place}/out", f"{place}/log", "complete").awaitTermination()
-    return spark.read.parquet(f"{place}/out")
+    return read_index(spark, f"{place}/out", None)
 
 
 def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,20 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks_per_group(read_index(spark, f"{place}/index"), "product")
 
 
+def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One index built in batch, edited by an upsert and fed by a stream."""
+    place = _workplace(spark)
+    base, documents = f"{place}/index", spark.read.parquet(f"{sf_dir}/documents.parquet")
+    upsert_version(chunk_table(documents.where("doc_id % 3 = 0"), "text", DOCUMENT_COLUMNS), base)
+    edited = documents.where("doc_id % 6 = 0").withColumn("lang", F.lit("edited"))
+    upsert_version(chunk_table(edited, "text", DOCUMENT_COLUMNS), base)
+    arriving = _stream(spark, sf_dir, "documents").where("doc_id % 3 > 0")
+    streams.index_stream(arriving, base, f"{place}/log", "text", DOCUMENT_COLUMNS).awaitTermination()
+    return chunks_per_group(read_index(spark, base), "product")
+
+
 QUERIES = {
+    "index_versions": index_versions,
     "stream_event_counts": stream_event_counts,
     "stream_request_metrics": stream_request_metrics,
     "stream_hourly_counts": stream_hourly_counts,
@@ -81,6 +94,10 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type
        count(*) AS n_events FROM events GROUP BY date_trunc('hour', ts), event_type
 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR
        <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+    "index_versions": f"""WITH {CHUNKS_SQL}
+SELECT CASE WHEN CAST(complaint_id AS BIGINT) % 6 = 0 THEN 'edited' ELSE product END AS product,
+       count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars
+FROM chunks GROUP BY 1""",
     "stream_index": f"""WITH {CHUNKS_SQL}
 SELECT product, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars
 FROM chunks GROUP BY product""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfern.functions.text import is_nonempty
-from tallyfern.sources.paths import path_exists
+from tallyfern.sources.paths import path_exists, stored_bytes
 
 # Bank-marketing columns, in order.
 BANK_INTEGERS = ("age", "duration", "campaign", "previous", "pdays")
@@ -38,20 +38,20 @@ NA_TOKENS = (
 )
 
 _EXTRA = "_extra"
+#: Half of a default split.
+SPREAD_BYTES = 64 << 20
 
 
 def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
-    """A parquet table, spread over the cluster when it has fewer splits than cores.
+    """A parquet table; one of at most ``SPREAD_BYTES`` is dealt by ``spread_by``.
 
-    Such a table is small (one split holds at most
-    ``spark.sql.files.maxPartitionBytes``), so the extra exchange is cheap and
-    lets CPU-heavy expressions use every core.  Larger tables are not moved.
-    ``spread_by`` names a key; without one the table stays as it is.
+    A table smaller than a split is one task whatever the cluster, so dealing it lets
+    CPU-heavy expressions use the cores; the bytes bound what that exchange can
+    ever move.  Anything larger is read where it lies, and no result depends on it.
     """
     table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and table.rdd.getNumPartitions() < cores:
-        return table.repartition(cores, spread_by)
+    if spread_by and stored_bytes(spark, path) <= SPREAD_BYTES:
+        return table.repartition(spark.sparkContext.defaultParallelism, spread_by)
     return table
 
 

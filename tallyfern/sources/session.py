@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster that has it not installed.
+
+    Tasks name the package's functions instead of carrying them, so workers must be
+    able to import it.
+    """
+    root = Path(__file__).resolve().parents[2]
+    with tempfile.TemporaryDirectory() as folder:
+        archive = Path(folder) / "tallyfern.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted((root / "tallyfern").rglob("*.py")):
+                out.write(file, file.relative_to(root))
+        spark.sparkContext.addPyFile(str(archive))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared scratch folder, read from ``spark.checkpoint.dir``.
 

@@ -7,12 +7,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyfern.operators.chunking import one_per_key
-from tallyfern.sources.paths import child_names
+from tallyfern.sources.paths import child_names, create_once, read_small, remove
 from tallyfern.sources.session import shared_folder
 
 VERSION = "version"
+COMMITS = "_commits"
+ADDED, WHOLE = "added", "whole"
 
 
 def write_table(
@@ -36,18 +39,61 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def versions(spark: SparkSession, base: str) -> list[int]:
-    """Finished versions of an index, oldest first."""
-    prefix = f"{VERSION}="
-    numbers = [n for n in child_names(spark, base) if n.startswith(prefix)]
-    done = [n for n in numbers if "_SUCCESS" in child_names(spark, f"{base}/{n}")]
-    return sorted(int(n.removeprefix(prefix)) for n in done)
+def drop_cut(cut: DataFrame) -> None:
+    """Delete the files of a table that :func:`cut_lineage` returned, once whatever
+    reads it has been written."""
+    spark = cut.sparkSession
+    folder = shared_folder(spark).split(":", 1)[-1].lstrip("/")
+    for file in cut.inputFiles():
+        place = file.rpartition("/")[0]
+        if place.rpartition("/")[2].startswith("cut-") and folder in place:
+            remove(spark, place)
+
+
+def _commits(spark: SparkSession, base: str) -> list[tuple[int, str, bool]]:
+    """(number, version name, replaces all before) of an index, oldest first."""
+    found = []
+    for number in child_names(spark, f"{base}/{COMMITS}"):
+        name, _, kind = read_small(spark, f"{base}/{COMMITS}/{number}").partition(" ")
+        if name:  # a writer that died before it named its version left an empty file
+            found.append((int(number), name, kind == WHOLE))
+    return sorted(found)
 
 
-def write_version(rows: DataFrame, base: str, number: int, key: str = "chunk_id") -> None:
-    """Write ``rows``, one per key, as a version.  Writing the same number again
-    replaces it, so a replayed batch changes nothing."""
-    one_per_key(rows, key).write.mode("overwrite").parquet(f"{base}/{VERSION}={number}")
+def versions(spark: SparkSession, base: str) -> list[int]:
+    """Numbers of the committed versions of an index, oldest first."""
+    return [number for number, _, _ in _commits(spark, base)]
+
+
+def _commit(spark: SparkSession, base: str, name: str, kind: str, after: int | None = None) -> int:
+    """Give a written version the next number.  Creating the number's file is what
+    commits: of two writers that want one number, one gets the next.  With ``after``
+    the number must directly follow it, else -1 is returned."""
+    while True:
+        known = child_names(spark, f"{base}/{COMMITS}")
+        number = int(known[-1]) + 1 if known else 0
+        if after is not None and number != after + 1:
+            return -1
+        if create_once(spark, f"{base}/{COMMITS}/{number:012d}", f"{name} {kind}"):
+            return number
+
+
+def write_version(
+    rows: DataFrame, base: str, name: str, key: str | None = "chunk_id", kind: str = ADDED
+) -> int:
+    """Write ``rows``, one per key, as the version ``name``; returns its number.
+
+    A name belongs to one writer and batch.  A version that is committed already is
+    left as it is, so a replayed batch changes nothing, and no writer ever touches
+    another's rows.
+    """
+    spark = rows.sparkSession
+    for number, known, _ in _commits(spark, base):
+        if known == name:
+            return number
+    kept = rows if key is None else one_per_key(rows, key)
+    kept.write.mode("overwrite").parquet(f"{base}/{VERSION}={name}")
+    return _commit(spark, base, name, kind)
 
 
 def upsert_version(rows: DataFrame, base: str, key: str = "chunk_id") -> int:
@@ -55,35 +101,56 @@ def upsert_version(rows: DataFrame, base: str, key: str = "chunk_id") -> int:
 
     Only the new rows are written.  Readers take the newest row of each key.
     """
-    known = versions(rows.sparkSession, base)
-    number = known[-1] + 1 if known else 0
-    write_version(rows, base, number, key)
-    return number
+    return write_version(rows, base, uuid.uuid4().hex, key)
+
 
+def replace_all(rows: DataFrame, base: str, name: str) -> int:
+    """Commit ``rows`` as the whole table; readers of earlier versions keep theirs."""
+    return write_version(rows, base, name, None, WHOLE)
 
-def read_index(spark: SparkSession, base: str, key: str = "chunk_id") -> DataFrame:
-    """The newest row of every key over all finished versions.
+
+def read_index(spark: SparkSession, base: str, key: str | None = "chunk_id") -> DataFrame:
+    """The newest row of every key over the committed versions since the last whole one.
 
     Rows drop out by an anti join with the keys of later versions: only those
     narrow keys move, and Spark broadcasts them when their files are small, so
-    the bulk of the index is read where it lies.
+    the bulk of the index is read where it lies.  :func:`compact` keeps the number
+    of versions, and with it that join, small.
     """
-    known = versions(spark, base)
+    known = _commits(spark, base)
     if not known:
         raise FileNotFoundError(f"no index version in {base}")
-
-    def read(numbers: Sequence[int]) -> DataFrame:
-        paths = [f"{base}/{VERSION}={n}" for n in numbers]
-        return spark.read.option("basePath", base).parquet(*paths)
-
-    rows = read(known)
-    if len(known) > 1:
-        later = read(known[1:]).select(F.col(key).alias("_key"), F.col(VERSION).alias("_later"))
+    first = max((i for i, (_, _, whole) in enumerate(known) if whole), default=0)
+    names = [name for _, name, _ in known[first:]]
+
+    def read(some: Sequence[str]) -> DataFrame:
+        paths = [f"{base}/{VERSION}={n}" for n in some]
+        reader = spark.read.option("basePath", base).option("mergeSchema", True)
+        order = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
+        rows = reader.schema(_merged_schema(spark, paths)).parquet(*paths)
+        return rows.withColumn(VERSION, order[F.col(VERSION)])
+
+    rows = read(names)
+    if len(names) > 1 and key is not None:
+        later = read(names[1:]).select(F.col(key).alias("_key"), F.col(VERSION).alias("_later"))
         superseded = (F.col(key) == F.col("_key")) & (F.col("_later") > F.col(VERSION))
         rows = rows.join(later, superseded, "left_anti")
     return rows.drop(VERSION)
 
 
-def compact(spark: SparkSession, base: str, target: str, key: str = "chunk_id") -> None:
-    """Write the current index as the only version of ``target``."""
-    read_index(spark, base, key).write.mode("overwrite").parquet(f"{target}/{VERSION}=0")
+def _merged_schema(spark: SparkSession, paths: Sequence[str]) -> T.StructType:
+    """All columns of the versions, with the version's name as text."""
+    fields: dict[str, T.StructField] = {}
+    for path in paths:
+        for f in spark.read.parquet(path).schema.fields:
+            fields.setdefault(f.name, f)
+    return T.StructType([*fields.values(), T.StructField(VERSION, T.StringType())])
+
+
+def compact(spark: SparkSession, base: str, key: str = "chunk_id") -> int:
+    """Write the current index as one whole version; -1 if another writer committed
+    meanwhile, and the index is left as it was."""
+    last = versions(spark, base)[-1]
+    name = uuid.uuid4().hex
+    read_index(spark, base, key).write.parquet(f"{base}/{VERSION}={name}")
+    return _commit(spark, base, name, WHOLE, after=last)

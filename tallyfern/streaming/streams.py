@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyfern.operators import telemetry
+from tallyfern.operators import encoding, telemetry
 from tallyfern.operators.chunking import chunk_table
-from tallyfern.sources.tables import write_version
+from tallyfern.sources.tables import compact, replace_all, versions, write_version
 
 LATENESS = "10 minutes"
 
@@ -60,34 +61,51 @@ def to_table(
 ) -> StreamingQuery:
     """Run a stream over all waiting input into a parquet table and return it.
 
-    In complete mode every batch replaces the table.
+    In complete mode every batch commits the whole table as a version, which
+    ``read_index(spark, path, None)`` reads; readers of an earlier one keep theirs.
     """
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True)
     if mode == "append":
         return writer.format("parquet").option("path", path).start()
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def replace(batch: DataFrame, number: int) -> None:
+        replace_all(batch, path, _batch_name(batch, number))
 
     return writer.foreachBatch(replace).start()
 
 
+def _batch_name(batch: DataFrame, number: int) -> str:
+    """A name that no other stream or batch has: Spark keeps the query's id in its
+    checkpoint, so a replay has the same name and a new checkpoint another."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{query}-{number}"
+
+
 def index_stream(
     documents: DataFrame,
     base: str,
     checkpoint: str,
     text_column: str = "complaint_narrative",
     columns: Mapping[str, str] | None = None,
+    encoder: PipelineModel | None = None,
+    compact_after: int = 16,
 ) -> StreamingQuery:
-    """Chunk arriving documents into a versioned index.
+    """Chunk arriving documents into a versioned index, encoded if ``encoder`` is given.
 
-    A batch becomes the version of its number.  Chunk ids are content addresses
-    and a replay writes the same version, so the result is exactly-once.
+    A batch becomes a version named by the query and its number, beside whatever
+    other writers commit.  Chunk ids are content addresses and a replay finds its
+    version committed, so the result is exactly-once.  Every ``compact_after``
+    versions the index is written as one.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        write_version(chunk_table(batch, text_column, columns), base, number)
+        chunks = chunk_table(batch, text_column, columns)
+        if encoder is not None:
+            chunks = encoding.encode(chunks, encoder)
+        write_version(chunks, base, _batch_name(batch, number))
+        if len(versions(batch.sparkSession, base)) % compact_after == 0:
+            compact(batch.sparkSession, base)
 
     return (
         documents.writeStream.foreachBatch(add)

@@ -39,8 +39,8 @@ def test_preprocessor(spark, tmp_path):
     assert [r[1] for r in rows] == [0.0] * 5
     assert [tuple(r[2:]) for r in rows] == [(0, 0, 1), (1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 1)]
     path = str(tmp_path / "p")
-    prep.save_preprocessor(model, path)
-    again = prep.load_preprocessor(path)
+    models.save_model(model, path)
+    again = models.load_model(path)
     unseen = spark.createDataFrame([(3.0, 6, "green")], "x double, flat int, c string")
     assert prep.named_features(unseen, again).first()[2:] == (0.0, 0.0, 0.0)
     assert prep.named_features(train, again).collect() == rows
@@ -89,7 +89,7 @@ def test_train_save_score_and_gate(spark, tmp_path):
 
     rows = data.withColumn("age", F.when(F.col("id") == 0, 5).otherwise(F.col("age")))
     scored = models.batch_score(
-        rows, lambda d: models.score(d, model, ["id"]), quality.record_errors(), "id")
+        rows, lambda d: models.score(d, model, d.columns), quality.record_errors(), "id")
     bad = scored.where("error IS NOT NULL").collect()
     assert any("age is below 17" in r.error for r in bad)
     assert all((r.probability, r.prediction) == (0.0, 0) for r in bad)
@@ -164,8 +164,8 @@ def test_index_job_and_questions(spark, tmp_path):
     assert index.count() == n
     pipelines.build_index(documents(spark, 0, 60), base, encoder_path)
     assert tables.versions(spark, base) == [0, 1] and tables.read_index(spark, base).count() == n
-    tables.compact(spark, base, base + "-small")
-    assert tables.read_index(spark, base + "-small").count() == n
+    assert tables.compact(spark, base) == 2
+    assert tables.read_index(spark, base).count() == n
     asked = spark.createDataFrame(
         [(1, "complaint about account number 7", "Loan", None), (2, None, "Nowhere", None)],
         "query_id int, question string, product_filter string, issue_filter string")
@@ -179,6 +179,84 @@ def test_index_job_and_questions(spark, tmp_path):
         pipelines.build_index(documents(spark, 0, 3).withColumn("complaint_narrative", F.lit("x")), base, encoder_path)
 
 
+def test_blank_questions_are_refused(spark, tmp_path):
+    base, encoder_path = str(tmp_path / "index"), str(tmp_path / "encoder")
+    pipelines.build_index(documents(spark, 0, 20), base, encoder_path)
+    asked = spark.createDataFrame([(1, ""), (2, None), (3, " \n"), (4, "account number 7")], "query_id int, question string")
+    from pyspark.ml import PipelineModel
+
+    prepared = pipelines.ask(tables.read_index(spark, base), asked, PipelineModel.load(encoder_path))
+    assert {r.query_id: r.refused for r in prepared.collect()} == {1: True, 2: True, 3: True, 4: False}
+
+
+def test_stream_and_batches_share_an_index(spark, tmp_path):
+    base, encoder_path = str(tmp_path / "index"), str(tmp_path / "encoder")
+    n = pipelines.build_index(documents(spark, 0, 20), base, encoder_path)
+    from pyspark.ml import PipelineModel
+
+    encoder = PipelineModel.load(encoder_path)
+    source = str(tmp_path / "in")
+    documents(spark, 100, 10).write.parquet(source)
+    arriving = streams.read_stream(spark, source, spark.read.parquet(source).schema)
+
+    def feed(log):
+        streams.index_stream(arriving, base, f"{tmp_path}/{log}", encoder=encoder).awaitTermination()
+
+    feed("log")
+    index = tables.read_index(spark, base)
+    more = index.count()
+    assert more > n and index.where("embedding IS NULL").count() == 0
+    # a fresh checkpoint is another writer: its batch 0 is a version of its own
+    feed("log2")
+    assert tables.versions(spark, base) == [0, 1, 2] and tables.read_index(spark, base).count() == more
+    tables.upsert_version(index.limit(3).withColumn("product", F.lit("edited")), base)
+    assert tables.read_index(spark, base).where("product = 'edited'").count() == 3
+    assert tables.compact(spark, base) == 4
+    final = tables.read_index(spark, base)
+    assert final.count() == more and final.where("product = 'edited'").count() == 3
+
+
+def test_two_writers_never_get_one_number(spark, tmp_path):
+    from tallyfern.sources import paths
+
+    base = str(tmp_path)
+    rows = spark.createDataFrame([("a", 1)], "chunk_id string, x int")
+    assert paths.create_once(spark, f"{base}/_commits/{0:012d}", "")  # died before naming its version
+    assert not paths.create_once(spark, f"{base}/_commits/{0:012d}", "other added")
+    assert tables.upsert_version(rows, base) == 1
+    assert tables.write_version(rows.withColumn("x", F.lit(2)), base, "w-0") == 2
+    assert tables.write_version(rows.withColumn("x", F.lit(9)), base, "w-0") == 2
+    assert tables.read_index(spark, base).first().x == 2
+    assert tables._commit(spark, base, "late", tables.WHOLE, after=1) == -1
+
+
+def test_a_cut_is_deleted_and_nothing_else(spark, tmp_path):
+    cut = tables.cut_lineage(spark.range(3))
+    place = cut.inputFiles()[0].rpartition("/")[0]
+    tables.drop_cut(cut)
+    from tallyfern.sources import paths
+
+    assert not paths.path_exists(spark, place)
+    spark.range(3).write.parquet(f"{tmp_path}/kept")
+    tables.drop_cut(spark.read.parquet(f"{tmp_path}/kept"))
+    assert paths.path_exists(spark, f"{tmp_path}/kept")
+
+
+def test_drift_uses_the_whole_reference(spark, tmp_path):
+    ref = spark.range(5_000).select("id", F.when(F.col("id") < 2_000, 0.0).otherwise(50.0).alias("x"))
+    cur = spark.range(5_000).select("id", F.lit(0.0).alias("x"))
+    assert pipelines.run_drift(ref, cur, ["x"], [], f"{tmp_path}/a").first().dataset_drift_detected
+    windowed = pipelines.run_drift(ref, cur, ["x"], [], f"{tmp_path}/b", ["id"], reference_rows=2_000)
+    assert not windowed.first().dataset_drift_detected
+
+
+def test_ingest_keeps_all_rows_by_default(spark, tmp_path):
+    import inspect
+
+    bounds = inspect.signature(pipelines.ingest).parameters
+    assert bounds["complaints_sample"].default is None and bounds["bank_sample"].default is None
+
+
 def test_drift_job(spark, tmp_path):
     ref = spark.range(5_000).select("id", (F.col("id") % 100 / 10).alias("x"), F.lit("a").alias("c"))
     cur = ref.select("id", (F.col("x") + 5).alias("x"), "c")
