@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyfern.sources.tables import cut_lineage
+
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 10_000
 SAMPLED_PER_BUCKET = 2_000
 MEDIAN_ACCURACY = 10_000
 
@@ -25,7 +26,7 @@ def _splits(rows: DataFrame, value: str, n_buckets: int | None, rows_per_bucket:
     fraction = 1.0
     if n_buckets is None:
         n = rows.count()
-        n_buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
+        n_buckets = math.ceil(n / rows_per_bucket)
         fraction = min(1.0, SAMPLED_PER_BUCKET * n_buckets / max(1, n))
     if n_buckets <= 1:
         return []
@@ -55,8 +56,9 @@ def ranged_cumsum(
     itself, ``total_<sum>`` of the group, and ``next_value`` in the order.
     """
     keys = [*by, "_range"]
-    splits = _splits(rows, value, n_buckets, rows_per_bucket)
-    grouped = rows.groupBy(*by, value).agg(*[F.sum(s).alias(s) for s in sums])
+    # The input is read once: what follows rereads only its distinct values.
+    grouped = cut_lineage(rows.groupBy(*by, value).agg(*[F.sum(s).alias(s) for s in sums]))
+    splits = _splits(grouped, value, n_buckets, rows_per_bucket)
     scope = Window.partitionBy(*(by or [F.lit(0)]))
 
     def ordered(c):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -22,6 +23,7 @@ from pyspark.sql.window import Window
 from tallyfern.functions.text import is_nonempty
 from tallyfern.functions.vectors import DISTANCE_DECIMALS, similarity
 from tallyfern.sources.session import shared_folder
+from tallyfern.sources.tables import cut_lineage
 
 # Results per question and the refusal distance.
 TOP_K = 5
@@ -32,6 +34,7 @@ DOCUMENT_TOP_K = 10
 BLOCK_BYTES = 32 << 20
 PAIRS_PER_STEP = 4_000_000
 SLACK = 1e-8
+RANK_SALTS = 16
 
 
 @dataclass
@@ -134,12 +137,14 @@ def _search_block(
     vector: str,
     cell: str | None,
 ) -> DataFrame:
-    """The k nearest rows per question and task: one pass, nothing else leaves."""
-    carried = [f for f in chunks.schema.fields if f.name != vector]
+    """Keys and distances of the k nearest rows per question and task."""
+    carried = [chunks.schema[key]]
     extra = [T.StructField("distance", T.DoubleType()), T.StructField("_k", T.IntegerType())]
     schema = T.StructType([query_field, *carried, *extra])
     arrow_schema = to_arrow_schema(schema)
-    names = [f.name for f in carried]
+    used = {*block.filter_keys, key, vector, *([cell] if cell else [])} - {None}
+    names = [c for c in chunks.columns if c in used and c != vector]
+    chunks = _matching(chunks.select(*[c for c in chunks.columns if c in used]), block)
     shipped = chunks.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +158,8 @@ def _search_block(
                 best.add(batch.select(names), units, _allowed(batch, block, cell))
         if best.rows is not None:
             asked = best.pairs["q"].astype(int)
-            table = best.rows.add_column(0, query_field.name, pa.array([block.ids[q] for q in asked]))
+            table = best.rows.select([key])
+            table = table.add_column(0, query_field.name, pa.array([block.ids[q] for q in asked]))
             table = table.append_column("distance", pa.array(best.pairs["d"].to_numpy()))
             table = table.append_column("_k", pa.array([block.own_k[q] for q in asked], pa.int32()))
             yield from table.cast(arrow_schema).combine_chunks().to_batches()
@@ -161,6 +167,25 @@ def _search_block(
     return chunks.where(F.col(vector).isNotNull()).mapInArrow(run, schema)
 
 
+def _matching(chunks: DataFrame, block: _Block) -> DataFrame:
+    """Only rows that some question's filter admits, where every question has one:
+    a condition that reaches the scan."""
+    if any(k is None for k in block.filter_keys):
+        return chunks
+    admitted: dict[str, set[str]] = {}
+    for name, value in zip(block.filter_keys, block.filter_values):
+        admitted.setdefault(name, set()).add(value)
+    condition = F.lit(False)
+    for name, values in sorted(admitted.items()):
+        if isinstance(chunks.schema[name].dataType, T.IntegralType):
+            numbers = sorted(int(v) for v in values if v is not None and re.fullmatch(r"-?[0-9]{1,18}", v))
+            condition = condition | F.col(name).isin(numbers)
+        else:
+            texts = sorted(v for v in values if v is not None)
+            condition = condition | F.col(name).cast("string").isin(texts)
+    return chunks.where(condition)
+
+
 def _block_of(rows: list, vector: str, cell: str | None) -> _Block:
     own_k = [int(r["_k"]) for r in rows]
     return _Block(
@@ -174,10 +199,15 @@ def _block_of(rows: list, vector: str, cell: str | None) -> _Block:
     )
 
 
-def _ranked(found: DataFrame, query_key: str, chunk_key: str) -> DataFrame:
+def _ranked(found: DataFrame, query_key: str, chunk_key: str, k: int) -> DataFrame:
+    """The best of all tasks' candidates.  Each question's candidates are thinned by
+    salt first; both limits are literals, which Spark applies before it sorts."""
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64(chunk_key), F.lit(RANK_SALTS)))
+    part = Window.partitionBy(query_key, "_salt").orderBy("distance", chunk_key)
+    thinned = salted.withColumn("_place", F.row_number().over(part)).where(F.col("_place") <= k)
     order = Window.partitionBy(query_key).orderBy("distance", chunk_key)
-    ranked = found.withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= F.col("_k")).drop("_k")
+    ranked = thinned.drop("_salt", "_place").withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).where(F.col("rank") <= F.col("_k")).drop("_k")
 
 
 def top_k(
@@ -223,10 +253,15 @@ def top_k(
 
     def search(rows: list) -> DataFrame:
         block = _block_of(rows, vector, cell)
-        return _ranked(
-            _search_block(chunks, block, query_field, chunk_key, vector, cell), query_key, chunk_key
+        found = _search_block(chunks, block, query_field, chunk_key, vector, cell)
+        best = _ranked(found, query_key, chunk_key, block.k)
+        # At most k narrow rows per question of one block: bounded by the block's size.
+        rest = [c for c in chunks.columns if c != vector]
+        return chunks.select(*rest).join(F.broadcast(best), chunk_key).select(
+            query_key, *rest, "distance", "rank"
         )
 
+    asked = cut_lineage(asked)
     first = asked.select(F.size(vector)).first()
     per_block = max(1, block_bytes // (8 * max(1, first[0] if first else 1)))
     few = asked.limit(per_block + 1).collect()
