@@ -13,7 +13,7 @@ BLANK_CODEPOINTS = (
     + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
 BLANKS = "".join(chr(c) for c in BLANK_CODEPOINTS)
-BLANK_RUN = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+BLANK_RUN = "[" + "".join(f"\\u{c:04x}" for c in BLANK_CODEPOINTS) + "]+"
 REDACTION = r"(?iU)\bXX+\b"
 LONG_DASHES = "\u2013\u2014"
 

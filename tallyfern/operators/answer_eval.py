@@ -9,27 +9,27 @@ from tallyfern.operators.answers import PROMPT_VERSION
 
 PREVIEW = 200
 
-# The question set answers are judged on; one must be refused.
-CASE_QUESTIONS = {
-    "tc01": "What are the most common issues with credit cards?",
-    "tc02": "How do banks handle billing disputes?",
-    "tc03": "What problems do customers face with mortgage loans?",
-    "tc04": "Are there complaints about debt collection practices?",
-    "tc05": "What are common issues with student loan servicers?",
-    "tc06": "How frequently do consumers complain about identity theft?",
-    "tc07": "What issues arise with checking and savings accounts?",
-    "tc08": "Do complaints mention issues with credit reporting?",
-    "tc09": "What are common auto loan complaints?",
-    "tc10": "xyzzyqwerty123456 nonsense query with no match",
-    "tc11": "What happens when a bank ignores a customer's dispute?",
-    "tc12": "Are there payday loan complaints in the data?",
-}
-REFUSED_CASES = ("tc10",)
+# The question set that answers are judged on (id, question, whether a
+# refusal is expected, description).
+CASES = (
+    ("tc01", "What are the most common issues with credit cards?", False, "General credit card complaint query"),
+    ("tc02", "How do banks handle billing disputes?", False, "Billing dispute resolution query"),
+    ("tc03", "What problems do customers face with mortgage loans?", False, "Mortgage complaint query"),
+    ("tc04", "Are there complaints about debt collection practices?", False, "Debt collection issues query"),
+    ("tc05", "What are common issues with student loan servicers?", False, "Student loan servicing query"),
+    ("tc06", "How frequently do consumers complain about identity theft?", False, "Identity theft complaint frequency"),
+    ("tc07", "What issues arise with checking and savings accounts?", False, "Checking account complaints query"),
+    ("tc08", "Do complaints mention issues with credit reporting?", False, "Credit reporting issues query"),
+    ("tc09", "What are common auto loan complaints?", False, "Auto loan complaint query"),
+    ("tc10", "xyzzyqwerty123456 nonsense query with no match", True, "Nonsense query \u2014 should be refused"),
+    ("tc11", "What happens when a bank ignores a customer's dispute?", False, "Bank dispute resolution failure query"),
+    ("tc12", "Are there payday loan complaints in the data?", False, "Payday loan query"),
+)
 
 
 def default_cases(spark: SparkSession) -> DataFrame:
-    rows = [(key, text, key in REFUSED_CASES) for key, text in CASE_QUESTIONS.items()]
-    return spark.createDataFrame(rows, "query_id string, question string, expect_refused boolean")
+    kinds = "query_id string, question string, expect_refused boolean, description string"
+    return spark.createDataFrame(list(CASES), kinds)
 
 
 def judge_cases(

@@ -13,7 +13,7 @@ from tallyfern.functions.text import is_nonempty
 # Thresholds, cut-offs, texts and formats of answers.
 MIN_SIMILARITY = 0.25
 HIGH, MEDIUM = 0.7, 0.4
-PROMPT_VERSION = "v1.0"
+PROMPT_VERSION = "excerpts-1"
 REFUSAL_MESSAGE = (
     "I cannot provide a reliable answer to this question. "
     "The retrieved complaint evidence does not contain sufficient relevant information "
@@ -29,23 +29,23 @@ ERROR_PREFIX = "LLM error: "
 DEFAULT_QUESTION = "What are common product complaints and issues?"
 CHUNK_LABEL, LABEL_ID_LENGTH = "Chunk %d: %s\u2026", 8
 THEME_NAME = "Complaint theme "
-THEME_PARTS, THEMED_IDS = 3, 9
+THEME_PARTS = 3
 
-PROMPT_TEMPLATE = """Answer the question from the complaint excerpts below and from nothing else.
+#: Our own wording, under our own version; pass another template with its version.
+PROMPT_TEMPLATE = """A reader asks: {question}
 
-Question: {question}
-
-Excerpts ({n_chunks}):
+{n_chunks} excerpts were found:
 {evidence_block}
 
-Name the complaint IDs you used. Say so plainly if the excerpts do not answer the question.
-
-Answer:"""
+Reply in at most five sentences.
+"""
 
 ANSWER_COLUMNS = (
     "question", "answer", "refused", "evidence_ids", "evidence_sufficiency",
     "prompt_version", "retrieval_count", "token_usage", "latency_ms", "model",
 )
+#: Tasks that the customers of one question are dealt to.
+INTEL_SALTS = 16
 TOKEN_USAGE = "struct<prompt_tokens:int,completion_tokens:int,total_tokens:int>"
 
 
@@ -251,11 +251,15 @@ def answer_records(
     )
 
 
-def themes(ids: Column) -> Column:
-    """Evidence ids in runs of ``max(1, n // 3)`` that start before the ninth."""
+def themes(ids: Column, start_below: int | None = None) -> Column:
+    """Evidence ids in runs of ``max(1, n // 3)``; every id is in one.
+
+    With ``start_below`` only runs that start before that place are made.
+    """
     n = F.size(ids)
     size = F.greatest(F.lit(1), F.floor(n / THEME_PARTS).cast("int"))
-    starts = F.sequence(F.lit(0), F.least(n, F.lit(THEMED_IDS)) - 1, size)
+    last = n if start_below is None else F.least(n, F.lit(start_below))
+    starts = F.sequence(F.lit(0), last - 1, size)
     groups = F.transform(
         starts,
         lambda start, i: F.struct(
@@ -280,9 +284,10 @@ def theme_counts(records: DataFrame, query_key: str = "query_id") -> DataFrame:
     )
 
 
-def choose_filter(requests: DataFrame) -> DataFrame:
-    """Questions with the default text filled in and one metadata filter: the
-    product wins over the issue, which wins over an optional date."""
+def choose_filter(requests: DataFrame, default_question: str | None = None) -> DataFrame:
+    """Questions with one metadata filter: the product wins over the issue, which wins
+    over an optional date.  An empty or missing question becomes
+    ``default_question`` if one is given, else it stays as it is."""
     keys = [k for k in ("product", "issue", "date") if f"{k}_filter" in requests.columns]
     key = value = None
     for name in keys:
@@ -294,7 +299,9 @@ def choose_filter(requests: DataFrame) -> DataFrame:
     text = F.when(F.coalesce(F.col("question") != "", F.lit(False)), F.col("question"))
     return requests.withColumns(
         {
-            "question": text.otherwise(F.lit(DEFAULT_QUESTION)),
+            "question": F.col("question")
+            if default_question is None
+            else text.otherwise(F.lit(default_question)),
             "filter_key": missing if key is None else key,
             "filter_value": missing if value is None else value,
         }
@@ -308,9 +315,10 @@ def customer_intel(
     model_version: str = "",
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Scored customers with the answers to their questions, one row each.
+    """Every scored customer once, with the answer to its question where there is one.
 
-    ``records`` has one row per key; several customers may share one.
+    ``records`` has one row per key; any number of customers may share it, so its
+    rows are repeated per salt and a hot question's customers spread over tasks.
     """
     answered = records.select(
         key,
@@ -330,4 +338,6 @@ def customer_intel(
         tier(F.col("probability")).alias("conversion_band"),
         F.lit(model_version).alias("model_version"),
     )
-    return profile.join(answered, key)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in (keep or [key])]), F.lit(INTEL_SALTS)).cast("int")
+    copies = answered.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(INTEL_SALTS - 1))))
+    return profile.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -176,20 +176,38 @@ def normal_p(z: pd.Series) -> pd.Series:
 
 
 def _chi_square_tail(x: float, freedom: int) -> float:
-    """Upper tail by the recurrence over degrees of freedom in steps of two."""
+    """Upper tail: the regularised incomplete gamma function, by its series below the
+    mean and its continued fraction above.  Either settles within a few times the
+    square root of the degrees of freedom."""
     if math.isinf(x):
         return 0.0
     if freedom < 1 or x <= 0:
         return 1.0
-    half = x / 2
-    if freedom % 2:
-        tail, order = math.erfc(math.sqrt(half)), 0.5
-    else:
-        tail, order = math.exp(-half), 1.0
-    while order < freedom / 2:
-        tail += math.exp(order * math.log(half) - half - math.lgamma(order + 1))
-        order += 1
-    return min(1.0, tail)
+    a, z = freedom / 2, x / 2
+    scale = math.exp(a * math.log(z) - z - math.lgamma(a))
+    if z < a + 1:
+        term = total = 1 / a
+        order = a
+        while term > total * 1e-16:
+            order += 1
+            term *= z / order
+            total += term
+        return max(0.0, 1 - scale * total)
+    tiny = 1e-300
+    b = z + 1 - a
+    c, d = 1 / tiny, 1 / b
+    fraction, step, k = d, 0.0, 0
+    while abs(step - 1) > 1e-15 and k < 1_000_000:
+        k += 1
+        factor = -k * (k - a)
+        b += 2
+        d = factor * d + b
+        d = 1 / (d if abs(d) > tiny else tiny)
+        c = b + factor / c
+        c = c if abs(c) > tiny else tiny
+        step = d * c
+        fraction *= step
+    return min(1.0, scale * fraction)
 
 
 @pandas_udf(T.DoubleType())
@@ -204,12 +222,13 @@ def drift_by_column(
     numeric: Sequence[str] = (),
     categorical: Sequence[str] = (),
     n_buckets: int | None = None,
+    tests: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One row per monitored column: test name, score, drifted or not.
+    """One row per monitored column: test name, score, drifted or not, and every
+    statistic and p-value beside them.
 
-    A numeric column with few distinct values is tested as a category.  A
-    reference of more than 1,000 rows is judged by a distance, a smaller one by
-    a p-value.
+    ``tests`` fixes a column's test by name.  Other columns follow the policy of
+    :func:`test_by_reference_size`.
     """
     numeric = common_columns(numeric, reference, current)
     categorical = common_columns(categorical, reference, current)
@@ -222,34 +241,55 @@ def drift_by_column(
         raise ValueError("no monitored column is in both tables")
     stats = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
+    test = test_by_reference_size()
+    if tests:
+        pairs = [F.lit(part) for item in tests.items() for part in item]
+        test = F.coalesce(F.create_map(*pairs)[F.col("column")], test)
+    named = stats.withColumns(
+        {
+            "stattest": test,
+            "ks_p": kolmogorov_p(F.col("ks"), F.col("rows_ref"), F.col("rows_cur")),
+            "z_p": normal_p(F.col("z")),
+            "chi_square_p": chi_square_p(F.col("chi_square"), F.col("distinct_all") - 1),
+        }
+    )
+    scores = {
+        JENSEN_SHANNON: "jensen_shannon",
+        WASSERSTEIN: "wasserstein",
+        KOLMOGOROV_SMIRNOV: "ks_p",
+        PROPORTION_Z: "z_p",
+        CHI_SQUARE: "chi_square_p",
+    }
+    score = F.coalesce(*[F.when(F.col("stattest") == t, F.col(c)) for t, c in scores.items()])
+    by_distance = F.col("stattest").isin(JENSEN_SHANNON, WASSERSTEIN)
+    drifted = F.when(by_distance, score >= DISTANCE_LIMIT).otherwise(score < P_LIMIT)
+    return named.select(
+        "column",
+        "stattest",
+        F.round(score, 4).alias("drift_score"),
+        drifted.alias("drift_detected"),
+        "rows_ref",
+        "rows_cur",
+        "chi_square",
+        "z",
+        "ks",
+        *scores.values(),
+    )
+
+
+def test_by_reference_size() -> Column:
+    """The test a column gets by default: a numeric column with few distinct values is
+    tested as a category, a reference of more than 1,000 rows is judged by a
+    distance, a smaller one by a p-value."""
     counted = (F.col("kind") == "categorical") | (F.col("distinct_ref") <= FEW_VALUES)
     large = F.col("rows_ref") > LARGE_REFERENCE
-    test = (
+    return (
         F.when(large & counted, JENSEN_SHANNON)
         .when(large, WASSERSTEIN)
         .when(counted & (F.col("distinct_all") <= 2), PROPORTION_Z)
         .when(counted, CHI_SQUARE)
         .otherwise(KOLMOGOROV_SMIRNOV)
     )
-    named = stats.withColumn("stattest", test)
-    score = (
-        F.when(F.col("stattest") == JENSEN_SHANNON, F.col("jensen_shannon"))
-        .when(F.col("stattest") == WASSERSTEIN, F.col("wasserstein"))
-        .when(
-            F.col("stattest") == KOLMOGOROV_SMIRNOV,
-            kolmogorov_p(F.col("ks"), F.col("rows_ref"), F.col("rows_cur")),
-        )
-        .when(F.col("stattest") == PROPORTION_Z, normal_p(F.col("z")))
-        .otherwise(chi_square_p(F.col("chi_square"), F.col("distinct_all") - 1))
-    )
-    scored = named.withColumn("_score", score)
-    drifted = F.when(large, F.col("_score") >= DISTANCE_LIMIT).otherwise(F.col("_score") < P_LIMIT)
-    return scored.select(
-        "column",
-        "stattest",
-        F.round("_score", 4).alias("drift_score"),
-        drifted.alias("drift_detected"),
-    )
 
 
 def drift_summary(columns: DataFrame, drift_share: float = DRIFT_SHARE) -> DataFrame:

@@ -6,16 +6,20 @@ An event row is ``timestamp, event_type, payload`` with the payload as JSON.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfern.sources.paths import child_names
+
 # Event types, their payload fields and the preview length.
 PREDICTION = "ml_prediction"
 RAG_QUERY = "rag_query"
 QUERY_PREVIEW = 60
 PREDICTION_FIELDS = {"probability": "double", "prediction": "int", "latency_ms": "double"}
 RAG_FIELDS = {
+    "query": "string",
     "query_preview": "string",
     "n_results": "int",
     "refused": "boolean",
@@ -190,13 +194,39 @@ def metric_table(*summaries: DataFrame) -> DataFrame:
     return result
 
 
-def snapshot(events: DataFrame, folder: str) -> None:
-    """Write the events and their summary, both stamped with the same time."""
-    stamped = events.withColumn("generated_at", F.current_timestamp())
-    stamped.write.mode("append").parquet(f"{folder}/events")
-    (
-        events_by_type(events)
-        .withColumn("generated_at", F.current_timestamp())
-        .write.mode("append")
-        .parquet(f"{folder}/summary")
+def snapshot_summary(events: DataFrame) -> DataFrame:
+    """``section, metric, value`` of all events: counts by type, the summaries of
+    predictions and of questions."""
+    counts = events_by_type(events).select(
+        F.lit("events").alias("section"),
+        F.col("event_type").alias("metric"),
+        F.col("n_events").cast("double").alias("value"),
     )
+    predictions = prediction_summary(parsed(events, PREDICTION, PREDICTION_FIELDS))
+    questions = rag_log_summary(parsed(events, RAG_QUERY, RAG_FIELDS))
+    for section, summary in ((PREDICTION, predictions), (RAG_QUERY, questions)):
+        counts = counts.unionByName(
+            metric_table(summary).select(F.lit(section).alias("section"), "metric", "value")
+        )
+    return counts
+
+
+def snapshot(events: DataFrame, folder: str, since: datetime | None = None) -> datetime:
+    """Append the events later than ``since`` and the summary of all of them, both
+    stamped with one time fixed here; returns it, the ``since`` of the next call."""
+    now = datetime.now(timezone.utc)
+    stamp = F.lit(now.isoformat(sep=" ")).cast("timestamp")
+    new = events.where(F.col("timestamp") <= stamp)
+    if since is not None:
+        new = new.where(F.col("timestamp") > F.lit(since.isoformat(sep=" ")).cast("timestamp"))
+    new.withColumn("generated_at", stamp).write.mode("append").parquet(f"{folder}/events")
+    summary = snapshot_summary(events).withColumn("generated_at", stamp)
+    summary.write.mode("append").parquet(f"{folder}/summary")
+    return now
+
+
+def new_log(spark: SparkSession, base: str) -> str:
+    """A fresh, empty log folder below ``base``: the reset of an append-only log, which
+    leaves what was written before where it is."""
+    number = 1 + max((int(n[4:]) for n in child_names(spark, base) if n[4:].isdigit()), default=-1)
+    return f"{base}/log-{number:06d}"

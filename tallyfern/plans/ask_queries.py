@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tallyfern.functions.text import chunk_text, clean_text
 from tallyfern.operators import answer_eval, answers, encoding, retrieval
 from tallyfern.plans.table_queries import table
 from tallyfern.plans.text_queries import CHUNKS_SQL, chunks
+from tallyfern.sources.session import shared_folder
 
 DIMENSIONS = encoding.DIMENSIONS
 TIGHT_DISTANCE = 0.6
@@ -65,12 +68,14 @@ def refused_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as questions; the shortest texts arrive blank."""
+    """All benchmark items as questions, and blank ones under ids of their own."""
     items = table(spark, sf_dir, "benchmark")
-    return items.select(
-        F.col("item_id").alias("query_id"),
-        F.when(F.length("text") < 200, F.lit("  ")).otherwise(F.col("text")).alias("question"),
+    blank = items.where("item_id % 10 = 0").select(
+        (-1 - F.col("item_id")).alias("query_id"), F.lit("  ").alias("question")
     )
+    return items.select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("question")
+    ).unionByName(blank)
 
 
 def _retrieved(
@@ -124,10 +129,10 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def given_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first assistant turn of each conversation as an answer; long ones failed."""
+    """The first assistant turn of each conversation as an answer; some failed."""
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    failed = F.length("text") > 800
+    failed = F.pmod("conv_id", F.lit(7)) == 3
     return first.select(
         F.col("conv_id").alias("query_id"),
         F.when(~failed, F.col("text")).alias("answer"),
@@ -180,8 +185,8 @@ def theme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), (F.length("text") < 220).alias("expect_refused")
+    cases = questions(spark, sf_dir).select(
+        "query_id", (F.trim("question") == "").alias("expect_refused")
     )
     return answer_eval.judge_cases(cases, _records(spark, sf_dir))
 
@@ -206,8 +211,8 @@ def answer_eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ASK_SQL = rf"""
 {CHUNKS_SQL}, asked AS (
-  SELECT item_id AS query_id, CASE WHEN length(text) < 200 THEN '  ' ELSE text END AS question
-  FROM benchmark
+  SELECT item_id AS query_id, text AS question FROM benchmark
+  UNION ALL SELECT -1 - item_id, '  ' FROM benchmark WHERE item_id % 10 = 0
 ), words AS (
   SELECT chunk_id AS id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM chunks
 ), counted AS (
@@ -300,30 +305,30 @@ _HEAD, _MIDDLE, _TAIL = (
 )
 _JOINT = answers.PROMPT_TEMPLATE.split("{n_chunks}")[1].split("{evidence_block}")[0]
 RECORDS_SQL = _EVIDENCE_SQL + f""", given AS (
-  SELECT conv_id AS query_id, min_by(text, turn) AS text FROM conversations
-  WHERE role = 'assistant' GROUP BY 1
+  SELECT conv_id AS query_id, min_by(text, turn) AS text, conv_id % 7 = 3 AS failed
+  FROM conversations WHERE role = 'assistant' GROUP BY 1
 ), records AS (
   SELECT query_id, question,
          CASE WHEN NOT asked THEN '{answers.BLANK_QUESTION_MESSAGE}'
               WHEN NOT grounded THEN '{answers.REFUSAL_MESSAGE}'
               WHEN text IS NULL THEN 'LLM error: no answer'
-              WHEN length(text) > 800 THEN 'LLM error: timeout' ELSE text END AS answer,
-         NOT grounded OR text IS NULL OR length(text) > 800 AS refused,
+              WHEN failed THEN 'LLM error: timeout' ELSE text END AS answer,
+         NOT grounded OR text IS NULL OR failed AS refused,
          CASE WHEN grounded THEN evidence_ids ELSE '' END AS evidence_ids,
          CASE WHEN grounded THEN ids ELSE [] END AS ids,
          CASE WHEN grounded THEN complaints ELSE [] END AS complaints,
-         {_NOTE_SQL} AS evidence_sufficiency, 'v1.0' AS prompt_version, retrieval_count,
-         CASE WHEN grounded AND length(text) <= 800 THEN CAST(length(text) + 10 AS INTEGER) END
+         {_NOTE_SQL} AS evidence_sufficiency, '{answers.PROMPT_VERSION}' AS prompt_version, retrieval_count,
+         CASE WHEN grounded AND NOT failed THEN CAST(length(text) + 10 AS INTEGER) END
            AS total_tokens, 'given' AS model
   FROM prepared LEFT JOIN given USING (query_id)
 )"""
-_JUDGED_SQL = RECORDS_SQL + """, judged AS (
-  SELECT b.item_id AS query_id, length(b.text) < 220 AS expect_refused, r.refused AS actual_refused,
+_JUDGED_SQL = RECORDS_SQL + f""", judged AS (
+  SELECT query_id, trim(b.question) = '' AS expect_refused, r.refused AS actual_refused,
          r.answer <> '' AND NOT r.refused AS answer_present,
-         r.refused = (length(b.text) < 220) AS refusal_correct,
-         len(r.ids) > 0 AS evidence_ids_present, r.prompt_version = 'v1.0' AS prompt_version_ok,
+         r.refused = (trim(b.question) = '') AS refusal_correct,
+         len(r.ids) > 0 AS evidence_ids_present, r.prompt_version = '{answers.PROMPT_VERSION}' AS prompt_version_ok,
          substring(r.answer, 1, 200) AS answer_preview
-  FROM benchmark b JOIN records r ON b.item_id = r.query_id
+  FROM asked b JOIN records r USING (query_id)
 ), verdicts AS (
   SELECT *, CASE WHEN expect_refused THEN refusal_correct
                  ELSE answer_present AND evidence_ids_present AND prompt_version_ok END AS passed
@@ -359,23 +364,56 @@ def filter_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("")
         .alias("issue_filter"),
     )
-    return answers.choose_filter(requests).select(
+    return answers.choose_filter(requests, answers.DEFAULT_QUESTION).select(
         "c_custkey", "question", "filter_key", "filter_value"
     )
 
 
-def approx_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the cells searched; compare with knn_topk for the recall."""
+CELLS, PROBES = 8, 4
+
+
+def _by_cells(spark: SparkSession, sf_dir: str, probes: int) -> DataFrame:
+    """Vectors stored by cell; only the probed cells are read back."""
     stored = vectors(spark, sf_dir)
-    cells = retrieval.fit_cells(stored, 8)
-    found = retrieval.approx_top_k(
-        retrieval.assign_cells(stored, cells), label_means(spark, sf_dir), cells, 4, chunk_key="vec_id"
+    cells = retrieval.fit_cells(stored, CELLS)
+    place = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    retrieval.assign_cells(stored, cells).write.partitionBy("cell").parquet(place)
+    celled = spark.read.parquet(place)
+    asked = label_means(spark, sf_dir)
+    return _near(retrieval.approx_top_k(celled, asked, cells, probes, chunk_key="vec_id"))
+
+
+def approx_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the cells searched."""
+    return _by_cells(spark, sf_dir, PROBES)
+
+
+def approx_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell searched: the exact result."""
+    return _by_cells(spark, sf_dir, CELLS)
+
+
+def approx_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each question's exact results that half of the cells give."""
+    found = approx_topk(spark, sf_dir).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    exact = knn_topk(spark, sf_dir).select("query_id", "vec_id")
+    return exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(
+        F.avg(F.coalesce("hit", F.lit(0))).alias("recall")
+    )
+
+
+def chunks_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of one document, by place."""
+    return retrieval.chunks_of_document(chunks(spark, sf_dir), "7").select(
+        "chunk_id", "complaint_id", "chunk_index", "text"
     )
-    return _near(found)
 
 
 QUERIES = {
     "approx_topk": approx_topk,
+    "approx_all_cells": approx_all_cells,
+    "approx_recall": approx_recall,
+    "chunks_of_document": chunks_of_document,
     "filter_choice": filter_choice,
     "knn_topk": knn_topk,
     "knn_filtered": knn_filtered,
@@ -399,6 +437,11 @@ SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_name ELSE '{answers.DEFAULT_QUE
        CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment
             WHEN c_acctbal > 3000 THEN CAST(c_nationkey AS VARCHAR) END AS filter_value
 FROM customer""",
+    "chunks_of_document": f"""WITH {CHUNKS_SQL}
+SELECT chunk_id, complaint_id, chunk_index, text FROM chunks WHERE complaint_id = '7'
+ORDER BY chunk_index, chunk_id LIMIT {retrieval.DOCUMENT_TOP_K}""",
+    "approx_all_cells": f"""WITH {_MEANS_SQL}, {_rank_sql("5")}
+SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM ranked""",
     "knn_topk": f"""WITH {_MEANS_SQL}, {_rank_sql("5")}
 SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM ranked""",
     "knn_filtered": f"""WITH {_MEANS_SQL}, {_rank_sql("query_id + 1", "label = (query_id + 1) % 10")}
@@ -428,14 +471,14 @@ SELECT query_id, question, answer, refused, evidence_ids, evidence_sufficiency,
          list_transform(ks, lambda k, i: doc_id || ':' || (i - 1) || ':' || length(k)) AS ids
   FROM pieces
 ), sized AS (
-  SELECT query_id, ids, greatest(1, len(ids) // 3) AS size, least(len(ids), 9) AS upto FROM lists
+  SELECT query_id, ids, greatest(1, len(ids) // 3) AS size, len(ids) AS upto FROM lists
 ), starts AS (
   SELECT query_id, ids, size, unnest(range(0, upto, size)) AS s FROM sized
 )
 SELECT query_id, 'Complaint theme ' || (s // size + 1) AS theme,
        array_to_string(ids[s + 1 : s + size], ',') AS evidence_ids FROM starts""",
     "theme_counts": f"""WITH {RECORDS_SQL}, sized AS (
-  SELECT query_id, ids, greatest(1, len(ids) // 3) AS size, least(len(ids), 9) AS upto FROM records
+  SELECT query_id, ids, greatest(1, len(ids) // 3) AS size, len(ids) AS upto FROM records
 ), starts AS (
   SELECT query_id, ids, size, unnest(range(0, upto, size)) AS s FROM sized
 )

@@ -161,7 +161,8 @@ def drift_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drift_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.drift_by_column(*sides(spark, sf_dir), NUMERIC, CATEGORICAL)
+    columns = drift.drift_by_column(*sides(spark, sf_dir), NUMERIC, CATEGORICAL)
+    return columns.select("column", "stattest", "drift_score", "drift_detected")
 
 
 def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

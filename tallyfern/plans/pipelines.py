@@ -32,16 +32,19 @@ def ingest(
     complaints_file: str,
     output: str,
     bank_sample: int | None = None,
-    complaints_sample: int = 10_000,
+    complaints_sample: int | None = None,
     seed: int = SEED,
 ) -> tuple[DataFrame, DataFrame]:
-    """Read both datasets, sample them and write the samples."""
+    """Read both datasets, sample those with a size given, and write them."""
     bank = readers.read_bank_marketing(spark, bank_folder)
     if bank_sample is not None:
         bank = sampling.sample_n(bank, bank_sample, seed, bank.columns)
     # A multi-line CSV is parsed by one task: land it as parquet once.
     complaints = cut_lineage(readers.read_text_corpus(spark, complaints_file))
-    complaints = sampling.bounded_sample(complaints, complaints_sample, seed, complaints.columns)
+    if complaints_sample is not None:
+        complaints = sampling.bounded_sample(
+            complaints, complaints_sample, seed, complaints.columns
+        )
     write_table(bank, f"{output}/bank_sample")
     write_table(complaints, f"{output}/complaints_sample")
     return (
@@ -72,7 +75,7 @@ def build_features(
     prep.save_feature_schema(
         bank.sparkSession, prep.feature_schema(numeric, categorical, target), f"{output}/schema"
     )
-    prep.save_preprocessor(model, f"{output}/preprocessor")
+    models.save_model(model, f"{output}/preprocessor")
     return model
 
 
@@ -125,7 +128,8 @@ def ask(
     min_similarity: float = answers.MIN_SIMILARITY,
     k: int = retrieval.TOP_K,
 ) -> DataFrame:
-    """Questions with filters chosen, evidence gathered and prompts filled."""
+    """Questions with filters chosen, evidence gathered and prompts filled; blank
+    questions are refused."""
     chosen = answers.choose_filter(questions)
     texts = chosen.withColumnRenamed("question", "text")
     encoded = encoding.encode(texts, encoder).withColumnRenamed("text", "question")
@@ -139,12 +143,18 @@ def run_drift(
     numeric: Sequence[str],
     categorical: Sequence[str],
     output: str,
-    order: Sequence[str],
+    order: Sequence[str] = (),
     required: Sequence[str] = (),
-    reference_rows: int = 2_000,
+    reference_rows: int | None = None,
 ) -> DataFrame:
-    """Reference window against current rows: log columns and one event (D-9)."""
-    window = sampling.first_n(reference, reference_rows, required or order, order)
+    """Reference against current rows: log columns and one event (D-9).
+
+    The whole reference counts, or its first ``reference_rows`` by ``order`` if the
+    caller asks for a window.
+    """
+    window = reference
+    if reference_rows is not None:
+        window = sampling.first_n(reference, reference_rows, required or order, order)
     columns = cut_lineage(drift.drift_by_column(window, current, numeric, categorical))
     drift.save_drift(columns, f"{output}/columns")
     summary = drift.drift_summary(columns)

@@ -124,7 +124,7 @@ def test_encoders(spark, tmp_path):
 @pytest.mark.parametrize("n, themes", list(enumerate([0, 1, 2, 3, 4, 5, 3, 4, 4, 3, 3])) + [(20, 2)])
 def test_theme_counts(spark, n, themes):
     ids = F.array(*[F.lit(f"i{k}") for k in range(n)]).cast("array<string>")
-    got = spark.range(1).select(answers.themes(ids).alias("t")).first().t
+    got = spark.range(1).select(answers.themes(ids, 9).alias("t")).first().t
     assert len(got) == themes
     if n == 7:
         assert [t.theme for t in got] == [f"Complaint theme {i}" for i in range(1, 5)]
@@ -163,7 +163,7 @@ def test_answer_flow(spark):
         "2. [Complaint ID: 12 | Product:  | Company: Acme | Date: ]\n   second")
     assert rows[1].evidence_sufficiency == (
         "Evidence quality: HIGH (avg_similarity=0.700, max_similarity=0.900, n_chunks=2)")
-    assert "Question: why {n_chunks}?" in rows[1].prompt and "first {question}" in rows[1].prompt
+    assert "asks: why {n_chunks}?" in rows[1].prompt and "first {question}" in rows[1].prompt
     assert "Excerpts (2)" in rows[1].prompt and rows[2].prompt is None
 
     def load():
@@ -196,17 +196,30 @@ def test_answer_flow(spark):
     intel = answers.customer_intel(scored, records, "query_id").collect()
     assert sorted(r.conversion_band for r in intel) == ["HIGH", "LOW", "MEDIUM"]
     assert {tuple(r.cited_complaint_ids) for r in intel} == {("11", "12"), ()}
+    more = scored.unionByName(scored.limit(1).withColumn("query_id", F.lit(77)))
+    alone = [r for r in answers.customer_intel(more, records, "query_id").collect() if r.query_id == 77]
+    assert len(alone) == 1 and alone[0].complaint_answer is None and alone[0].complaint_themes is None
+
+
+@pytest.mark.parametrize("n", [1, 8, 33, 100])
+def test_every_id_has_a_theme(spark, n):
+    ids = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("string"))
+    got = spark.range(1).select(answers.themes(ids).alias("t")).first().t
+    assert [int(i) for t in got for i in t.evidence_ids] == list(range(1, n + 1))
 
 
 def test_filter_choice(spark):
     asked = spark.createDataFrame(
         [("q", "Card", "Fee"), (None, None, "Fee"), ("", "", None)],
         "question string, product_filter string, issue_filter string")
-    rows = answers.choose_filter(asked).collect()
+    kept = answers.choose_filter(asked).collect()
+    assert [r.question for r in kept] == ["q", None, ""]
+    rows = answers.choose_filter(asked, answers.DEFAULT_QUESTION).collect()
     assert [(r.question, r.filter_key, r.filter_value) for r in rows] == [
         ("q", "product", "Card"), (answers.DEFAULT_QUESTION, "issue", "Fee"), (answers.DEFAULT_QUESTION, None, None)]
 
 
 def test_default_cases(spark):
     cases = answer_eval.default_cases(spark)
+    assert cases.where("description = ''").count() == 0
     assert cases.count() == 12 and cases.where("expect_refused").count() == 1

@@ -39,7 +39,7 @@ def test_quality_rules(spark):
         "nonempty_complaints": (False, 1),
     }
     details = {r.check: r.details for r in records.collect()}
-    assert details["target_column"]["unexpected_values"] == '["maybe"]'
+    assert details["target_column"]["unexpected_distinct"] == "1"
     assert details["required_columns"]["missing_columns"] == "job"
     summary = quality.summary(records).first()
     assert (summary.passed, summary.n_failed) == (False, 7)
@@ -260,3 +260,66 @@ def test_monitor_summaries(spark, tmp_path):
     assert (empty.total_requests, empty.error_rate, empty.avg_latency_ms) == (0, 0.0, 0.0)
     telemetry.snapshot(log, str(tmp_path / "snap"))
     assert spark.read.parquet(str(tmp_path / "snap/events")).count() == 5
+
+
+@pytest.mark.parametrize("freedom", [1, 2, 3, 7, 40, 41, 1_000])
+def test_chi_square_tail(freedom):
+    """Against the finite sums that hold for whole degrees of freedom."""
+    for x in (0.01, freedom / 3, float(freedom), 1.2 * freedom, 2.0 * freedom + 5):
+        half = x / 2
+        tail, order = (math.erfc(math.sqrt(half)), 0.5) if freedom % 2 else (math.exp(-half), 1.0)
+        while order < freedom / 2:
+            tail += math.exp(order * math.log(half) - half - math.lgamma(order + 1))
+            order += 1
+        assert drift._chi_square_tail(x, freedom) == pytest.approx(min(1.0, tail), abs=1e-10)
+    assert drift._chi_square_tail(1e8, 10**8) == pytest.approx(0.5, abs=1e-3)
+    assert drift._chi_square_tail(math.inf, freedom) == 0.0 and drift._chi_square_tail(0.0, freedom) == 1.0
+
+
+def test_fixed_tests_and_every_statistic(spark):
+    ref = spark.range(400).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3).cast("string").alias("c"))
+    cur = spark.range(300).select((F.col("id") % 5).cast("double").alias("x"), (F.col("id") % 2).cast("string").alias("c"))
+    rows = {r.column: r for r in drift.drift_by_column(ref, cur, ["x"], ["c"], tests={"x": drift.WASSERSTEIN}).collect()}
+    assert rows["x"].stattest == drift.WASSERSTEIN and rows["x"].drift_score == round(rows["x"].wasserstein, 4)
+    assert rows["c"].stattest == drift.CHI_SQUARE and rows["c"].chi_square_p < 0.05 and rows["c"].z_p is not None
+
+
+def test_rows_without_a_label_are_left_out(spark):
+    rows = [("m", 1, 0.9), ("m", 0, 0.1), ("m", None, 0.8)]
+    scored = spark.createDataFrame(rows, "model string, label int, probability double")
+    got = metrics.metric_record(scored).first()
+    assert (got.true_positives, got.true_negatives, got.false_positives, got.roc_auc) == (1, 1, 0, 1.0)
+    assert metrics.unlabelled(scored).first().unlabelled_rows == 1
+
+
+def test_snapshots_append_only_new_events(spark, tmp_path):
+    scored = spark.createDataFrame([(0.5, 1, 2.0)], "probability double, prediction int, latency_ms double")
+    log = telemetry.prediction_events(scored, F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    folder = str(tmp_path / "s")
+    first = telemetry.snapshot(log, folder)
+    telemetry.snapshot(log, folder, first)
+    assert spark.read.parquet(f"{folder}/events").count() == 1
+    summary = spark.read.parquet(f"{folder}/summary")
+    stamps = {r[0] for r in spark.read.parquet(f"{folder}/events").select("generated_at").collect()}
+    assert stamps <= {r[0] for r in summary.select("generated_at").distinct().collect()}
+    assert {r.section for r in summary.collect()} == {"events", telemetry.PREDICTION, telemetry.RAG_QUERY}
+    assert telemetry.new_log(spark, str(tmp_path / "l")).endswith("log-000000")
+    log.write.parquet(telemetry.new_log(spark, str(tmp_path / "l")))
+    assert telemetry.new_log(spark, str(tmp_path / "l")).endswith("log-000001")
+
+
+def test_contract_checks_types(spark):
+    from tallyfern.operators import prep
+
+    schema = prep.feature_schema(["a"], ["b"])
+    prep.check_feature_schema(spark.createDataFrame([(1, "x")], "a int, b string"), schema)
+    with pytest.raises(ValueError, match="another type"):
+        prep.check_feature_schema(spark.createDataFrame([("1", "x")], "a string, b string"), schema)
+
+
+def test_more_unexpected_values_than_any_list(spark):
+    df = spark.range(3_000).select(F.col("id").cast("string").alias("y"))
+    rule = quality.allowed_values("y", ("1", "2"))
+    record = quality.run_checks(df, "d", [rule]).first()
+    assert record.details["unexpected_distinct"] == "2998"
+    assert quality.unexpected_values(df, "y", ("1", "2")).count() == 2998
