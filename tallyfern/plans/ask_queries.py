@@ -253,14 +253,14 @@ _ASK_SQL = rf"""
 )"""
 
 
-def _found_sql(refusal: float) -> str:
+def found_sql(refusal: float) -> str:
     return _ASK_SQL + f""", found AS (
   SELECT t.query_id, t.rank, t.distance, greatest(0, 1 - t.distance / 2) AS similarity, c.*
   FROM top t JOIN chunks c USING (chunk_id) WHERE t.distance < {refusal}::DOUBLE
 )"""
 
 
-_EVIDENCE_SQL = _found_sql(TIGHT_DISTANCE) + f""", good AS (
+_EVIDENCE_SQL = found_sql(TIGHT_DISTANCE) + f""", good AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i
   FROM found WHERE similarity >= {STRONG_SIMILARITY}::DOUBLE
 ), evidence AS (
@@ -449,10 +449,10 @@ SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM ranked""",
     "refused_queries": f"""WITH {_MEANS_SQL}, {_rank_sql("20")}
 SELECT query_id, count(*) AS n_kept, round(max(1 - distance / 2), 6) AS best_similarity
 FROM ranked WHERE distance < {MEAN_REFUSAL}::DOUBLE GROUP BY query_id""",
-    "ask_topk": f"""WITH {_found_sql(retrieval.REFUSAL_DISTANCE)}
+    "ask_topk": f"""WITH {found_sql(retrieval.REFUSAL_DISTANCE)}
 SELECT query_id, rank, chunk_id, complaint_id, round(distance, 6) AS distance,
        round(similarity, 6) AS similarity FROM found""",
-    "evidence_tiers": f"""WITH {_found_sql(retrieval.REFUSAL_DISTANCE)}
+    "evidence_tiers": f"""WITH {found_sql(retrieval.REFUSAL_DISTANCE)}
 SELECT query_id, chunk_id, 'Chunk ' || rank || ': ' || substring(chunk_id, 1, 8) || chr(8230) AS label,
        CASE WHEN similarity >= 0.7 THEN 'HIGH' WHEN similarity >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END
          AS tier FROM found""",

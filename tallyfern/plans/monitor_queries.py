@@ -297,7 +297,7 @@ def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_EVENTS_SQL = """
+EVENTS_SQL = """
 raw AS (SELECT event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 predictions AS (
   SELECT k / 100.0::DOUBLE AS probability, CASE WHEN k >= 50 THEN 1 ELSE 0 END AS prediction,
@@ -410,24 +410,24 @@ UNION ALL
 SELECT 'side', 'z', round(abs(p - q) / sqrt((p * n + q * m) / (n + m) * (1 - (p * n + q * m) / (n + m))
                                             * (1 / n + 1 / m)), 6) FROM debts""",
     "events_by_type": "SELECT event_type, count(*) AS n_events FROM events GROUP BY event_type",
-    "prediction_summary": f"""WITH {_EVENTS_SQL}
+    "prediction_summary": f"""WITH {EVENTS_SQL}
 SELECT count(*) AS count, round(avg(probability), 4) AS avg_probability,
        round(avg(prediction), 4) AS positive_rate, round(avg(latency_ms), 3) AS avg_latency_ms
 FROM predictions""",
-    "rag_log_summary": f"""WITH {_EVENTS_SQL}
+    "rag_log_summary": f"""WITH {EVENTS_SQL}
 SELECT count(*) AS count, {_RAG_SQL},
        round(coalesce(avg(avg_similarity) FILTER (WHERE avg_similarity > 0), 0), 4)
          AS avg_top_k_similarity FROM queries""",
-    "rag_monitor_summary": f"""WITH {_EVENTS_SQL}
+    "rag_monitor_summary": f"""WITH {EVENTS_SQL}
 SELECT count(*) AS total_queries, {_RAG_SQL}, count(*) FILTER (WHERE refused) AS refused_count,
        round(coalesce(avg(avg_similarity) FILTER (WHERE n_results > 0), 0), 4)
          AS avg_top_k_similarity,
        CAST(sum(total_tokens) AS BIGINT) AS total_tokens_used FROM queries""",
-    "event_previews": f"""WITH {_EVENTS_SQL}
+    "event_previews": f"""WITH {EVENTS_SQL}
 SELECT substring(query, 1, 60) AS query_preview, n_results, count(*) AS n_events,
        round(max(avg_similarity), 6) AS max_similarity FROM queries GROUP BY 1, 2""",
-    "request_metrics": f"WITH {_EVENTS_SQL} {_REQUESTS_SQL}",
-    "metric_table": f"""WITH {_EVENTS_SQL},
+    "request_metrics": f"WITH {EVENTS_SQL} {_REQUESTS_SQL}",
+    "metric_table": f"""WITH {EVENTS_SQL},
 a AS (SELECT * FROM ({_REQUESTS_SQL})),
 b AS (SELECT count(*) AS n, sum(prediction) AS p FROM predictions),
 c AS (SELECT count(*) AS n, count(*) FILTER (WHERE refused) AS r, avg(n_results) AS m FROM queries)

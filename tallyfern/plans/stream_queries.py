@@ -14,7 +14,7 @@ from tallyfern.sources.tables import read_index, upsert_version
 from tallyfern.streaming import streams
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return streams.read_stream(spark, sf_dir, schema, f"{name}.parquet")
 
@@ -24,7 +24,7 @@ def _workplace(spark: SparkSession) -> str:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, sf_dir, "events").withColumn("timestamp", F.col("ts").cast("timestamp"))
+    return stream_of(spark, sf_dir, "events").withColumn("timestamp", F.col("ts").cast("timestamp"))
 
 
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = _workplace(spark)
-    arriving = _stream(spark, sf_dir, "documents")
+    arriving = stream_of(spark, sf_dir, "documents")
     streams.index_stream(
         arriving, f"{place}/index", f"{place}/log", "text", DOCUMENT_COLUMNS
     ).awaitTermination()
@@ -69,7 +69,7 @@ def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     upsert_version(chunk_table(documents.where("doc_id % 3 = 0"), "text", DOCUMENT_COLUMNS), base)
     edited = documents.where("doc_id % 6 = 0").withColumn("lang", F.lit("edited"))
     upsert_version(chunk_table(edited, "text", DOCUMENT_COLUMNS), base)
-    arriving = _stream(spark, sf_dir, "documents").where("doc_id % 3 > 0")
+    arriving = stream_of(spark, sf_dir, "documents").where("doc_id % 3 > 0")
     streams.index_stream(arriving, base, f"{place}/log", "text", DOCUMENT_COLUMNS).awaitTermination()
     return chunks_per_group(read_index(spark, base), "product")
 
