@@ -140,4 +140,51 @@ QUERIES = {
     "op9_html_text": page_text,
     "op10_substring_dedup": substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_MARKED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BLANK_PARTED = r"[^\x20\x09-\x0D]+"
+
+#: What SQL can say; the other queries are tested against brute force and held-out rows.
+ORACLES: dict[str, str] = {
+    "op3_decontamination": f"""WITH docs AS (
+  SELECT doc_id, regexp_extract_all({_LOW}, '{_MARKED}') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all({_LOW}, '{_MARKED}') AS w FROM benchmark
+), windows AS (
+  SELECT item_id, array_to_string(w[s : s + 12], ' ') AS k, len(w[s : s + 12]) AS n
+  FROM items, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS u(s) WHERE len(w) > 0
+), tried AS (
+  SELECT doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') AS k
+  FROM docs, (SELECT DISTINCT n FROM windows), unnest(range(1, len(w) - n + 2)) AS u(s)
+), hits AS (
+  SELECT doc_id, s, tried.n, item_id FROM tried JOIN windows USING (k)
+), covered AS (
+  SELECT doc_id, count(DISTINCT i) AS n FROM hits, unnest(range(s, s + n)) AS u(i) GROUP BY 1
+), owners AS (
+  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY 1
+)
+SELECT doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(o.n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered c USING (doc_id) LEFT JOIN owners o USING (doc_id)""",
+    "op10_substring_dedup": f"""WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_BLANK_PARTED}') AS w FROM documents
+), windows AS (
+  SELECT doc_id, s, array_to_string(w[s : s + 12], ' ') AS k
+  FROM docs, unnest(range(1, len(w) - 11)) AS u(s)
+), firsts AS (
+  SELECT k, min(doc_id) AS m FROM windows GROUP BY k
+), gone AS (
+  SELECT DISTINCT doc_id, i FROM windows JOIN firsts USING (k), unnest(range(s, s + 13)) AS u(i)
+  WHERE m < doc_id
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t
+  FROM (SELECT doc_id, i, w[i] AS x FROM docs, unnest(range(1, len(w) + 1)) AS u(i))
+  ANTI JOIN gone USING (doc_id, i) GROUP BY 1
+), counts AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY 1
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+}

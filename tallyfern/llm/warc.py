@@ -247,7 +247,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     gigabyte, as crawls write them, give enough tasks.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
