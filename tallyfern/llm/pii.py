@@ -253,8 +253,8 @@ class SpanClassifier:
         return np.hstack([*hot, digits, shape[:, 1:] > 0, np.ones((len(votes), 1))]).astype(float)
 
     def accept(self, c: Candidate, limit: float = ACCEPT) -> bool:
-        if c.kind not in self.weights:
-            return False
+        if c.kind not in self.weights or c.votes[VOTES.index("checksum")] < 0:
+            return False  # a failed checksum is proof, not one vote among others
         x = self.features(np.array([c.votes]), np.array([c.shape]))[0]
         return bool(1 / (1 + np.exp(-np.clip(x @ self.weights[c.kind], -30, 30))) >= limit)
 
