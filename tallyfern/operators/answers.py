@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfern.functions.text import is_nonempty
+from tallyfern.sources.tables import cut_lineage
 
 # Thresholds, cut-offs, texts and formats of answers.
 MIN_SIMILARITY = 0.25
@@ -176,7 +177,8 @@ def generate_answers(
 
     ``load_model`` runs once per task; the function it returns maps a prompt to
     text, prompt tokens and completion tokens.  A raised error becomes the row's
-    error text.
+    error text.  The answers are written to the shared folder here, so that no later
+    use of them calls the model again; ``prepared`` is best cut by the caller too.
     """
     kind = prepared.schema[query_key].dataType.simpleString()
     schema = (
@@ -203,7 +205,7 @@ def generate_answers(
             yield pd.DataFrame(out, columns=[query_key, *names, "latency_ms", "error"])
 
     waiting = prepared.where(~F.col("refused")).select(query_key, "prompt")
-    return waiting.mapInPandas(run, schema)
+    return cut_lineage(waiting.mapInPandas(run, schema))
 
 
 def answer_records(

@@ -21,7 +21,7 @@ from tallyfern.operators import (
 )
 from tallyfern.operators.chunking import chunk_table
 from tallyfern.sources import readers
-from tallyfern.sources.tables import cut_lineage, upsert_version, write_table
+from tallyfern.sources.tables import cut_lineage, drop_cut, upsert_version, write_table
 
 SEED = 42
 
@@ -40,13 +40,14 @@ def ingest(
     if bank_sample is not None:
         bank = sampling.sample_n(bank, bank_sample, seed, bank.columns)
     # A multi-line CSV is parsed by one task: land it as parquet once.
-    complaints = cut_lineage(readers.read_text_corpus(spark, complaints_file))
+    complaints = landed = cut_lineage(readers.read_text_corpus(spark, complaints_file))
     if complaints_sample is not None:
         complaints = sampling.bounded_sample(
             complaints, complaints_sample, seed, complaints.columns
         )
     write_table(bank, f"{output}/bank_sample")
     write_table(complaints, f"{output}/complaints_sample")
+    drop_cut(landed)
     return (
         readers.read_sample(spark, f"{output}/bank_sample"),
         readers.read_sample(spark, f"{output}/complaints_sample"),

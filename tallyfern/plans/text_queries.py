@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfern.operators import chunking
 from tallyfern.sources.readers import read_table
+from tallyfern.sources.tables import cut_lineage
 
 # documents stands in for the complaint table.
 DOCUMENT_COLUMNS = {"complaint_id": "doc_id", "product": "lang", "company": "source"}
@@ -42,7 +43,7 @@ def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     existing = chunking.chunk_table(docs, "text", DOCUMENT_COLUMNS)
     edited = docs.where("lang <> 'en'").withColumn("source", F.concat("source", F.lit("-new")))
-    new = chunking.chunk_table(edited, "text", DOCUMENT_COLUMNS)
+    new = cut_lineage(chunking.chunk_table(edited, "text", DOCUMENT_COLUMNS))
     return chunking.upsert_chunks(existing, new).select(
         "chunk_id", "complaint_id", "company", "chunk_index"
     )

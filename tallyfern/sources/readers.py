@@ -90,17 +90,12 @@ def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
     return spark.read.csv(path, sep=sep, header=True, quote='"', escape='"').columns
 
 
-def _delimited(
-    spark: SparkSession, path: str, sep: str, multiline: bool, tokens: Sequence[str]
-) -> DataFrame:
-    """All-string read where short lines are padded and long lines are dropped.
-
-    One sentinel column after the header's catches the surplus of a long line.
-    DROPMALFORMED would decide by the columns a query happens to select.
-    """
+def _padded(spark: SparkSession, path: str, sep: str, multiline: bool) -> DataFrame:
+    """All-string read where short lines are padded; one sentinel column after the
+    header's catches the surplus of a long line."""
     names = _header(spark, path, sep)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
-    raw = spark.read.csv(
+    return spark.read.csv(
         path,
         schema=schema,
         sep=sep,
@@ -111,8 +106,22 @@ def _delimited(
         escape='"',
         mode="PERMISSIVE",
     )
-    kept = raw.where(F.col(_EXTRA).isNull()).select(*[F.col(f"`{n}`") for n in names])
-    return missing_tokens_to_null(kept, tokens)
+
+
+def _delimited(
+    spark: SparkSession, path: str, sep: str, multiline: bool, tokens: Sequence[str]
+) -> DataFrame:
+    """All-string read without the lines that are too long (:func:`rejected_lines`
+    counts them).  DROPMALFORMED would decide by the columns a query selects."""
+    raw = _padded(spark, path, sep, multiline)
+    return missing_tokens_to_null(raw.where(F.col(_EXTRA).isNull()).drop(_EXTRA), tokens)
+
+
+def rejected_lines(
+    spark: SparkSession, path: str, sep: str = ",", multiline: bool = True
+) -> int:
+    """Lines with more fields than the header, which the readers leave out."""
+    return _padded(spark, path, sep, multiline).where(F.col(_EXTRA).isNotNull()).count()
 
 
 def read_delimited_first_available(

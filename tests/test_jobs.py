@@ -132,6 +132,7 @@ def test_ingest_job(spark, tmp_path):
     corpus = readers.read_text_corpus(spark, str(file))
     rows = {r.complaint_id: r.complaint_narrative for r in corpus.where("product = 'Card'").collect()}
     assert rows == {"1": 'two\nlines with "quotes"', None: "no id on this short line"}
+    assert readers.rejected_lines(spark, str(file)) == 1
     assert corpus.columns == list(quality.COMPLAINT_COLUMNS) or set(corpus.columns) == set(quality.COMPLAINT_COLUMNS)
 
     out = str(tmp_path / "out")
