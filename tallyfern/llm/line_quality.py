@@ -162,7 +162,8 @@ def judge_quality(
     named as an output column gives way to it.
     """
     named = docs.withColumn("__host", F.coalesce(F.col(host).cast("string"), F.lit("")))
-    kept = [c for c in keep if c.lower() not in {f.name.lower() for f in STATISTICS}]
+    made = {"n_boilerplate_words", "base_failed", "kept", *(f.name.lower() for f in STATISTICS)}
+    kept = [c for c in keep if c.lower() not in made]
     statistics = cut_lineage(
         line_statistics(named, text, [*kept, "__host"]).withColumn(
             "__row", F.monotonically_increasing_id()

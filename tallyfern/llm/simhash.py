@@ -284,8 +284,10 @@ def near_duplicates(
     Null and word-less texts have fingerprint zero and are linked like any other.
     A null doc_id is never the smallest; a component of null ids only has a null
     component_id.  Repeated rows stay.  No rows in, no rows out.
+    A column of ``keep`` named as an output column gives way to it.
     """
-    kept = [doc_id, *[c for c in keep if c.lower() != doc_id.lower()]]
+    made = (doc_id.lower(), "fingerprint", "component_id", "component_fingerprint")
+    kept = [doc_id, *[c for c in keep if c.lower() not in made]]
     marked = cut_lineage(fingerprints(docs, text, kept))
     distinct = cut_lineage(
         marked.groupBy("fingerprint").agg(F.min(doc_id).alias("least_id"))

@@ -305,15 +305,15 @@ def remove_repeated(
     doc_id don't count as smaller than each other.
     """
     runs = repeated_windows(docs, text, doc_id, window)
-    by_doc = runs.groupBy("id", "mark").agg(
+    by_doc = runs.groupBy(F.col("id").alias("__of"), F.col("mark").alias("__of_mark")).agg(
         F.sort_array(F.collect_set(F.struct("first", "windows"))).alias("__runs")
     )
-    kept = [c for c in keep if c.lower() not in (doc_id.lower(), text.lower())]
+    kept = [c for c in keep if c.lower() != doc_id.lower()]
     source = docs.select(
         doc_id, *kept, F.col(text).cast("string").alias("__text"), F.hash(text).alias("__mark")
     )
     matched = source.join(
-        by_doc, (F.col(doc_id) == F.col("id")) & (F.col("__mark") == F.col("mark")), "left"
+        by_doc, (F.col(doc_id) == F.col("__of")) & (F.col("__mark") == F.col("__of_mark")), "left"
     )
     fields = [
         field("n_words", T.LongType()),

@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 import xxhash
 from llm import fixtures
+from pyspark.sql import functions as F
 
 from tallyfern.llm import bpe, decontamination, line_quality, simhash, substrings
 
@@ -228,6 +229,26 @@ def test_repeated_windows(spark):
     assert substrings.remove_repeated(fixtures.no_documents(spark)).count() == 0
 
 
+def test_columns_that_clash_give_way(spark):
+    docs = spark.createDataFrame([(1, "a " * 20, "h")], "doc_id long, text string, source string")
+    names = ["id", "mark", "fingerprint", "component_id", "n_words", "kept", "n_removed", "ids",
+             "n_hit", "hit_runs", "contaminated", "n_boilerplate_words", "base_failed", "root", "a", "b"]
+    wide = docs.withColumns({n: F.lit("clash") for n in names})
+    keep = wide.columns
+    items = spark.createDataFrame([("1", "a b")], "item_id string, text string")
+    results = {
+        "ids": bpe.encode(wide, RANKS, keep=keep),
+        "n_hit": decontamination.contamination(wide, items, keep=keep),
+        "component_id": simhash.near_duplicates(wide, keep=[c for c in keep if c != "text"]),
+        "kept": line_quality.judge_quality(wide, keep=keep),
+        "n_removed": substrings.remove_repeated(wide, keep=keep),
+    }
+    for made, result in results.items():
+        assert len(set(result.columns)) == len(result.columns)
+        row = result.first()
+        assert row[made] != "clash" and row["root"] == "clash"
+
+
 def test_repeated_windows_in_small_vocabularies(spark):
     """Many equal windows within and across documents, shared stretches of any length."""
     rng = random.Random(4)
