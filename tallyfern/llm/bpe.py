@@ -163,6 +163,25 @@ def split_texts(texts: Sequence[str]) -> list[list[str]]:
     return pieces
 
 
+def stretches(text: str, size: int = CHUNK_POINTS) -> list[str]:
+    """A long text in parts of about ``size``, cut where a token starts whatever stands
+    around: before a blank that a non-blank follows."""
+    parts, first = [], 0
+    while len(text) - first > size:
+        cut = text.rfind(" ", first + 1, first + size)
+        while cut > first and text[cut + 1].isspace():
+            cut = text.rfind(" ", first + 1, cut)
+        if cut <= first:
+            cut = text.find(" ", first + size)
+            while 0 <= cut < len(text) - 1 and text[cut + 1].isspace():
+                cut = text.find(" ", cut + 1)
+            if cut < 0 or cut == len(text) - 1:
+                break
+        parts.append(text[first:cut])
+        first = cut
+    return [*parts, text[first:]]
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ranks of a rank file."""
     with open(path, "rb") as lines:
@@ -249,16 +268,20 @@ class Codec:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text, packed as little-endian unsigned 32-bit integers."""
-        packed, chunk, points = [], [], 0
-        for text in [*texts, None]:
-            if text is None or chunk and points + len(text) > CHUNK_POINTS:
-                if chunk:
-                    packed += [b"".join(map(self.cache.__getitem__, p)) for p in split_texts(chunk)]
-                chunk, points = [], 0
-            if text is not None:
-                chunk.append(text)
-                points += len(text)
-        return packed
+        packed: list[list[bytes]] = [[] for _ in texts]
+        chunk: list[str] = []
+        owners: list[int] = []
+        points = 0
+        for owner, text in [*enumerate(texts), (-1, "")]:
+            for part in stretches(text):
+                if chunk and (owner < 0 or points + len(part) > CHUNK_POINTS):
+                    for i, pieces in zip(owners, split_texts(chunk)):
+                        packed[i].append(b"".join(map(self.cache.__getitem__, pieces)))
+                    chunk, owners, points = [], [], 0
+                chunk.append(part)
+                owners.append(owner)
+                points += len(part)
+        return [b"".join(parts) for parts in packed]
 
     def starts(self, packed: bytes) -> bytes:
         """Byte offset in the text at which each token starts, packed like the ids."""

@@ -73,6 +73,17 @@ def test_encoding_of_random_marks(reference_encoder):
         assert np.frombuffer(ids, "<u4").tolist() == reference_encoder.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("size", [1, 3, 17])
+def test_long_texts_are_cut_where_tokens_start(reference_encoder, size):
+    rng = random.Random(size)
+    for _ in range(400):
+        text = "".join(rng.choices(["ab", "'s", "'", " ", "  ", "\n", "\t", "1", "!", "é", "\x1c", "\u3000"], k=40))
+        parts = bpe.stretches(text, size)
+        assert "".join(parts) == text
+        ids = [reference_encoder.encode_ordinary(p) for p in parts]
+        assert [i for part in ids for i in part] == reference_encoder.encode_ordinary(text)
+
+
 def test_scan_over_several_blocks():
     rng = random.Random(2)
     text = "".join(rng.choices("ab1 '!\ns", k=3 * bpe.BLOCK * 40))
