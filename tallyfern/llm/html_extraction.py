@@ -27,7 +27,8 @@ from tallyfern.llm.batches import field, map_rows
 
 # Elements whose content is never text, and those that bound a block.
 SILENT = frozenset(
-    "script style noscript template head svg iframe textarea select option math object canvas audio video".split()
+    "script style noscript template head svg iframe textarea select option "
+    "math object canvas audio video".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
@@ -260,7 +261,12 @@ class Labeller:
                 dh = (dh + to_states[:, t, k * HIDDEN : (k + 1) * HIDDEN]) * on
                 dc = (dc + dh * o * (1 - squashed**2)) * on
                 gates = np.hstack(
-                    [dc * c * f * (1 - f), dc * g * i * (1 - i), dh * squashed * o * (1 - o), dc * i * (1 - g**2)]
+                    [
+                        dc * c * f * (1 - f),
+                        dc * g * i * (1 - i),
+                        dh * squashed * o * (1 - o),
+                        dc * i * (1 - g**2),
+                    ]
                 )
                 to_x += x[:, t].T @ gates
                 to_h += h.T @ gates
@@ -296,17 +302,63 @@ ARTICLE_PATHS = (
     ("<section", "article"), ("<main",), ("<div", "story", "body"), ("<div",),
 )
 CLUTTER = {
-    "menu": (("<nav", "<ul", "<li"), ("<div", "menu", "<ul", "<li"), ("<ul", "navigation", "<li"), ("<header", "<nav", "<ul", "<li")),
+    "menu": (
+        ("<nav", "<ul", "<li"),
+        ("<div", "menu", "<ul", "<li"),
+        ("<ul", "navigation", "<li"),
+        ("<header", "<nav", "<ul", "<li"),
+    ),
     "header": (("<header",), ("<div", "header"), ("<div", "banner"), ("<header", "<p")),
-    "notice": (("<div", "cookie", "notice"), ("<div", "consent"), ("<div", "notice", "<p"), ("<section", "alert"), ("<dialog", "<p")),
-    "advert": (("<div", "ad"), ("<div", "ads"), ("<aside", "advert"), ("<div", "sponsored", "<p"), ("<div", "promo")),
-    "sidebar": (("<aside", "<ul", "<li"), ("<aside", "<p"), ("<div", "sidebar", "<ul", "<li"), ("<div", "related", "<li"), ("<aside", "sidebar", "<h3")),
-    "form": (("<form",), ("<form", "newsletter", "<p"), ("<form", "search", "<label"), ("<div", "subscribe", "<form")),
-    "comment": (("<section", "comments", "<p"), ("<div", "comments", "<div", "comment", "<p"), ("<ol", "commentlist", "<li", "<p"), ("<div", "comment", "<p"), ("<section", "comments", "<h2")),
-    "share": (("<div", "share", "<ul", "<li"), ("<div", "tags", "<ul", "<li"), ("<div", "breadcrumb", "<ul", "<li")),
-    "footer": (("<footer",), ("<footer", "<p"), ("<div", "footer", "<p"), ("<div", "copyright"), ("<footer", "<ul", "<li")),
-}
-BEFORE, AFTER = ("menu", "header", "notice", "advert", "share", "sidebar"), ("share", "form", "comment", "sidebar", "advert", "footer")
+    "notice": (
+        ("<div", "cookie", "notice"),
+        ("<div", "consent"),
+        ("<div", "notice", "<p"),
+        ("<section", "alert"),
+        ("<dialog", "<p"),
+    ),
+    "advert": (
+        ("<div", "ad"),
+        ("<div", "ads"),
+        ("<aside", "advert"),
+        ("<div", "sponsored", "<p"),
+        ("<div", "promo"),
+    ),
+    "sidebar": (
+        ("<aside", "<ul", "<li"),
+        ("<aside", "<p"),
+        ("<div", "sidebar", "<ul", "<li"),
+        ("<div", "related", "<li"),
+        ("<aside", "sidebar", "<h3"),
+    ),
+    "form": (
+        ("<form",),
+        ("<form", "newsletter", "<p"),
+        ("<form", "search", "<label"),
+        ("<div", "subscribe", "<form"),
+    ),
+    "comment": (
+        ("<section", "comments", "<p"),
+        ("<div", "comments", "<div", "comment", "<p"),
+        ("<ol", "commentlist", "<li", "<p"),
+        ("<div", "comment", "<p"),
+        ("<section", "comments", "<h2"),
+    ),
+    "share": (
+        ("<div", "share", "<ul", "<li"),
+        ("<div", "tags", "<ul", "<li"),
+        ("<div", "breadcrumb", "<ul", "<li"),
+    ),
+    "footer": (
+        ("<footer",),
+        ("<footer", "<p"),
+        ("<div", "footer", "<p"),
+        ("<div", "copyright"),
+        ("<footer", "<ul", "<li"),
+    ),
+}
+BEFORE = ("menu", "header", "notice", "advert", "share", "sidebar")
+AFTER = ("share", "form", "comment", "sidebar", "advert", "footer")
+LEAVES = ("<h2", "<li", "<li", "<blockquote", "<pre", "<td")
 
 
 def _semantic_label(block: Block) -> int:
@@ -353,9 +405,13 @@ def laid_out(page: Sequence[Block], rng: np.random.Generator) -> tuple[list[Bloc
         blocks, labels = blocks + new, labels + [0] * len(new)
     middle = int(rng.integers(1, len(core) + 1)) if core and rng.random() < 0.25 else -1
     for i, b in enumerate(core):
-        leaf = "<h1" if i == 0 and rng.random() < 0.8 else ("<h2", "<li", "<li", "<blockquote", "<pre", "<td")[rng.integers(6)] if rng.random() < 0.15 else "<p"
-        nested = (inner[0], *(("<ul",) if leaf == "<li" else ("<table", "<tr") if leaf == "<td" else ()))
-        path = outer + (inner if nested == (inner[0],) else inner + nested[1:]) + (leaf,)
+        leaf = "<p"
+        if i == 0 and rng.random() < 0.8:
+            leaf = "<h1"
+        elif rng.random() < 0.15:
+            leaf = LEAVES[rng.integers(len(LEAVES))]
+        around = {"<li": ("<ul",), "<td": ("<table", "<tr")}.get(leaf, ())
+        path = (*outer, *inner, *around, leaf)
         share = len(b.text) // 3 if rng.random() < 0.1 else 0
         blocks.append(Block(path[-PATH_DEPTH:], b.text, share))
         labels.append(1)
@@ -384,8 +440,9 @@ def train(pages: Sequence[Sequence[Block]], seed: int = SEED, steps: int = STEPS
             if rng.random() < 0.45:
                 blocks, labels = list(page), [_semantic_label(b) for b in page]
             else:
-                if len(page) > TRAIN_BLOCKS:  # shorter articles, so that their surroundings are seen
-                    page = [b for b in page if not _semantic_label(b) or rng.random() < TRAIN_BLOCKS / len(page)]
+                if len(page) > TRAIN_BLOCKS:  # shorter articles: their surroundings are seen
+                    share = TRAIN_BLOCKS / len(page)
+                    page = [b for b in page if not _semantic_label(b) or rng.random() < share]
                 blocks, labels = laid_out(page, rng)
             if not blocks:
                 continue
@@ -428,10 +485,15 @@ def fit(
         return work
 
     kind = T.StructType(
-        [field("path", T.ArrayType(T.StringType())), field("text", T.StringType()), field("linked", T.LongType())]
+        [
+            field("path", T.ArrayType(T.StringType())),
+            field("text", T.StringType()),
+            field("linked", T.LongType()),
+        ]
     )
     sample = ids.where(place < rate).withColumn("__id", F.col(page_id))
-    cut = map_rows(sample, [F.col(page_html).cast("string")], [field("blocks", T.ArrayType(kind))], make, ["__id"])
+    fields = [field("blocks", T.ArrayType(kind))]
+    cut = map_rows(sample, [F.col(page_html).cast("string")], fields, make, ["__id"])
     rows = sorted(((str(r["__id"]), r["blocks"]) for r in cut.collect()), key=lambda r: r[0])
     return train([[Block(tuple(b["path"]), b["text"], b["linked"]) for b in blocks] for _, blocks in rows])
 

@@ -229,8 +229,8 @@ def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = ROUNDS):
         for j in range(votes.shape[1]):
             for v in (-1, 0, 1):
                 # two imagined votes keep a labeler's sense: for means likelier true
-                lean = np.array([1.0, 1.0]) + (np.array([0.0, 2.0]) if v == 1 else np.array([2.0, 0.0]) if v == -1 else 0)
-                table[j, v + 1] = weight[votes[:, j] == v].sum(0) + lean
+                lean = {1: (1.0, 3.0), -1: (3.0, 1.0), 0: (1.0, 1.0)}[v]
+                table[j, v + 1] = weight[votes[:, j] == v].sum(0) + np.array(lean)
             table[j] /= table[j].sum(0)
         logit = np.log(prior / (1 - prior)) + sum(
             np.log(table[j, votes[:, j] + 1, 1] / table[j, votes[:, j] + 1, 0])
