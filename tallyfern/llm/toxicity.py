@@ -34,8 +34,10 @@ IMITATIONS = {
 #: a letter, any other mark, letters drawn out to three or more, doubled letters.
 IMITATED, NOISE, SEPARATOR, DRAWN_OUT, DOUBLED = -0.7, -12.0, -0.5, -0.7, -6.0
 #: Lengths of the word beginnings that count as features beside the words.
-BEGINNINGS = (3, 5)
+BEGINNINGS = (3, 4, 5, 7)
 SPACED_LETTERS = 3
+#: Marks of a lattice: longer forms are decoded in pieces.
+PIECE = 60
 LEXICON_WORDS = 512
 LEXICON_DOCUMENTS = 4
 CONTAINED_LENGTH = 4
@@ -44,8 +46,10 @@ CONTAINED_LENGTH = 4
 SAMPLE_TOXIC, SAMPLE_OTHER = 4_000, 8_000
 THRESHOLD = 0.3
 #: Least odds ratio of a lexicon word, and the feature that any of them occurs.
-LEAST_ODDS = 20
+LEAST_ODDS = 8
 ANY = "-"
+#: Share of the toxic documents that a sure word is in, and what its imagined document counts.
+SURE_SHARE, SURE_WEIGHT = 0.1, 5.0
 CACHED_FORMS = 400_000
 SYMBOLS = 64
 
@@ -164,9 +168,10 @@ def readings_of(token: str, model: CharacterModel) -> tuple[str, ...]:
     plain = tuple(_WORDS.findall(core))
     if plain == (core,):
         return (core, restore(core, model)) if _DRAWN.search(core) else plain
-    if not plain or len(core) > 60:
+    if not plain:
         return plain
-    return tuple(dict.fromkeys([*plain, restore(core, model)]))
+    pieces = [core[i : i + PIECE] for i in range(0, len(core), PIECE)]
+    return tuple(dict.fromkeys([*plain, *(restore(p, model) for p in pieces)]))
 
 
 def spaced_words(text: str, model: CharacterModel) -> list[str]:
@@ -179,47 +184,54 @@ def spaced_words(text: str, model: CharacterModel) -> list[str]:
     return found
 
 
-def _marks(words: Sequence[str]) -> list[str]:
-    """Features of words: themselves and their beginnings (marked by a hyphen)."""
-    return [*words, *(w[:n] + "-" for w in words for n in BEGINNINGS if len(w) > n)]
+def marks_of(word: str) -> list[str]:
+    """Features of a word: itself and its beginnings (with a hyphen)."""
+    return [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) > n)]
 
 
 class Reader:
     """Distinct restored words of documents; readings of tokens are remembered."""
 
     def __init__(self, model: CharacterModel, weights: dict[str, float] | None = None):
-        self.model, self.weights = model, weights
-        self.long = [w for w in weights or () if len(w) >= CONTAINED_LENGTH and "-" not in w]
+        self.model, self.weights = model, weights or {}
+        self.long = [w for w in self.weights if len(w) >= CONTAINED_LENGTH and "-" not in w]
         self.known: dict[str, tuple] = {}
 
     def words(self, text: str) -> set[str]:
-        found: set[str] = set()
-        low = text.lower()
+        low, found = text.lower(), set()
         for token in set(low.split()):
-            found.update(self._reading(token))
-        found.update(_marks(spaced_words(low, self.model)))
+            found.update(readings_of(token, self.model))
+        found.update(spaced_words(low, self.model))
         return found
 
-    def _reading(self, token: str) -> tuple:
-        reading = self.known.get(token)
-        if reading is None:
-            reading = tuple(_marks(readings_of(token, self.model)))
-            if self.weights is not None:
-                reading = tuple(w for w in reading if w in self.weights)
-            if len(self.known) >= CACHED_FORMS:
-                self.known.clear()
-            self.known[token] = reading
-        return reading
+    def hits(self, text: str) -> dict[str, list[str]]:
+        """The words with features in the lexicon, and those features."""
+        low, found = text.lower(), {}
+        for token in set(low.split()):
+            reading = self.known.get(token)
+            if reading is None:
+                reading = tuple(
+                    (w, marks)
+                    for w in readings_of(token, self.model)
+                    if (marks := [m for m in marks_of(w) if m in self.weights])
+                )
+                if len(self.known) >= CACHED_FORMS:
+                    self.known.clear()
+                self.known[token] = reading
+            found.update(reading)
+        for run in spaced_words(low, self.model):
+            for word in (run, *(w for w in self.long if w in run)):
+                if marks := [m for m in marks_of(word) if m in self.weights]:
+                    found[word] = marks
+        return found
 
     def total(self, text: str) -> float:
-        """Sum of the weights of the lexicon words in a text."""
-        low, found = text.lower(), set()
-        for token in set(low.split()):
-            found.update(self._reading(token))
-        for word in spaced_words(low, self.model):
-            found.update(w for w in self.long if w in word)
-            found.update(w for w in _marks([word]) if w in self.weights)
-        return sum(map(self.weights.__getitem__, found)) + self.weights.get(ANY, 0.0) * bool(found)
+        """Sum of the weights of the features of a text's distinct words."""
+        found = self.hits(text)
+        if not found:
+            return 0.0
+        features = itertools.chain(*found.values())
+        return sum(map(self.weights.__getitem__, features)) + self.weights.get(ANY, 0.0)
 
 
 @dataclass
@@ -232,7 +244,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(np.asarray(totals, float) + self.bias, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, row_weight: np.ndarray, ridge: float = 0.03):
+def _logistic(x: np.ndarray, y: np.ndarray, row_weight: np.ndarray, ridge: float = 0.1):
     """Weights and bias by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     beta, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -278,22 +290,28 @@ def fit(
         return ToxicityModel(characters, {}, 30.0 if rates.get(1) else -30.0)
     place = F.pmod(F.xxhash64(F.lit("toxicity"), "__id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.when(F.col("__label") == 1, rates[1]).otherwise(max(v for k, v in rates.items() if k != 1))
-    sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).join(
-        known.where(place < rate), "__id"
-    )
+    # The rates bound the chosen ids, whatever the documents, so texts stay where they are.
+    chosen_ids = F.broadcast(known.where(place < rate))
+    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text"))
+    sample = texts.join(chosen_ids, "__id")
     shared = docs.sparkSession.sparkContext.broadcast(characters)
 
     def make():
         reader = Reader(shared.value)
 
         def work(column: pa.Array) -> list[pa.Array]:
-            words = [sorted(reader.words(t or "")) for t in column.to_pylist()]
+            words = [
+                sorted({m for w in reader.words(t or "") for m in marks_of(w)})
+                for t in column.to_pylist()
+            ]
             return [pa.array(words, pa.list_(pa.string()))]
 
         return work
 
     fields = [field("words", T.ArrayType(T.StringType()))]
-    read = cut_lineage(map_rows(sample, [F.col("__text")], fields, make, ["__id", "__label"]))
+    read = cut_lineage(
+        map_rows(sample, [F.col("__text")], fields, make, ["__id", "__label", "__text"])
+    )
     toxic = F.col("__label") == 1
     totals = read.agg(F.count(F.when(toxic, 1)).alias("p"), F.count(F.when(~toxic, 1)).alias("n")).first()
     pos, neg = max(1, totals["p"]), max(1, totals["n"])
@@ -307,24 +325,54 @@ def fit(
         .orderBy(F.desc("signal"), "word")
         .limit(LEXICON_WORDS)
     )
-    lexicon = [r["word"] for r in chosen.collect()]
-    hits = read.select(
-        "__id", "__label", F.array_intersect("words", F.array(*map(F.lit, lexicon)).cast("array<string>")).alias("hit")
-    )
+    listed = [(r["word"], r["p"], r["n"]) for r in chosen.collect()]
+    lexicon = [w for w, _, _ in listed]
+
+    def make_hits():
+        reader = Reader(shared.value, dict.fromkeys(lexicon, 0.0))
+
+        def work(column: pa.Array) -> list[pa.Array]:
+            hits = [sorted(itertools.chain(*reader.hits(t or "").values())) for t in column.to_pylist()]
+            return [pa.array(hits, pa.list_(pa.string()))]
+
+        return work
+
+    hit_fields = [field("hit", T.ArrayType(T.StringType()))]
+    hits = map_rows(read, [F.col("__text")], hit_fields, make_hits, ["__label"])
     # documents with equal hits are one weighted row
-    table = hits.groupBy(F.array_sort("hit").alias("hit"), toxic.alias("toxic")).count().collect()
-    table = sorted((tuple(r["hit"]), r["toxic"], r["count"]) for r in table)
-    place_of = {w: i for i, w in enumerate(lexicon)}
-    x = np.zeros((len(table), len(lexicon) + 1))
-    for i, (hit, _, _) in enumerate(table):
-        x[i, [place_of[w] for w in hit]] = 1
-        x[i, -1] = bool(hit)
-    y = np.array([t for _, t, _ in table], float)
+    table = hits.groupBy("hit", toxic.alias("toxic")).count().collect()
+    rows = sorted((tuple(r["hit"]), r["toxic"], r["count"]) for r in table)
     # each class counts as if all its labelled documents had been read
     other = sum(n for k, n in sizes.items() if k != 1)
-    share = np.array([n for _, _, n in table]) * np.where(y == 1, sizes[1] / pos, other / neg)
+    scale = {True: sizes[1] / pos, False: other / neg}
+    weighted = [(h, t, n * scale[t]) for h, t, n in rows]
+    weights, bias = word_weights([*weighted, *sure_rows(listed, pos)], lexicon)
+    return ToxicityModel(characters, weights, bias)
+
+
+def sure_rows(listed: Sequence[tuple[str, int, int]], toxic_documents: int) -> list[tuple]:
+    """Imagined toxic documents of one word each, for the words that a good share of the
+    toxic documents and no other has: such a word is enough by itself."""
+    lexicon = {w for w, _, _ in listed}
+    return [
+        ([m for m in marks_of(w) if m in lexicon], True, SURE_WEIGHT)
+        for w, p, n in listed
+        if "-" not in w and n == 0 and p >= SURE_SHARE * toxic_documents
+    ]
+
+
+def word_weights(
+    rows: Sequence[tuple[Sequence[str], bool, float]], lexicon: Sequence[str]
+) -> tuple[dict[str, float], float]:
+    """Logistic weights of the lexicon from (features with repeats, toxic, weight) rows."""
+    place_of = {w: i for i, w in enumerate(lexicon)}
+    x = np.zeros((len(rows), len(lexicon) + 1))
+    for i, (hit, _, _) in enumerate(rows):
+        np.add.at(x[i], [place_of[w] for w in hit], 1)
+        x[i, -1] = bool(hit)
+    y, share = (np.array([r[k] for r in rows], float) for k in (1, 2))
     weights, bias = _logistic(x, y, share)
-    return ToxicityModel(characters, dict(zip([*lexicon, ANY], weights.tolist())), bias)
+    return dict(zip([*lexicon, ANY], weights.tolist())), bias
 
 
 def toxicity(
