@@ -7,11 +7,11 @@ that lose most of their words with them are rejected.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +59,8 @@ def repeat_words(words: list[bytes]) -> int:
 
 
 def _lines(raw: bytes) -> tuple[int, dict[int, int]]:
-    """Lines equal to an earlier one, and words by hash of normalised line."""
+    """Lines equal to an earlier one, and words by hash (the first 60 bits of the md5) of
+    each normalised line: its words, A-Z lowered, one blank between."""
     duplicates, seen, words = 0, set(), {}
     for line in raw.split(b"\n"):
         parts = line.split()
@@ -67,7 +68,8 @@ def _lines(raw: bytes) -> tuple[int, dict[int, int]]:
             continue
         duplicates += line in seen
         seen.add(line)
-        mark = xxhash.xxh64_intdigest(b" ".join(parts).lower()) - (1 << 63)
+        digest = hashlib.md5(b" ".join(parts).lower(), usedforsecurity=False).digest()
+        mark = int.from_bytes(digest[:8]) >> 4
         words[mark] = words.get(mark, 0) + len(parts)
     return duplicates, words
 
@@ -176,7 +178,13 @@ def judge_quality(
         "__row",
         F.pmod("__row", F.lit(SALTS)).cast("int").alias("salt"),
         F.explode(F.arrays_zip("__lines", "__line_words")).alias("entry"),
-    ).select("__host", "__row", "salt", F.col("entry.__lines").alias("line"), F.col("entry.__line_words").alias("words"))
+    ).select(
+        "__host",
+        "__row",
+        "salt",
+        F.col("entry.__lines").alias("line"),
+        F.col("entry.__line_words").alias("words"),
+    )
     removed = (
         lines.join(frequent.withColumn("salt", salt), ["__host", "line", "salt"])
         .groupBy("__row")

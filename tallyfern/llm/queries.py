@@ -168,6 +168,48 @@ SELECT doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(o.n, 0) AS
        sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN covered c USING (doc_id) LEFT JOIN owners o USING (doc_id)""",
+    "op8_quality_rules": f"""WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '{_BLANK_PARTED}') AS w FROM documents
+), parts AS (
+  SELECT doc_id, host, l, regexp_extract_all(l, '{_BLANK_PARTED}') AS w
+  FROM docs, unnest(string_split(t, chr(10))) AS u(l)
+), lines AS (
+  SELECT doc_id, host, l, len(w) AS n, substring(md5(translate(array_to_string(w, ' '),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 15) AS k
+  FROM parts WHERE len(w) > 0
+), families AS (
+  SELECT d.doc_id, d.host, coalesce(array_to_string(list_sort(list(DISTINCT k))[1:2], ' '), '') AS family
+  FROM docs d LEFT JOIN lines USING (doc_id) GROUP BY 1, 2
+), hosts AS (
+  SELECT host, count(DISTINCT family) AS n FROM families GROUP BY 1
+), frequent AS (
+  SELECT c.host, k FROM (
+    SELECT l.host, k, count(DISTINCT family) AS n
+    FROM lines l JOIN families f USING (doc_id) GROUP BY 1, 2) c JOIN hosts h ON c.host = h.host
+  WHERE c.n > {line_quality.LINE_DOCUMENTS} AND c.n > {line_quality.LINE_SHARE}::DOUBLE * h.n
+), removed AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM lines JOIN frequent USING (host, k) GROUP BY 1
+), duplicates AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY 1
+), grams AS (
+  SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, w[s], w[s + 1], w[s + 2]) AS n
+  FROM docs, unnest(range(1, len(w) - 1)) AS u(s)
+), repeats AS (
+  SELECT doc_id, count(DISTINCT i) AS n FROM grams, unnest(range(s, s + 3)) AS u(i) WHERE n > 1 GROUP BY 1
+), counted AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(t) - length(translate(t, '{line_quality.SYMBOLS}', '')) AS n_symbols,
+         coalesce(d.n, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words,
+         coalesce(r.n, 0) AS n_boilerplate_words
+  FROM docs LEFT JOIN duplicates d USING (doc_id) LEFT JOIN repeats p USING (doc_id)
+  LEFT JOIN removed r USING (doc_id)
+), failed AS (
+  SELECT *, n_words < {line_quality.MIN_WORDS}
+            OR 100 * n_repeat_words > {line_quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted
+)
+SELECT *, NOT base_failed AND n_words - n_boilerplate_words >= {line_quality.LEFT_SHARE}::DOUBLE * n_words
+            AS kept FROM failed""",
     "op10_substring_dedup": f"""WITH docs AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_BLANK_PARTED}') AS w FROM documents
 ), windows AS (
