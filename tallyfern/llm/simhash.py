@@ -33,6 +33,8 @@ RADIUS = 4
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 LEAF = 256
 COUNT_CHUNK = 1 << 15
+#: Tasks that the rows of one hot fingerprint or hub are dealt to.
+SALTS = 16
 #: Shard rows that a task gathers before it looks for links in the finished shards.
 STRETCH = 1 << 17
 
@@ -229,7 +231,10 @@ def link_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    # a hub's edges are dealt by salt; its least neighbour is repeated once per salt
+    salted = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -305,9 +310,6 @@ def near_duplicates(
     return _by_fingerprint(marked, named)
 
 
-SALTS = 32
-
-
 def _by_fingerprint(rows: DataFrame, named: DataFrame) -> DataFrame:
     """Join on the fingerprint; a hot fingerprint's rows are dealt by salt, and the
     narrow side is repeated once per salt."""
