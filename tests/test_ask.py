@@ -164,7 +164,7 @@ def test_answer_flow(spark):
     assert rows[1].evidence_sufficiency == (
         "Evidence quality: HIGH (avg_similarity=0.700, max_similarity=0.900, n_chunks=2)")
     assert "asks: why {n_chunks}?" in rows[1].prompt and "first {question}" in rows[1].prompt
-    assert "Excerpts (2)" in rows[1].prompt and rows[2].prompt is None
+    assert "2 excerpts" in rows[1].prompt and rows[2].prompt is None
 
     def load():
         def model(prompt):
