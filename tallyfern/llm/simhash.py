@@ -234,7 +234,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     # a hub's edges are dealt by salt; its least neighbour is repeated once per salt
     salted = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    # merged: repeated rows look small to a choice of broadcast, and grow with the table
+    return salted.join(copies.hint("merge"), ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -304,7 +305,7 @@ def near_duplicates(
     ).withColumn("root", F.coalesce("root", "fingerprint"))
     # Only components of several fingerprints need their smallest id gathered.
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = labelled.join(least, "root").select(
+    named = labelled.join(least.hint("merge"), "root").select(
         "fingerprint", "component_id", F.col("root").alias("component_fingerprint")
     )
     return _by_fingerprint(marked, named)
@@ -315,4 +316,4 @@ def _by_fingerprint(rows: DataFrame, named: DataFrame) -> DataFrame:
     narrow side is repeated once per salt."""
     salted = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     copies = named.withColumn("__salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
-    return salted.join(copies, ["fingerprint", "__salt"]).drop("__salt")
+    return salted.join(copies.hint("merge"), ["fingerprint", "__salt"]).drop("__salt")
