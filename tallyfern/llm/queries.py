@@ -18,12 +18,15 @@ from tallyfern.llm import (
     toxicity,
     warc,
 )
+from tallyfern.sources.readers import read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Keys by which a table smaller than a split is dealt over the cores.
+SPREAD = {"documents": "doc_id", "pages": "page_id"}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", SPREAD.get(name))
 
 
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
