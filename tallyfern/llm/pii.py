@@ -292,7 +292,7 @@ SPANS = T.ArrayType(
 
 def all_spans(text: str, model: SpanClassifier) -> tuple[list, list]:
     """Base spans, and all spans with those the classifier adds."""
-    if not any(c in text for c in "0123456789@"):
+    if not any(c in text for c in "0123456789@[({<"):  # every pattern needs one of these
         return [], []
     found = candidates(text)
     base = [(c.kind, c.start, c.end) for c in found if c.base]

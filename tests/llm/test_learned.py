@@ -202,6 +202,21 @@ def test_labelers_add_spelt_out_addresses_and_mask(spark):
     assert pii.find_spans(none, pii.fit(none)).count() == 0
 
 
+def test_spelt_out_address_as_the_only_personal_data(spark):
+    """No digit and no '@' elsewhere: each bracket alone leads to the candidates."""
+    marks = ["(at) example (dot) com", "[at] example [dot] org", "{at} example {dot} net", "<AT> example <DOT> de"]
+    texts = [f"mail me: jane.doe {mark} or write a letter" for mark in marks]
+    rows = [(i, texts[i % 4]) for i in range(40)] + [(99, "no data (here) [at] all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs)
+    got = {r["doc_id"]: r for r in pii.find_spans(docs, model).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(docs, model).collect()}
+    for i in range(40):
+        assert [s["kind"] for s in got[i]["spans"]] == ["email"] and got[i]["base"] == []
+        assert "jane" not in masked[i] and "[EMAIL]" in masked[i]
+    assert got[99]["spans"] == [] and masked[99] == rows[-1][1]
+
+
 def test_expectation_maximisation_finds_the_reliable_labeler():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.4
