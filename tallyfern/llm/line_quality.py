@@ -1,7 +1,7 @@
 """Quality rules from lines that many documents of a host share (operator 8).
 
 Normalised lines are hashed; for each host and line the distinct documents are
-counted over the whole table.  Lines above the limits are removed, and documents
+counted over the whole table; exact copies count once.  Lines above the limits are removed, and documents
 that lose most of their words with them are rejected.
 """
 
@@ -82,16 +82,16 @@ STATISTICS = (
     field("n_repeat_words", T.LongType()),
     field("__lines", T.ArrayType(T.LongType())),
     field("__line_words", T.ArrayType(T.LongType())),
-    field("__family", T.LongType()),
+    field("__digest", T.LongType()),
 )
 
 
 def line_statistics(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """``keep`` with the text statistics, and each distinct line's hash and words.
 
-    ``__family`` names the document by its two least line hashes.  Exact copies, and
-    most near copies, share it, so that a text posted many times counts as one
-    document and its own lines don't become boilerplate.
+    ``__digest`` is the first 63 bits of the whole text's md5.  Only exact copies share
+    it, so that a text posted many times counts as one document and its own lines
+    don't become boilerplate.
     """
 
     def make():
@@ -104,11 +104,10 @@ def line_statistics(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFram
                 chars -= int(((marks & 0xC0) == 0x80).sum())
                 symbols = sum(map(raw.count, (c.encode() for c in SYMBOLS)))
                 duplicates, lines = _lines(raw)
-                least = sorted(lines)[:2]
-                family = hash(tuple(least)) if least else 0
+                whole = hashlib.md5(raw, usedforsecurity=False).digest()
                 rows.append(
                     (len(words), chars, symbols, duplicates, repeat_words(words),
-                     list(lines), list(lines.values()), family)
+                     list(lines), list(lines.values()), int.from_bytes(whole[:8]) >> 1)
                 )
             columns = list(zip(*rows)) or [[]] * len(STATISTICS)
             longs, lists = pa.int64(), pa.list_(pa.int64())
@@ -124,13 +123,13 @@ def frequent_lines(
     statistics: DataFrame, host: str, min_documents: int, min_share: float
 ) -> DataFrame:
     """``host`` and ``line`` of the lines above the limits."""
-    lines = statistics.select(host, "__family", F.explode("__lines").alias("line"))
+    lines = statistics.select(host, "__digest", F.explode("__lines").alias("line"))
     counted = (
         lines.groupBy(host, "line")
-        .agg(F.countDistinct("__family").alias("documents"))
+        .agg(F.countDistinct("__digest").alias("documents"))
         .where(F.col("documents") > min_documents)
     )
-    hosts = statistics.groupBy(host).agg(F.countDistinct("__family").alias("all_documents"))
+    hosts = statistics.groupBy(host).agg(F.countDistinct("__digest").alias("all_documents"))
     return (
         counted.join(hosts, host)
         .where(F.col("documents") > min_share * F.col("all_documents"))
@@ -195,7 +194,7 @@ def judge_quality(
     )
     left = F.col("n_words") - F.col("n_boilerplate_words")
     return (
-        statistics.drop("__lines", "__line_words", "__family", "__host")
+        statistics.drop("__lines", "__line_words", "__digest", "__host")
         .join(removed, "__row", "left")
         .withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0)))
         .withColumn("base_failed", failed)

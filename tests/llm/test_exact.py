@@ -337,6 +337,22 @@ def test_boilerplate_lines(spark):
     assert all(got[200 + i]["kept"] for i in range(40))
 
 
+def test_unlike_pages_that_share_many_lines_count_each(spark):
+    """Pages with the same menu and one own line are no copies: the menu is boilerplate,
+    and so is the common part of near copies, while exact copies count once."""
+    rng = random.Random(14)
+    menu = "\n".join(f"menu {i}" for i in range(20))
+    rows = [(i, f"{menu}\n{fixtures.sentence(rng, 60)}", "h") for i in range(40)]
+    near = fixtures.sentence(rng, 60)
+    rows += [(100 + i, f"{near}\nnumber {i}", "near") for i in range(30)]
+    once = fixtures.sentence(rng, 60)
+    rows += [(200 + i, once, "copies") for i in range(30)]
+    got = by_id(line_quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert all(got[i]["n_boilerplate_words"] == 40 and got[i]["kept"] for i in range(40))
+    assert all(got[100 + i]["n_boilerplate_words"] == 60 and not got[100 + i]["kept"] for i in range(30))
+    assert all(got[200 + i]["n_boilerplate_words"] == 0 and got[200 + i]["kept"] for i in range(30))
+
+
 def test_digests_of_the_registered_queries(spark):
     """The thin queries give what their contracts name."""
     from tallyfern.llm import queries
