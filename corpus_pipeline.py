@@ -31,17 +31,20 @@ def _identity(*also: str) -> list[Column]:
 KEY = ["__id", "__no_id", "__mark"]
 
 
+def _with_length(docs: DataFrame, made: DataFrame) -> DataFrame:
+    """``made`` with the columns of ``docs``, ``n_chars`` by its own text."""
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        made = made.withColumn("n_chars", length)
+    return made.select(*[f"`{c}`" for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep.  Rows equal in id, text and source share
-    their verdict; null and empty texts go."""
-    marked = docs.select("text", "source", *_identity("source"))
-    verdict = line_quality.judge_quality(marked, keep=KEY)
-    rejected = verdict.where(~F.col("kept")).select(KEY).distinct()
-    return (
-        docs.select("*", *_identity("source"))
-        .join(rejected, KEY, "left_anti")
-        .select(*[f"`{c}`" for c in docs.columns])
-    )
+    """Documents that the quality rules keep, without their host's lines above the limits;
+    lengths follow the text.  Rows equal in id, text and source share their verdict;
+    null and empty texts go."""
+    kept = line_quality.remove_lines(docs, keep=docs.columns)
+    return _with_length(docs, kept)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,10 +77,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; lengths follow the text."""
     masked = pii.mask(docs, pii.fit(docs), keep=docs.columns)
-    if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        masked = masked.withColumn("n_chars", length)
-    return masked.select(*[f"`{c}`" for c in docs.columns])
+    return _with_length(docs, masked)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

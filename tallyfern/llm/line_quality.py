@@ -58,6 +58,20 @@ def repeat_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def _mark(parts: list[bytes]) -> int:
+    digest = hashlib.md5(b" ".join(parts).lower(), usedforsecurity=False).digest()
+    return int.from_bytes(digest[:8]) >> 4
+
+
+def without_lines(raw: bytes, gone: Sequence[int]) -> bytes:
+    """The text without the lines of these hashes; all other lines stay as they are."""
+    marks = set(gone)
+    lines = raw.split(b"\n")
+    return b"\n".join(
+        line for line in lines if not (parts := line.split()) or _mark(parts) not in marks
+    )
+
+
 def _lines(raw: bytes) -> tuple[int, dict[int, int]]:
     """Lines equal to an earlier one, and words by hash (the first 60 bits of the md5) of
     each normalised line: its words, A-Z lowered, one blank between."""
@@ -68,8 +82,7 @@ def _lines(raw: bytes) -> tuple[int, dict[int, int]]:
             continue
         duplicates += line in seen
         seen.add(line)
-        digest = hashlib.md5(b" ".join(parts).lower(), usedforsecurity=False).digest()
-        mark = int.from_bytes(digest[:8]) >> 4
+        mark = _mark(parts)
         words[mark] = words.get(mark, 0) + len(parts)
     return duplicates, words
 
@@ -145,6 +158,7 @@ def judge_quality(
     line_documents: int = LINE_DOCUMENTS,
     line_share: float = LINE_SHARE,
     left_share: float = LEFT_SHARE,
+    lines_column: str | None = None,
 ) -> DataFrame:
     """``keep`` with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``n_boilerplate_words``, ``base_failed``, ``kept``.
@@ -158,6 +172,9 @@ def judge_quality(
     Lines meet the frequent ones by a salted join, so a line that a third of all
     documents has is spread over tasks; only hashes and counts move, never texts.
 
+    ``lines_column`` names a further column, the hashes of the document's own lines
+    above the limits; ``remove_lines`` takes them out of the texts.
+
     Null and empty texts have no words and fail.  Documents of a null host form the
     host "".  Rows that repeat a document are judged alike.  A column of ``keep``
     named as an output column gives way to it.
@@ -187,7 +204,10 @@ def judge_quality(
     removed = (
         lines.join(frequent.withColumn("salt", salt), ["__host", "line", "salt"])
         .groupBy("__row")
-        .agg(F.sum("words").alias("n_boilerplate_words"))
+        .agg(
+            F.sum("words").alias("n_boilerplate_words"),
+            *([F.collect_list("line").alias(lines_column)] if lines_column else []),
+        )
     )
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
@@ -201,3 +221,53 @@ def judge_quality(
         .withColumn("kept", ~failed & (left >= left_share * F.col("n_words")))
         .drop("__row")
     )
+
+
+def remove_lines(
+    docs: DataFrame,
+    text: str = "text",
+    host: str = "source",
+    doc_id: str = "doc_id",
+    keep: Sequence[str] = ("doc_id",),
+    line_documents: int = LINE_DOCUMENTS,
+    line_share: float = LINE_SHARE,
+    left_share: float = LEFT_SHARE,
+) -> DataFrame:
+    """``keep`` and ``text`` of the documents that ``judge_quality`` keeps, the texts
+    without their host's lines above the limits.
+
+    Texts move once, to meet the hashes of their own lines; documents that lose
+    nothing have no row on the other side.  Rows equal in id, text and host share
+    their verdict.  ``text`` in ``keep`` gives way to the new one.
+    """
+    row = {
+        "__id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")),
+        "__no_id": F.col(doc_id).isNull(),
+        "__text_mark": F.xxhash64(text, host),
+    }
+    limits = (line_documents, line_share, left_share)
+    verdict = judge_quality(docs.withColumns(row), text, host, list(row), *limits, "__gone")
+    changed = (
+        verdict.where(~F.col("kept") | F.col("__gone").isNotNull())
+        .select(*row, "kept", "__gone")
+        .dropDuplicates(list(row))
+        .withColumnRenamed("kept", "__kept")
+    )
+    left = (
+        docs.withColumns(row)
+        .join(changed, list(row), "left")
+        .where(F.coalesce("__kept", F.lit(True)))
+    )
+
+    def make():
+        def work(texts: pa.Array, gone: pa.Array) -> list[pa.Array]:
+            made = [
+                without_lines(raw, marks) if marks else raw
+                for raw, marks in zip(utf8(texts), gone.to_pylist())
+            ]
+            return [pa.array(made, pa.binary()).cast(pa.string())]
+
+        return work
+
+    inputs = [F.col(text).cast("string"), F.col("__gone")]
+    return map_rows(left, inputs, [field(text, T.StringType())], make, keep)

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -353,6 +354,23 @@ def test_unlike_pages_that_share_many_lines_count_each(spark):
     assert all(got[200 + i]["n_boilerplate_words"] == 0 and got[200 + i]["kept"] for i in range(30))
 
 
+def test_lines_above_the_limits_leave_the_text(spark):
+    rng = random.Random(15)
+    own = {i: fixtures.sentence(rng, 60) for i in range(60)}
+    rows = [(i, f"Home  About\n\n{t}\nhome about\nCopyright Us\n", "h") for i, t in own.items()]
+    rows += [(100, f"home about\n{own[0]}", "other"), (100, f"home about\n{own[0]}", "other")]
+    rows += [(None, f"{own[1]}\nhome about", "h"), (101, None, "h"), (102, "home about", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = line_quality.remove_lines(docs, keep=["doc_id", "text", "source"])
+    assert sorted(got.columns) == ["doc_id", "source", "text"]
+    want = Counter({(i, f"\n{t}\n"): 1 for i, t in own.items()})
+    want += Counter({(100, rows[60][1]): 2, (None, own[1]): 1})
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+    stage = dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, "")
+    assert stage.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in stage.collect()) == want
+
+
 def test_digests_of_the_registered_queries(spark):
     """The thin queries give what their contracts name."""
     from tallyfern.llm import queries
