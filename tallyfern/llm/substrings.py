@@ -57,7 +57,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Word places and hashes of UTF-8 bytes whose words single blanks separate.
+    """Word places and hashes of UTF-8 bytes whose words single blanks or line feeds
+    separate, as the packer writes them; any other byte belongs to a word.
 
     Hashes come from prefix sums over stretches of about ``STRETCH`` bytes, so that
     the wide arrays stay small however long the data are.
@@ -65,8 +66,9 @@ class Words:
 
     def __init__(self, data: bytes):
         marks = np.frombuffer(data, np.uint8)
-        gaps = np.flatnonzero(marks <= 32)
-        self.ends = gaps if len(marks) and marks[-1] <= 32 else np.append(gaps, len(marks))
+        gap = (marks == 32) | (marks == 10)
+        gaps = np.flatnonzero(gap)
+        self.ends = gaps if len(marks) and gap[-1] else np.append(gaps, len(marks))
         self.starts = np.append(0, self.ends[:-1] + 1)
         self.hashes = np.empty(len(self.ends), np.uint64)
         first, n = 0, len(self.ends)

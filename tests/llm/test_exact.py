@@ -274,6 +274,16 @@ def test_repeated_windows_in_small_vocabularies(spark):
     check_repeats(spark, rows)
 
 
+def test_control_characters_belong_to_words(spark):
+    """Only ASCII white space parts words: \x00-\x08 and \x0e-\x1f are inside them."""
+    rng = random.Random(16)
+    shared = fixtures.sentence(rng, 12).split()
+    odd = ["a\x00b", "c\x1fd", "\x01", "e\x0e", "\x1c"]
+    rows = [(i, " ".join([*rng.choices(odd, k=i % 4), *shared[:6], odd[i % 2], *shared[6:], f"own{i}"])) for i in range(12)]
+    rows += [(50 + i, " ".join([odd[0], *fixtures.sentence(rng, 5).split(), *shared, odd[i % 5]])) for i in range(9)]
+    check_repeats(spark, rows)
+
+
 def test_packs_of_a_few_texts_agree_with_one_pack(spark, monkeypatch):
     monkeypatch.setattr(substrings, "PACK_BYTES", 200)
     packer = substrings.Packer(7, 13)
