@@ -28,6 +28,8 @@ WINDOW_WORDS = 13
 MINIMISER_WORDS = 2
 #: Buckets for each shuffle partition.
 BUCKETS_PER_PARTITION = 8
+#: Windows of a bucket above which its windows are dealt to several; about 100 bytes each.
+HOT_WINDOWS = 2 << 20
 #: Text gathered before its super-k-mers are packed and sent.
 PACK_BYTES = 8 << 20
 #: Bytes whose words are hashed at a time.
@@ -113,10 +115,19 @@ class Packer:
     document go to the bucket: a later document's words are already known to be
     repeated.  So a passage that millions of documents share reaches its bucket
     once for each pack.
+
+    ``parts`` has the number of buckets that each hot bucket is dealt to.  The hash of
+    the window itself chooses among them, so equal windows still meet.
     """
 
-    def __init__(self, buckets: int, window: int):
+    def __init__(self, buckets: int, window: int, parts: dict[int, int] | None = None):
         self.buckets, self.window = buckets, window
+        self.parts, self.offsets = np.ones(buckets, np.int64), np.arange(buckets)
+        at = buckets
+        for bucket, n in sorted((parts or {}).items()):
+            self.parts[bucket], self.offsets[bucket] = n, at
+            at += n
+        self.all_buckets = at
         self.compressor = zstandard.ZstdCompressor(level=6)
         self.texts: list[tuple[int, int, bytes]] = []
         self.size = 0
@@ -130,10 +141,8 @@ class Packer:
     def full(self) -> bool:
         return self.size >= PACK_BYTES
 
-    def packs(self) -> Iterator[tuple[int, bytes]]:
-        """(bucket, packed super-k-mers), then (-1, runs known to be repeated)."""
-        if not self.texts:
-            return
+    def _cut(self) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """The gathered texts' super-k-mers: rows, buckets, strings, and which are sent."""
         data = b"\n".join([t[2] for t in self.texts])
         words = Words(data)
         ends_at = np.cumsum([len(t[2]) + 1 for t in self.texts]) - 1
@@ -141,16 +150,22 @@ class Packer:
         first = np.append(0, last[:-1])
         grams = _rolled(words.hashes, MINIMISER_WORDS)
         least = _sliding_least(grams, self.window - MINIMISER_WORDS + 1)
+        target = (_mixed(least) % np.uint64(self.buckets)).astype(np.int64)
+        hot = np.flatnonzero(self.parts[target] > 1)
+        if len(hot):
+            among = _rolled(words.hashes, self.window)[hot] % self.parts[target[hot]].astype(np.uint64)
+            target[hot] = self.offsets[target[hot]] + among.astype(np.int64)
         # windows that lie inside one text, and where a run of one minimiser starts
         inside = np.zeros(len(words.ends) + 1, bool)
         for a, b in zip(first.tolist(), (last - self.window + 1).tolist()):
             inside[a:b] = True
         inside = inside[: len(least)]
-        begins = inside & np.append(True, (least[1:] != least[:-1]) | ~inside[:-1])
+        turns = (least[1:] != least[:-1]) | (target[1:] != target[:-1])
+        begins = inside & np.append(True, turns | ~inside[:-1])
         begins[first[first < len(begins)]] = True
         at = np.flatnonzero(begins & inside)
         stops = np.flatnonzero(inside & np.append((begins | ~inside)[1:], True)) + 1
-        bucket = (_mixed(least[at]) % np.uint64(self.buckets)).astype(np.int64)
+        bucket = target[at]
         owner = np.searchsorted(last, at, side="right")
         begin, end = words.starts[at].tolist(), words.ends[stops + self.window - 2].tolist()
         rows = np.zeros(len(at), ROW)
@@ -164,6 +179,22 @@ class Packer:
             if smallest.setdefault(string, doc) > doc:
                 smallest[string] = doc
         sent = np.fromiter((smallest[s] == d for s, d in zip(strings, ids)), bool, len(ids))
+        self.texts, self.size = [], 0
+        return rows, bucket, strings, sent
+
+    def counts(self) -> np.ndarray:
+        """Windows of the gathered texts that go to each bucket."""
+        if not self.texts:
+            return np.zeros(self.all_buckets, np.int64)
+        rows, bucket, _, sent = self._cut()
+        n = np.bincount(bucket[sent], rows["windows"][sent], self.all_buckets)
+        return n.astype(np.int64)
+
+    def packs(self) -> Iterator[tuple[int, bytes]]:
+        """(bucket, packed super-k-mers), then (-1, runs known to be repeated)."""
+        if not self.texts:
+            return
+        rows, bucket, strings, sent = self._cut()
         order = np.flatnonzero(sent)
         order = order[np.argsort(bucket[order], kind="stable")]
         edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
@@ -178,7 +209,6 @@ class Packer:
             columns = b"".join(np.ascontiguousarray(known[c]).tobytes() for c in ROW.names)
             head = np.array([len(known)], "<i8").tobytes()
             yield -1, self.compressor.compress(head + columns)
-        self.texts, self.size = [], 0
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
@@ -242,17 +272,46 @@ def _runs_frame(rows: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({c: rows[c] for c in ROW.names})
 
 
+def hot_buckets(source: DataFrame, buckets: int, window: int, limit: int) -> dict[int, int]:
+    """Buckets of more than ``limit`` windows, and to how many each is dealt; from
+    (id, mark, text) rows.  At most one row for each bucket leaves a task."""
+
+    def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, total = Packer(buckets, window), np.zeros(buckets, np.int64)
+        for part in parts:
+            ids, marks = part.column(0).to_pylist(), part.column(1).to_pylist()
+            for doc, mark, raw in zip(ids, marks, utf8(part.column(2))):
+                packer.add(doc, mark, raw.split())
+                if packer.full():
+                    total += packer.counts()
+        total += packer.counts()
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["bucket", "n"])
+
+    counted = source.mapInArrow(measure, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    # parts of half the limit: a hash deals unlike windows evenly, so none comes near it
+    return {r["bucket"]: -(-2 * r["n"] // limit) for r in counted.where(F.col("n") > limit).collect()}
+
+
 def repeated_windows(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW_WORDS
 ) -> DataFrame:
     """Runs of windows that also start in a document with a smaller id: ``id``,
-    ``mark`` (a hash of the text, for ids that repeat), ``first`` word, ``windows``."""
+    ``mark`` (a hash of the text, for ids that repeat), ``first`` word, ``windows``.
+
+    A first pass counts the windows of each bucket; those of buckets above
+    ``HOT_WINDOWS`` are dealt to several by their own hash.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = docs.where(F.col(doc_id).isNotNull()).select(
+        F.col(doc_id).cast("long"), F.hash(text), F.col(text).cast("string")
+    )
+    hot = hot_buckets(source, buckets, window, HOT_WINDOWS)
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, sent = Packer(buckets, window), 0
+        packer, sent = Packer(buckets, window, hot), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal sent
@@ -280,9 +339,6 @@ def repeated_windows(
             return _runs_frame(rows)
         return _runs_frame(repeated_runs(rows, b"\n".join([d for _, d in unpacked]), window))
 
-    source = docs.where(F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).cast("long"), F.hash(text), F.col(text).cast("string")
-    )
     packed = source.mapInArrow(pack, "bucket long, pack binary")
     return packed.groupBy("bucket").applyInPandas(
         count, "id long, mark int, first int, windows int"

@@ -294,6 +294,28 @@ def test_packs_of_a_few_texts_agree_with_one_pack(spark, monkeypatch):
     check_repeats(spark, rows)
 
 
+def test_hot_buckets_are_dealt_by_window(spark, monkeypatch):
+    """Unlike windows around one frequent pair of words: no bucket stays large."""
+    rng = random.Random(17)
+    rows = [(i, " ".join(f"of the {fixtures.sentence(rng, 4)}" for _ in range(20))) for i in range(40)]
+    rows += [(100 + i, f"{rows[i][1]} more {fixtures.sentence(rng, 9)}") for i in range(9)]
+    table = spark.createDataFrame([(i, 0, t) for i, t in rows], "id long, mark int, text string")
+    hot = substrings.hot_buckets(table, 8, 13, 400)
+    windows = [0, 0]
+    for k, parts in enumerate((None, hot)):
+        packer = substrings.Packer(8, 13, parts)
+        for i, text in rows:
+            packer.add(i, 0, text.encode().split())
+        counts = packer.counts()
+        windows[k] = counts.sum()
+        assert (counts.max() > 400) == (parts is None)
+    assert windows[0] > 3000 and hot
+    monkeypatch.setattr(substrings, "HOT_WINDOWS", 20)
+    check_repeats(spark, rows)
+    rows = [(rng.randrange(30), " ".join(rng.choices("abc", k=60))) for _ in range(60)]
+    check_repeats(spark, rows)
+
+
 def test_unlike_windows_with_equal_hashes(monkeypatch):
     """Equal hashes are compared word by word."""
     monkeypatch.setattr(substrings, "_rolled", lambda h, w: np.zeros(len(h) - w + 1, np.uint64))
