@@ -274,7 +274,12 @@ def _runs_frame(rows: np.ndarray) -> pd.DataFrame:
 
 def hot_buckets(source: DataFrame, buckets: int, window: int, limit: int) -> dict[int, int]:
     """Buckets of more than ``limit`` windows, and to how many each is dealt; from
-    (id, mark, text) rows.  At most one row for each bucket leaves a task."""
+    (id, mark, text) rows.
+
+    A task tells only buckets with more than ``least`` of its windows, and adds
+    ``least`` to the slack (bucket -1) that any bucket may have besides what is told.
+    """
+    least = limit // 4096
 
     def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, total = Packer(buckets, window), np.zeros(buckets, np.int64)
@@ -285,12 +290,15 @@ def hot_buckets(source: DataFrame, buckets: int, window: int, limit: int) -> dic
                 if packer.full():
                     total += packer.counts()
         total += packer.counts()
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["bucket", "n"])
+        seen = np.flatnonzero(total > least)
+        told, n = np.append(seen, -1), np.append(total[seen], least)
+        yield pa.RecordBatch.from_arrays([pa.array(told), pa.array(n)], names=["bucket", "n"])
 
     counted = source.mapInArrow(measure, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = {r["bucket"]: r["n"] for r in counted.collect()}
+    slack = found.pop(-1, 0)
     # parts of half the limit: a hash deals unlike windows evenly, so none comes near it
-    return {r["bucket"]: -(-2 * r["n"] // limit) for r in counted.where(F.col("n") > limit).collect()}
+    return {k: -(-2 * (n + slack) // limit) for k, n in found.items() if n + slack > limit}
 
 
 def repeated_windows(
