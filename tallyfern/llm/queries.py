@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from tallyfern.llm import (
     bpe,
+    conversations,
     decontamination,
+    divergence,
     html_extraction,
     language_id,
     line_quality,
+    merge_automaton,
     pii,
     simhash,
     substrings,
@@ -21,8 +24,9 @@ from tallyfern.llm import (
 from tallyfern.sources.readers import read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_MERGES = "word_bpe_49k.json"
 #: Keys by which a table smaller than a split is dealt over the cores.
-SPREAD = {"documents": "doc_id", "pages": "page_id"}
+SPREAD = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +135,25 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(pages, html_extraction.fit(pages.select("page_id", "html")))
 
 
+def word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    coded = merge_automaton.encode(docs, public_tokenizers.path(WORD_MERGES))
+    return coded.select(
+        "doc_id",
+        F.expr("length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(_table(spark, sf_dir, "conversations"))
+
+
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": byte_bpe,
     "op2_language_id": languages,
@@ -142,6 +165,9 @@ QUERIES = {
     "op8_quality_rules": quality_rules,
     "op9_html_text": page_text,
     "op10_substring_dedup": substring_dedup,
+    "op11_word_bpe": word_bpe,
+    "op12_conversation_repair": repaired_conversations,
+    "op13_source_divergence": source_divergence,
 }
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _MARKED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -232,4 +258,43 @@ SELECT *, NOT base_failed AND n_words - n_boilerplate_words >= {line_quality.LEF
 )
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_source_divergence": f"""WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         {_LOW} AS t FROM documents
+), words AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(t, '{divergence.TERM}')) AS term FROM docs
+), kept AS (
+  SELECT lang, term FROM words GROUP BY 1, 2 HAVING count(DISTINCT d) >= {divergence.MIN_DOCUMENTS}
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY 1, 2, 3
+), sizes AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY 1
+), everyone AS (
+  SELECT lang, source, coalesce(n, 0)::HUGEINT AS n, coalesce(v, 0)::HUGEINT AS v
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN sizes USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY 1, 2) USING (lang, source)
+), langs AS (
+  SELECT lang, sum(n)::HUGEINT AS n FROM everyone GROUP BY 1
+), p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS c,
+         1 + {divergence.SCALE} * (coalesce(c.n, 0)::HUGEINT + 5) // (e.n + 5 * e.v) AS p
+  FROM everyone e JOIN kept USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), q AS (
+  SELECT lang, term, 1 + {divergence.SCALE} * (sum(c)::HUGEINT + 5) // (any_value(l.n) + 5 * any_value(v)) AS q
+  FROM p JOIN langs l USING (lang) JOIN sizes USING (lang) GROUP BY 1, 2
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+  FROM everyone a JOIN everyone b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY 1, 2, 3
+), terms AS (
+  SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value FROM terms
+), placed AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM ranked
+)
+SELECT * FROM placed WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}""",
 }
