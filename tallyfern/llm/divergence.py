@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +45,6 @@ BLOCK, TERMS_TOGETHER = 256, 512
 #: Parts that a language's terms are dealt into for each of this many kept terms.
 TERMS_PER_PART = 4096
 
-LOWER = {c: c + 32 for c in range(65, 91)}
 STRIPE = T.StructType(
     [
         field("lang", T.StringType()),
@@ -61,68 +61,111 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-_STRIPE_KINDS = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-
-
-def _stripe_rows(stripes: dict) -> Iterator[pa.RecordBatch]:
-    rows = []
-    for (lang, term), (documents, counts) in stripes.items():
-        rows.append((lang, term, documents, list(counts), list(counts.values())))
-        if len(rows) == 4096:
-            yield _batch(rows, STRIPE.names, _STRIPE_KINDS)
-            rows = []
-    if rows:
-        yield _batch(rows, STRIPE.names, _STRIPE_KINDS)
+#: The key of the document count in a stripe, beside its sources.
+DOCUMENTS = None
+
+
+def _lists(values: list, sizes: list[int], kind: pa.DataType) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
+
+
+def _stripe_rows(lang: str, stripes: dict[str, dict], step: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Stripes as rows; taking the document count out leaves the sources' counts."""
+    terms = list(stripes)
+    for at in range(0, len(terms), step):
+        own = terms[at : at + step]
+        rows = [stripes[t] for t in own]
+        documents = [r.pop(DOCUMENTS) for r in rows]
+        sizes = [len(r) for r in rows]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([lang] * len(own), pa.string()),
+                pa.array(own, pa.string()),
+                pa.array(documents, pa.int64()),
+                _lists([x for r in rows for x in r], sizes, pa.string()),
+                _lists([x for r in rows for x in r.values()], sizes, pa.int64()),
+            ],
+            names=STRIPE.names,
+        )
 
 
 def _folded(entries: int):
-    find, lower = re.compile(TERM).findall, LOWER
+    find = re.compile(TERM).findall
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes: dict[tuple[str, str], list] = {}
+        stripes: dict[str, dict[str, dict]] = {}
         held = 0
         for batch in batches:
             for text, lang, source in zip(*[c.to_pylist() for c in batch.columns]):
-                low = text.lower() if text.isascii() else text.translate(lower)
+                low = text.lower() if text.isascii() else text.encode().lower().decode()
+                own = stripes.setdefault(lang, {})
+                known = own.get
                 for term, n in Counter(find(low)).items():
-                    stripe = stripes.get((lang, term))
+                    stripe = known(term)
                     if stripe is None:
-                        stripe = stripes[lang, term] = [0, {}]
-                    stripe[0] += 1
-                    counts = stripe[1]
-                    if source in counts:
-                        counts[source] += n
-                    else:
-                        counts[source] = n
+                        own[term] = {DOCUMENTS: 1, source: n}
                         held += 1
+                    else:
+                        stripe[DOCUMENTS] += 1
+                        if source in stripe:
+                            stripe[source] += n
+                        else:
+                            stripe[source] = n
+                            held += 1
                 if held >= entries:
-                    yield from _stripe_rows(stripes)
+                    for name, full in stripes.items():
+                        yield from _stripe_rows(name, full)
                     stripes, held = {}, 0
-        yield from _stripe_rows(stripes)
+        for name, full in stripes.items():
+            yield from _stripe_rows(name, full)
 
     return run
 
 
 def _merged(least: int):
+    """Over stripes sorted by key: runs of equal keys are found by whole columns, and only
+    stripes of terms in enough documents are opened."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, documents, counts = None, 0, {}
-        rows: list[tuple] = []
+        key: tuple | None = None  # the last key of a batch may go on in the next one
+        documents, pieces = 0, []
+        kept: dict[str, dict[str, dict]] = {}
+
+        def take() -> None:
+            if key is not None and documents >= least:
+                stripe = kept.setdefault(key[0], {})[key[1]] = {DOCUMENTS: documents}
+                for sources, own in pieces:
+                    for source, n in zip(sources.to_pylist(), own.to_pylist()):
+                        stripe[source] = stripe.get(source, 0) + n
+
+        def flush(rows: int) -> Iterator[pa.RecordBatch]:
+            if sum(map(len, kept.values())) >= rows:
+                for lang, own in kept.items():
+                    yield from _stripe_rows(lang, own)
+                kept.clear()
+
         for batch in batches:
-            for lang, term, n, sources, own in zip(*[c.to_pylist() for c in batch.columns]):
-                if (lang, term) != key:
-                    if documents >= least:
-                        rows.append((*key, documents, list(counts), list(counts.values())))
-                    key, documents, counts = (lang, term), 0, {}
-                documents += n
-                for source, count in zip(sources, own):
-                    counts[source] = counts.get(source, 0) + count
-            if len(rows) >= 4096:
-                yield _batch(rows, STRIPE.names, _STRIPE_KINDS)
-                rows = []
-        if documents >= least:
-            rows.append((*key, documents, list(counts), list(counts.values())))
-        if rows:
-            yield _batch(rows, STRIPE.names, _STRIPE_KINDS)
+            if not batch.num_rows:
+                continue
+            langs, terms, sums, sources, counts = batch.columns
+            fresh = np.ones(len(terms), bool)
+            same = [pc.equal(c.slice(1), c.slice(0, len(c) - 1)) for c in (langs, terms)]
+            fresh[1:] = ~pc.and_(*same).to_numpy(zero_copy_only=False)
+            starts = np.nonzero(fresh)[0]
+            ends = np.append(starts[1:], len(terms))
+            totals = np.add.reduceat(sums.to_numpy(), starts)
+            for i in np.nonzero((totals >= least) | (starts == 0) | (ends == len(terms)))[0].tolist():
+                start, end = int(starts[i]), int(ends[i])
+                own = (langs[start].as_py(), terms[start].as_py())
+                if own != key:
+                    take()
+                    key, documents, pieces = own, 0, []
+                documents += int(totals[i])
+                pieces.append((sources.slice(start, end - start).flatten(), counts.slice(start, end - start).flatten()))
+            yield from flush(4096)
+        take()
+        yield from flush(1)
 
     return run
 
