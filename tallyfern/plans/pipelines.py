@@ -39,7 +39,7 @@ def ingest(
     bank = readers.read_bank_marketing(spark, bank_folder)
     if bank_sample is not None:
         bank = sampling.sample_n(bank, bank_sample, seed, bank.columns)
-    # A multi-line CSV is parsed by one task: land it as parquet once.
+    # Sampling reads the rows several times: parse the CSV once.
     complaints = landed = cut_lineage(readers.read_text_corpus(spark, complaints_file))
     if complaints_sample is not None:
         complaints = sampling.bounded_sample(

@@ -12,6 +12,7 @@ MODULES = (
     "model_queries",
     "stream_queries",
     "record_queries",
+    "file_queries",
 )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfern.functions.text import is_nonempty
+from tallyfern.sources import delimited
 from tallyfern.sources.paths import path_exists, stored_bytes
 
 # Bank-marketing columns, in order.
@@ -86,14 +87,10 @@ def missing_tokens_to_null(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) ->
     )
 
 
-def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
-    return spark.read.csv(path, sep=sep, header=True, quote='"', escape='"').columns
-
-
-def _padded(spark: SparkSession, path: str, sep: str, multiline: bool) -> DataFrame:
-    """All-string read where short lines are padded; one sentinel column after the
-    header's catches the surplus of a long line."""
-    names = _header(spark, path, sep)
+def _padded(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """All-string read of one-line records where short lines are padded; one sentinel
+    column after the header's catches the surplus of a long line."""
+    names = delimited.header(spark, path, sep)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
     return spark.read.csv(
         path,
@@ -101,7 +98,6 @@ def _padded(spark: SparkSession, path: str, sep: str, multiline: bool) -> DataFr
         sep=sep,
         header=True,
         enforceSchema=True,
-        multiLine=multiline,
         quote='"',
         escape='"',
         mode="PERMISSIVE",
@@ -109,19 +105,32 @@ def _padded(spark: SparkSession, path: str, sep: str, multiline: bool) -> DataFr
 
 
 def _delimited(
-    spark: SparkSession, path: str, sep: str, multiline: bool, tokens: Sequence[str]
+    spark: SparkSession,
+    path: str,
+    sep: str,
+    multiline: bool,
+    tokens: Sequence[str],
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """All-string read without the lines that are too long (:func:`rejected_lines`
     counts them).  DROPMALFORMED would decide by the columns a query selects."""
-    raw = _padded(spark, path, sep, multiline)
-    return missing_tokens_to_null(raw.where(F.col(_EXTRA).isNull()).drop(_EXTRA), tokens)
+    if not multiline:
+        raw = _padded(spark, path, sep)
+        return missing_tokens_to_null(raw.where(F.col(_EXTRA).isNull()).drop(_EXTRA), tokens)
+    limit = len(delimited.header(spark, path, sep))
+    raw = delimited.read_quoted_csv(spark, path, columns, sep)
+    return missing_tokens_to_null(raw.where(F.col(delimited.CELLS) <= limit).drop(delimited.CELLS), tokens)
 
 
 def rejected_lines(
     spark: SparkSession, path: str, sep: str = ",", multiline: bool = True
 ) -> int:
     """Lines with more fields than the header, which the readers leave out."""
-    return _padded(spark, path, sep, multiline).where(F.col(_EXTRA).isNotNull()).count()
+    if not multiline:
+        return _padded(spark, path, sep).where(F.col(_EXTRA).isNotNull()).count()
+    names = delimited.header(spark, path, sep)
+    raw = delimited.read_quoted_csv(spark, path, names[:1], sep)
+    return raw.where(F.col(delimited.CELLS) > len(names)).count()
 
 
 def read_delimited_first_available(
@@ -162,10 +171,10 @@ def read_text_corpus(
 ) -> DataFrame:
     """Mapped columns of a CSV with quoted multi-line text; blank texts drop.
 
-    A multi-line CSV file cannot be split, so convert it to parquet once and
-    work from there.
+    Files are read in parallel ranges and only the mapped columns are taken out of
+    their records.
     """
-    raw = _delimited(spark, path, sep, True, NA_TOKENS)
+    raw = _delimited(spark, path, sep, True, NA_TOKENS, list(mapping))
     return filter_nonempty_text(rename_project(raw, mapping), text_column)
 
 
