@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from tallyfern.functions.text import is_nonempty
 from tallyfern.functions.vectors import DISTANCE_DECIMALS, similarity
-from tallyfern.sources.session import shared_folder
+from tallyfern.sources.session import shared_folder, small_side
 from tallyfern.sources.tables import cut_lineage
 
 # Results per question and the refusal distance.
@@ -255,9 +255,9 @@ def top_k(
         block = _block_of(rows, vector, cell)
         found = _search_block(chunks, block, query_field, chunk_key, vector, cell)
         best = _ranked(found, query_key, chunk_key, block.k)
-        # At most k narrow rows per question of one block: bounded by the block's size.
+        # Few winners are sent to the chunks; many meet them in a shuffle.
         rest = [c for c in chunks.columns if c != vector]
-        return chunks.select(*rest).join(F.broadcast(best), chunk_key).select(
+        return chunks.select(*rest).join(small_side(best), chunk_key).select(
             query_key, *rest, "distance", "rank"
         )
 
@@ -312,6 +312,14 @@ def chunks_of_document(
     return own.orderBy("chunk_index", "chunk_id").limit(k)
 
 
+def chunks_by_document(
+    chunks: DataFrame, k: int = DOCUMENT_TOP_K, document_column: str = "complaint_id"
+) -> DataFrame:
+    """The first ``k`` chunks of every document, with their place from 1 as ``place``."""
+    order = Window.partitionBy(document_column).orderBy("chunk_index", "chunk_id")
+    return chunks.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
 def fit_cells(
     chunks: DataFrame, n_cells: int, vector: str = "embedding", seed: int = 42
 ) -> KMeansModel:

@@ -8,29 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfern.functions.text import chunk_text, clean_text
-from tallyfern.operators import answer_eval, answers, encoding, retrieval
+from tallyfern.operators import answer_eval, answers, encoding, quantised, retrieval
 from tallyfern.plans.table_queries import table
 from tallyfern.plans.text_queries import CHUNKS_SQL, chunks
 from tallyfern.sources.session import shared_folder
+from tallyfern.sources.tables import cut_lineage
 
 DIMENSIONS = encoding.DIMENSIONS
 TIGHT_DISTANCE = 0.6
 STRONG_SIMILARITY = 0.75
-MEAN_REFUSAL = 0.65
+VECTOR_REFUSAL = 0.65
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
 
 
-def label_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question per label: the mean vector of all its embeddings."""
-    parts = vectors(spark, sf_dir).select("label", F.posexplode("embedding").alias("i", "x"))
-    means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
-    return means.groupBy(F.col("label").alias("query_id")).agg(
-        F.transform(ordered, lambda p: p["x"]).alias("embedding")
-    )
+def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 20 asks for its neighbours among all rows."""
+    asked = vectors(spark, sf_dir).where("vec_id % 20 = 0")
+    return asked.withColumnRenamed("vec_id", "query_id")
 
 
 def _near(found: DataFrame) -> DataFrame:
@@ -43,25 +40,26 @@ def _near(found: DataFrame) -> DataFrame:
 
 
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(retrieval.top_k(vectors(spark, sf_dir), label_means(spark, sf_dir), chunk_key="vec_id"))
+    asked = vector_questions(spark, sf_dir).drop("label")
+    return _near(retrieval.top_k(vectors(spark, sf_dir), asked, chunk_key="vec_id"))
 
 
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each label's mean searches another label, for as many results as it says."""
-    questions = label_means(spark, sf_dir).select(
-        "*",
+    """Each vector searches the label after its own, for as many results as that says."""
+    questions = vector_questions(spark, sf_dir).select(
+        "query_id",
+        "embedding",
         F.lit("label").alias("filter_key"),
-        ((F.col("query_id") + 1) % 10).cast("string").alias("filter_value"),
-        (F.col("query_id") + 1).alias("top_k"),
+        ((F.col("label") + 1) % 10).cast("string").alias("filter_value"),
+        (F.col("label") + 1).alias("top_k"),
     )
     return _near(retrieval.top_k(vectors(spark, sf_dir), questions, chunk_key="vec_id"))
 
 
 def refused_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of the 20 nearest of each mean survive a tight refusal distance."""
-    kept = retrieval.retrieve(
-        vectors(spark, sf_dir), label_means(spark, sf_dir), 20, MEAN_REFUSAL, chunk_key="vec_id"
-    )
+    """How many of the 20 nearest of each vector survive a tight refusal distance."""
+    asked = vector_questions(spark, sf_dir).drop("label")
+    kept = retrieval.retrieve(vectors(spark, sf_dir), asked, 20, VECTOR_REFUSAL, chunk_key="vec_id")
     return kept.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n_kept"), F.round(F.max("similarity"), 6).alias("best_similarity")
     )
@@ -334,15 +332,12 @@ _JUDGED_SQL = RECORDS_SQL + f""", judged AS (
                  ELSE answer_present AND evidence_ids_present AND prompt_version_ok END AS passed
   FROM judged
 )"""
-_MEANS_SQL = """
-means AS (
-  SELECT label AS query_id, list(x ORDER BY i) AS v FROM (
-    SELECT label, i, avg(e.embedding[i]::DOUBLE) AS x
-    FROM embeddings e, range(1, 65) AS r(i) GROUP BY label, i) GROUP BY label
-), pairs AS (
-  SELECT query_id, vec_id, label,
-         round(1 - list_cosine_similarity(v, CAST(embedding AS DOUBLE[])), 9) AS distance
-  FROM means, embeddings
+_PAIRS_SQL = """
+pairs AS (
+  SELECT q.vec_id AS query_id, q.label AS asked_label, e.vec_id, e.label,
+         round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9)
+           AS distance
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0
 )"""
 
 
@@ -369,42 +364,37 @@ def filter_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CELLS, PROBES = 8, 4
+CELLS = 8
 
 
-def _by_cells(spark: SparkSession, sf_dir: str, probes: int) -> DataFrame:
-    """Vectors stored by cell; only the probed cells are read back."""
+def approx_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors stored by cell and every cell searched: the exact result."""
     stored = vectors(spark, sf_dir)
     cells = retrieval.fit_cells(stored, CELLS)
     place = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
     retrieval.assign_cells(stored, cells).write.partitionBy("cell").parquet(place)
+    asked = vector_questions(spark, sf_dir).drop("label")
     celled = spark.read.parquet(place)
-    asked = label_means(spark, sf_dir)
-    return _near(retrieval.approx_top_k(celled, asked, cells, probes, chunk_key="vec_id"))
+    return _near(retrieval.approx_top_k(celled, asked, cells, CELLS, chunk_key="vec_id"))
 
 
 def approx_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the cells searched."""
-    return _by_cells(spark, sf_dir, PROBES)
-
-
-def approx_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cell searched: the exact result."""
-    return _by_cells(spark, sf_dir, CELLS)
+    """The nearest rows by product-quantised codes, the best of them ranked exactly."""
+    stored = vectors(spark, sf_dir)
+    books = quantised.fit_codebooks(stored)
+    coded = cut_lineage(quantised.encode_vectors(stored.select("vec_id", "embedding"), books))
+    asked = vector_questions(spark, sf_dir).drop("label")
+    return _near(quantised.quantised_top_k(coded, stored, asked, books, chunk_key="vec_id"))
 
 
 def approx_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each question's exact results that half of the cells give."""
-    found = approx_topk(spark, sf_dir).select("query_id", "vec_id", F.lit(1).alias("hit"))
-    exact = knn_topk(spark, sf_dir).select("query_id", "vec_id")
-    return exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(
-        F.avg(F.coalesce("hit", F.lit(0))).alias("recall")
-    )
+    """Share of each question's exact results that the codes find."""
+    return quantised.recall(approx_topk(spark, sf_dir), knn_topk(spark, sf_dir), "vec_id")
 
 
 def chunks_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of one document, by place."""
-    return retrieval.chunks_of_document(chunks(spark, sf_dir), "7").select(
+    """The first chunks of every document, by place."""
+    return retrieval.chunks_by_document(chunks(spark, sf_dir)).select(
         "chunk_id", "complaint_id", "chunk_index", "text"
     )
 
@@ -438,17 +428,17 @@ SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_name ELSE '{answers.DEFAULT_QUE
             WHEN c_acctbal > 3000 THEN CAST(c_nationkey AS VARCHAR) END AS filter_value
 FROM customer""",
     "chunks_of_document": f"""WITH {CHUNKS_SQL}
-SELECT chunk_id, complaint_id, chunk_index, text FROM chunks WHERE complaint_id = '7'
-ORDER BY chunk_index, chunk_id LIMIT {retrieval.DOCUMENT_TOP_K}""",
-    "approx_all_cells": f"""WITH {_MEANS_SQL}, {_rank_sql("5")}
+SELECT chunk_id, complaint_id, chunk_index, text FROM chunks
+QUALIFY row_number() OVER (PARTITION BY complaint_id ORDER BY chunk_index, chunk_id) <= {retrieval.DOCUMENT_TOP_K}""",
+    "approx_all_cells": f"""WITH {_PAIRS_SQL}, {_rank_sql("5")}
 SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM ranked""",
-    "knn_topk": f"""WITH {_MEANS_SQL}, {_rank_sql("5")}
+    "knn_topk": f"""WITH {_PAIRS_SQL}, {_rank_sql("5")}
 SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM ranked""",
-    "knn_filtered": f"""WITH {_MEANS_SQL}, {_rank_sql("query_id + 1", "label = (query_id + 1) % 10")}
+    "knn_filtered": f"""WITH {_PAIRS_SQL}, {_rank_sql("asked_label + 1", "label = (asked_label + 1) % 10")}
 SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM ranked""",
-    "refused_queries": f"""WITH {_MEANS_SQL}, {_rank_sql("20")}
+    "refused_queries": f"""WITH {_PAIRS_SQL}, {_rank_sql("20")}
 SELECT query_id, count(*) AS n_kept, round(max(1 - distance / 2), 6) AS best_similarity
-FROM ranked WHERE distance < {MEAN_REFUSAL}::DOUBLE GROUP BY query_id""",
+FROM ranked WHERE distance < {VECTOR_REFUSAL}::DOUBLE GROUP BY query_id""",
     "ask_topk": f"""WITH {found_sql(retrieval.REFUSAL_DISTANCE)}
 SELECT query_id, rank, chunk_id, complaint_id, round(distance, 6) AS distance,
        round(similarity, 6) AS similarity FROM found""",

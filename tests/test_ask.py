@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfern.functions.vectors import cosine_distance, similarity
-from tallyfern.operators import answer_eval, answers, encoding, retrieval
+from tallyfern.operators import answer_eval, answers, encoding, quantised, retrieval
 
 DIM = 8
 
@@ -223,3 +223,61 @@ def test_default_cases(spark):
     cases = answer_eval.default_cases(spark)
     assert cases.where("description = ''").count() == 0
     assert cases.count() == 12 and cases.where("expect_refused").count() == 1
+
+
+def quantised_search(spark, rows, asked, **options):
+    """(query, key, rank, distance) by codes and exactly."""
+    stored = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(5)
+    questions = spark.createDataFrame(asked, "query_id long, embedding array<float>, question string")
+    books = quantised.fit_codebooks(stored, parts=4, codes=16)
+    coded = quantised.encode_vectors(stored, books)
+    assert {len(r.codes) for r in coded.collect()} <= {4}
+    near = quantised.quantised_top_k(coded, stored, questions, books, **options)
+    exact = retrieval.top_k(stored, questions, options.get("k", 5))
+    shown = lambda f: {(r.query_id, r["rank"], r.chunk_id, round(r.distance, 6)) for r in f.collect()}
+    return shown(near), shown(exact), quantised.recall(near, exact).collect()
+
+
+def clustered(n, width, seed=9):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(12, width))
+    return (middles[rng.integers(0, 12, n)] + rng.normal(scale=0.6, size=(n, width))).astype(np.float32)
+
+
+def test_codes_find_the_neighbours(spark):
+    points = clustered(1_500, 30)  # 30 dimensions leave the last part padded
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    asked = [(i, points[i].tolist(), "x") for i in range(0, 1_500, 20)] + [(-1, points[3].tolist(), "  "), (-2, None, "x")]
+    near, exact, recalls = quantised_search(spark, rows, asked)
+    assert len(recalls) == 75 and np.mean([r.recall for r in recalls]) >= 0.9
+    assert {q for q, *_ in near} == {q for q, *_ in exact} == set(range(0, 1_500, 20))
+
+
+def test_codes_are_exact_when_all_rows_are_ranked(spark):
+    points = clustered(90, 8).tolist()
+    rows = [(i, p) for i, p in enumerate([*points, points[0], points[0], [0.0] * 8])] + [(99, None)]
+    asked = [(i, points[i], "x") for i in range(7)]
+    near, exact, _ = quantised_search(spark, rows, asked, k=5, rerank=20, block_bytes=3 * 64)
+    assert near == exact
+
+
+def test_codes_of_few_rows(spark):
+    near, exact, _ = quantised_search(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])], [(5, [1.0, 0.1], "x")])
+    assert near == exact and len(near) == 2
+    with pytest.raises(ValueError):
+        quantised.fit_codebooks(spark.createDataFrame([], "embedding array<float>"))
+
+
+def test_registered_recall(spark):
+    """Codes against the exact search, every row with an id divisible by 20 asked."""
+    from tallyfern.plans import ask_queries
+
+    recalls = [r.recall for r in ask_queries.approx_recall(spark, "/root/testdata/sf0.01").collect()]
+    assert len(recalls) > 0 and sum(recalls) / len(recalls) >= 0.9
+
+
+def test_first_chunks_of_every_document(spark):
+    rows = [(f"c{d}{i}", str(d), i, "t") for d in range(3) for i in (4, 0, 2, 1, 3)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, complaint_id string, chunk_index int, text string")
+    got = {(r.complaint_id, r.place): r.chunk_index for r in retrieval.chunks_by_document(chunks, 3).collect()}
+    assert got == {(str(d), i + 1): i for d in range(3) for i in range(3)}
