@@ -26,8 +26,8 @@ from tallyfern.sources.tables import cut_lineage
 #: Fixed by the contract: words of a window.
 WINDOW_WORDS = 13
 MINIMISER_WORDS = 2
-#: Buckets for each shuffle partition.
-BUCKETS_PER_PARTITION = 8
+#: Text of a bucket on the average: some 300,000 windows.
+BUCKET_BYTES = 2 << 20
 #: Windows of a bucket above which its windows are dealt to several; about 100 bytes each.
 HOT_WINDOWS = 2 << 20
 #: Text gathered before its super-k-mers are packed and sent.
@@ -307,12 +307,14 @@ def repeated_windows(
     """Runs of windows that also start in a document with a smaller id: ``id``,
     ``mark`` (a hash of the text, for ids that repeat), ``first`` word, ``windows``.
 
+    The number of buckets follows the length of all texts, whatever the number of tasks.
     A first pass counts the windows of each bucket; those of buckets above
     ``HOT_WINDOWS`` are dealt to several by their own hash.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    length = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    buckets = 1 + length // BUCKET_BYTES
     source = docs.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).cast("long"), F.hash(text), F.col(text).cast("string")
     )
