@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ KOLMOGOROV_SMIRNOV = "K-S p_value"
 CHI_SQUARE = "chi-square p_value"
 PROPORTION_Z = "Z-test p_value"
 
+#: Rows of either sample up to which its p-value is exact.
+EXACT_ROWS = 1_000
 KOLMOGOROV_TERMS = 100
 
 
@@ -169,6 +172,47 @@ def kolmogorov_p(distance: Column, n: Column, m: Column) -> Column:
     )
 
 
+def _exact_kolmogorov(distance: float, n: int, m: int) -> float:
+    """Chance that two samples of one continuous distribution lie ``distance`` apart or more.
+
+    The merged order of the samples is a random lattice path from (0, 0) to (n, m); the
+    chance that it leaves the band |i/n - j/m| < distance is summed diagonal by diagonal.
+    """
+    limit = round(distance * n * m)  # on whole numbers, so that a tie counts as reached
+    if limit <= 0:
+        return 1.0
+    inside, outside = np.zeros(n + 1), 0.0
+    inside[0] = 1.0
+    i = np.arange(n + 1)
+    for step in range(n + m):
+        up = inside * np.clip((n - i) / (n + m - step), 0.0, 1.0)
+        inside = inside - up
+        inside[1:] += up[:-1]
+        j = step + 1 - i
+        crossed = (np.abs(i * m - j * n) >= limit) & (inside > 0)
+        outside += inside[crossed].sum()
+        inside[crossed] = 0.0
+    return min(1.0, outside)
+
+
+@pandas_udf(T.DoubleType())
+def _exact_kolmogorov_p(distance: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    rows = zip(distance, n, m)
+    return pd.Series(
+        [
+            None if pd.isna(d) or min(a, b) < 1 or max(a, b) > EXACT_ROWS else _exact_kolmogorov(d, int(a), int(b))
+            for d, a, b in rows
+        ]
+    )
+
+
+def two_sample_p(distance: Column, n: Column, m: Column) -> Column:
+    """Two-sample p-value of a Kolmogorov-Smirnov distance: exact for samples of up to
+    ``EXACT_ROWS`` rows each, which are few rows of statistics and not of data, else by
+    the asymptotic series."""
+    return F.coalesce(_exact_kolmogorov_p(distance, n, m), kolmogorov_p(distance, n, m))
+
+
 @pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p-value of a standard normal statistic."""
@@ -248,7 +292,7 @@ def drift_by_column(
     named = stats.withColumns(
         {
             "stattest": test,
-            "ks_p": kolmogorov_p(F.col("ks"), F.col("rows_ref"), F.col("rows_cur")),
+            "ks_p": two_sample_p(F.col("ks"), F.col("rows_ref"), F.col("rows_cur")),
             "z_p": normal_p(F.col("z")),
             "chi_square_p": chi_square_p(F.col("chi_square"), F.col("distinct_all") - 1),
         }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfern.operators.chunking import chunk_table, chunks_per_group
+from tallyfern.plans.table_queries import table
 from tallyfern.plans.text_queries import CHUNKS_SQL, DOCUMENT_COLUMNS
 from tallyfern.sources.session import shared_folder
 from tallyfern.sources.tables import read_index, upsert_version
@@ -65,7 +66,7 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One index built in batch, edited by an upsert and fed by a stream."""
     place = _workplace(spark)
-    base, documents = f"{place}/index", spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base, documents = f"{place}/index", table(spark, sf_dir, "documents")
     upsert_version(chunk_table(documents.where("doc_id % 3 = 0"), "text", DOCUMENT_COLUMNS), base)
     edited = documents.where("doc_id % 6 = 0").withColumn("lang", F.lit("edited"))
     upsert_version(chunk_table(edited, "text", DOCUMENT_COLUMNS), base)

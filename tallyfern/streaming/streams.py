@@ -82,6 +82,12 @@ def _batch_name(batch: DataFrame, number: int) -> str:
     return f"{query}-{number}"
 
 
+def _spread(batch: DataFrame, key: str) -> DataFrame:
+    """A batch of fewer splits than cores, dealt by ``key``: chunking is the heavy part."""
+    cores = batch.sparkSession.sparkContext.defaultParallelism
+    return batch if batch.rdd.getNumPartitions() >= cores else batch.repartition(cores, key)
+
+
 def index_stream(
     documents: DataFrame,
     base: str,
@@ -99,8 +105,10 @@ def index_stream(
     versions the index is written as one.
     """
 
+    document = (columns or {}).get("complaint_id", "complaint_id")
+
     def add(batch: DataFrame, number: int) -> None:
-        chunks = chunk_table(batch, text_column, columns)
+        chunks = chunk_table(_spread(batch, document), text_column, columns)
         if encoder is not None:
             chunks = encoding.encode(chunks, encoder)
         write_version(chunks, base, _batch_name(batch, number))

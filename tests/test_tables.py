@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import itertools
 import math
 import statistics
 
@@ -323,3 +324,37 @@ def test_more_unexpected_values_than_any_list(spark):
     record = quality.run_checks(df, "d", [rule]).first()
     assert record.details["unexpected_distinct"] == "2998"
     assert quality.unexpected_values(df, "y", ("1", "2")).count() == 2998
+
+
+def enumerated_p(distance, n, m):
+    """Share of all merged orders whose largest gap reaches the distance."""
+    limit, reached, total = round(distance * n * m), 0, 0
+    for ones in itertools.combinations(range(n + m), n):
+        chosen, i, far = set(ones), 0, 0
+        for step in range(n + m):
+            i += step in chosen
+            far = max(far, abs(i * m - (step + 1 - i) * n))
+        reached += far >= limit
+        total += 1
+    return reached / total
+
+
+def test_exact_kolmogorov_by_enumeration():
+    for n, m in ((1, 1), (2, 3), (4, 4), (5, 7), (6, 6), (3, 8)):
+        gaps = {abs(i * m - j * n) for i in range(n + 1) for j in range(m + 1)}
+        for gap in gaps:
+            p = drift._exact_kolmogorov(gap / (n * m), n, m)
+            assert p == pytest.approx(enumerated_p(gap / (n * m), n, m), abs=1e-12), (n, m, gap)
+    # Published values for two samples of twelve: D = 6/12 and 8/12.
+    assert drift._exact_kolmogorov(6 / 12, 12, 12) == pytest.approx(0.0995, abs=1e-4)
+    assert drift._exact_kolmogorov(8 / 12, 12, 12) == pytest.approx(0.0080, abs=5e-4)
+    assert drift._exact_kolmogorov(1.0, 12, 12) == pytest.approx(2 / math.comb(24, 12), rel=1e-9)
+
+
+def test_two_sample_p_is_exact_only_for_small_samples(spark):
+    rows = [(0.5, 12, 12), (0.05, 1_000, 1_000), (0.05, 1_001, 1_000), (0.0, 5, 5), (None, 5, 5)]
+    frame = spark.createDataFrame(rows, "d double, n long, m long")
+    got = [r.p for r in frame.select(drift.two_sample_p(F.col("d"), F.col("n"), F.col("m")).alias("p")).collect()]
+    series = frame.select(drift.kolmogorov_p(F.col("d"), F.col("n"), F.col("m")).alias("p")).collect()
+    assert got[0] == pytest.approx(drift._exact_kolmogorov(0.5, 12, 12)) and got[3] == 1.0
+    assert got[2] == series[2].p and got[1] != series[1].p and got[1] == pytest.approx(series[1].p, abs=0.02)
