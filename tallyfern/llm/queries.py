@@ -208,8 +208,7 @@ FROM docs LEFT JOIN covered c USING (doc_id) LEFT JOIN owners o USING (doc_id)""
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 15) AS k
   FROM parts WHERE len(w) > 0
 ), families AS (
-  SELECT d.doc_id, d.host, coalesce(array_to_string(list_sort(list(DISTINCT k))[1:2], ' '), '') AS family
-  FROM docs d LEFT JOIN lines USING (doc_id) GROUP BY 1, 2
+  SELECT doc_id, host, md5(t) AS family FROM docs
 ), hosts AS (
   SELECT host, count(DISTINCT family) AS n FROM families GROUP BY 1
 ), frequent AS (
