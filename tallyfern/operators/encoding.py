@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, SQLTransformer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,20 +94,24 @@ def encode_with(
 ) -> DataFrame:
     """Rows plus vectors of a user's encoder.
 
-    ``load_encoder`` runs once per task and returns a function from a list of
-    texts to a sequence of vectors.
+    ``load_encoder`` runs once per Python process and returns a function from a list of
+    at most ``batch_size`` texts to as many vectors of one length.  Only the text column
+    goes to Python; a null text is an empty one.
     """
-    schema = T.StructType([*chunks.schema.fields, T.StructField(output, T.ArrayType(T.FloatType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[np.ndarray], np.ndarray]:
         encoder = load_encoder()
-        for batch in batches:
-            for start in range(0, len(batch), batch_size):
-                part = batch.iloc[start : start + batch_size].copy()
-                part[output] = [list(map(float, v)) for v in encoder(part[text_column].tolist())]
-                yield part
 
-    return chunks.mapInPandas(run, schema)
+        def predict(texts: np.ndarray) -> np.ndarray:
+            vectors = np.asarray(encoder([str(t) for t in texts]), np.float32)
+            if vectors.ndim != 2 or len(vectors) != len(texts):
+                raise ValueError(f"the encoder gave shape {vectors.shape} for {len(texts)} texts")
+            return vectors
+
+        return predict
+
+    encoded = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    return chunks.withColumn(output, encoded(F.coalesce(F.col(text_column), F.lit(""))))
 
 
 def unit_vectors(df: DataFrame, column: str = "embedding") -> DataFrame:

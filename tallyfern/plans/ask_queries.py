@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfern.functions.text import chunk_text, clean_text
-from tallyfern.operators import answer_eval, answers, encoding, quantised, retrieval
+from tallyfern.operators import answer_eval, answer_store, answers, encoding, quantised, retrieval
 from tallyfern.plans.table_queries import table
 from tallyfern.plans.text_queries import CHUNKS_SQL, chunks
 from tallyfern.sources.session import shared_folder
@@ -399,7 +399,60 @@ def chunks_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Letters that the demonstration encoder counts.
+LETTERS = "aeiounst"
+
+
+def _load_letter_counter():
+    """An encoder as a model would be: arrays of a batch in, one vector a text out."""
+    import numpy as np
+
+    marks = np.array([ord(c) for c in LETTERS])
+
+    def encode(texts: list[str]) -> np.ndarray:
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(t) for t in texts])
+        seen = np.zeros((len(points) + 1, len(marks)), np.int64)
+        np.cumsum(points[:, None] == marks[None, :], axis=0, out=seen[1:])
+        return seen[ends] - seen[np.append(0, ends[:-1])]
+
+    return encode
+
+
+def encoded_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk encoded in batches by a loaded encoder."""
+    encoded = encoding.encode_with(chunks(spark, sf_dir), _load_letter_counter)
+    return encoded.select(
+        "chunk_id", *[F.col("embedding")[i].cast("double").alias(f"n_{c}") for i, c in enumerate(LETTERS)]
+    )
+
+
+def _load_echo():
+    """A model that answers with the length of its prompt; some prompts fail."""
+
+    def answer(prompt: str) -> tuple[str, int, int]:
+        if len(prompt) % 7 == 0:
+            raise ValueError("out of words")
+        return f"{len(prompt)} characters", len(prompt), 2
+
+    return answer
+
+
+def stored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prompt answered through the store, twice: the second run finds the answers."""
+    prepared = cut_lineage(_prepared(spark, sf_dir))
+    store = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    for _ in range(2):
+        given = answer_store.answer_once(prepared, _load_echo, store, "echo")
+    records = answers.answer_records(prepared, given, model="echo")
+    return records.select(
+        "query_id", "answer", "refused", F.col("token_usage.total_tokens").alias("total_tokens")
+    )
+
+
 QUERIES = {
+    "encoded_by_model": encoded_by_model,
+    "stored_answers": stored_answers,
     "approx_topk": approx_topk,
     "approx_all_cells": approx_all_cells,
     "approx_recall": approx_recall,
@@ -420,6 +473,20 @@ QUERIES = {
 }
 
 ORACLES = {
+    "encoded_by_model": f"""WITH {CHUNKS_SQL}
+SELECT chunk_id, {", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE) AS n_{c}" for c in LETTERS)}
+FROM chunks""",
+    "stored_answers": f"""WITH {_EVIDENCE_SQL}, sized AS (
+  SELECT query_id, question, grounded,
+         length('{_HEAD}' || question || '{_MIDDLE}' || n_chunks || '{_JOINT}' || evidence_block || '{_TAIL}') AS n
+  FROM prepared
+)
+SELECT query_id, CASE WHEN NOT grounded AND trim(question) = '' THEN '{answers.BLANK_QUESTION_MESSAGE}'
+                      WHEN NOT grounded THEN '{answers.REFUSAL_MESSAGE}'
+                      WHEN n % 7 = 0 THEN '{answers.ERROR_PREFIX}' || 'out of words'
+                      ELSE n || ' characters' END AS answer,
+       NOT grounded OR n % 7 = 0 AS refused,
+       CASE WHEN grounded AND n % 7 <> 0 THEN CAST(n + 2 AS INTEGER) END AS total_tokens FROM sized""",
     "filter_choice": f"""
 SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_name ELSE '{answers.DEFAULT_QUESTION}' END AS question,
        CASE WHEN c_mktsegment <> 'BUILDING' THEN 'product' WHEN c_acctbal > 3000 THEN 'issue' END

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfern.functions.vectors import cosine_distance, similarity
-from tallyfern.operators import answer_eval, answers, encoding, quantised, retrieval
+from tallyfern.operators import answer_eval, answer_store, answers, encoding, quantised, retrieval
 
 DIM = 8
 
@@ -281,3 +281,63 @@ def test_first_chunks_of_every_document(spark):
     chunks = spark.createDataFrame(rows, "chunk_id string, complaint_id string, chunk_index int, text string")
     got = {(r.complaint_id, r.place): r.chunk_index for r in retrieval.chunks_by_document(chunks, 3).collect()}
     assert got == {(str(d), i + 1): i for d in range(3) for i in range(3)}
+
+
+def paid_prompts(folder):
+    """Prompts in the order in which the model was called."""
+    return [line for f in sorted(folder.iterdir()) for line in f.read_text().splitlines()]
+
+
+def test_answers_are_paid_for_once(spark, tmp_path):
+    """The process dies in the middle of a run; the next run asks only what no batch had kept."""
+    calls, broken = tmp_path / "calls", tmp_path / "broken"
+    calls.mkdir()
+    broken.touch()
+    rows = [(i, f"prompt {i % 40}", i == 50) for i in range(51)]
+    prepared = spark.createDataFrame(rows, "query_id long, prompt string, refused boolean").repartition(3)
+
+    def load():
+        import os
+        import uuid
+
+        name = calls / uuid.uuid4().hex
+
+        def model(prompt):
+            if broken.exists() and prompt == "prompt 17":
+                os._exit(1)
+            with open(name, "a") as out:
+                out.write(prompt + "\n")
+            if prompt == "prompt 3":
+                raise ValueError("no luck")
+            return prompt.upper(), 2, 3
+
+        return model
+
+    def run():
+        return answer_store.answer_once(prepared, load, str(tmp_path / "store"), "m", batch_prompts=8)
+
+    with pytest.raises(Exception):
+        run()
+    kept = answer_store.stored_answers(spark, str(tmp_path / "store"))
+    kept = set() if kept is None else {r.answer.lower() for r in kept.where("error IS NULL").collect()}
+    assert 0 < len(kept) < 40
+    broken.unlink()
+    before = len(paid_prompts(calls))
+    got = {r.query_id: (r.answer, r.total_tokens, r.error) for r in run().collect()}
+    second = paid_prompts(calls)
+    assert len(second) - before == 40 - len(kept)
+    expected = {i: (p.upper(), 5, None) for i, p, _ in rows if i != 50}
+    expected[3] = expected[43] = (None, None, "no luck")
+    assert got == expected
+    run()  # only the failed prompt is asked again
+    assert len(paid_prompts(calls)) == len(second) + 1
+    other = answer_store.answer_once(prepared.where("query_id < 2"), load, str(tmp_path / "store"), "other")
+    assert other.count() == 2 and len(paid_prompts(calls)) == len(second) + 3
+
+
+def test_encoder_that_gives_another_number_of_vectors(spark):
+    texts = spark.createDataFrame([("a",), (None,)], "text string")
+    with pytest.raises(Exception, match="shape"):
+        encoding.encode_with(texts, lambda: lambda batch: [[1.0]] * 7).collect()
+    kept = encoding.encode_with(texts, lambda: lambda batch: [[len(t), 1.0] for t in batch]).collect()
+    assert {tuple(r.embedding) for r in kept} == {(1.0, 1.0), (0.0, 1.0)}
