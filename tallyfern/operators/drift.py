@@ -267,12 +267,14 @@ def drift_by_column(
     categorical: Sequence[str] = (),
     n_buckets: int | None = None,
     tests: Mapping[str, str] | None = None,
+    policy: Column | None = None,
 ) -> DataFrame:
     """One row per monitored column: test name, score, drifted or not, and every
     statistic and p-value beside them.
 
-    ``tests`` fixes a column's test by name.  Other columns follow the policy of
-    :func:`test_by_reference_size`.
+    ``tests`` fixes a column's test by name.  Other columns follow ``policy``, a column
+    over the statistics and their ``kind``: :func:`test_by_reference_size` unless
+    another is given, such as :func:`distance_tests`, which holds at every size.
     """
     numeric = common_columns(numeric, reference, current)
     categorical = common_columns(categorical, reference, current)
@@ -285,7 +287,7 @@ def drift_by_column(
         raise ValueError("no monitored column is in both tables")
     stats = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
-    test = test_by_reference_size()
+    test = test_by_reference_size() if policy is None else policy
     if tests:
         pairs = [F.lit(part) for item in tests.items() for part in item]
         test = F.coalesce(F.create_map(*pairs)[F.col("column")], test)
@@ -336,6 +338,11 @@ def test_by_reference_size() -> Column:
     )
 
 
+def distance_tests() -> Column:
+    """A distance for every column, whatever the sizes."""
+    return F.when(F.col("kind") == "categorical", JENSEN_SHANNON).otherwise(WASSERSTEIN)
+
+
 def drift_summary(columns: DataFrame, drift_share: float = DRIFT_SHARE) -> DataFrame:
     """One dataset row from the per-column rows."""
     drifted = F.col("drift_detected")

@@ -358,3 +358,12 @@ def test_two_sample_p_is_exact_only_for_small_samples(spark):
     series = frame.select(drift.kolmogorov_p(F.col("d"), F.col("n"), F.col("m")).alias("p")).collect()
     assert got[0] == pytest.approx(drift._exact_kolmogorov(0.5, 12, 12)) and got[3] == 1.0
     assert got[2] == series[2].p and got[1] != series[1].p and got[1] == pytest.approx(series[1].p, abs=0.02)
+
+
+def test_policy_decides_the_test_at_every_size(spark):
+    ref = spark.range(50).select((F.col("id") % 2).cast("double").alias("n"), F.lit("x").alias("c"))
+    rows = drift.drift_by_column(ref, ref, ["n"], ["c"], policy=drift.distance_tests()).collect()
+    assert {r.column: r.stattest for r in rows} == {"n": drift.WASSERSTEIN, "c": drift.JENSEN_SHANNON}
+    fixed = {"n": drift.KOLMOGOROV_SMIRNOV}
+    rows = drift.drift_by_column(ref, ref, ["n"], tests=fixed, policy=drift.distance_tests()).collect()
+    assert [(r.stattest, r.drift_score, r.drift_detected) for r in rows] == [(drift.KOLMOGOROV_SMIRNOV, 1.0, False)]
