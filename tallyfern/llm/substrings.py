@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfern.llm.batches import bound_batches, field, map_rows, utf8
-from tallyfern.sources.tables import cut_lineage
 
 #: Fixed by the contract: words of a window.
 WINDOW_WORDS = 13
