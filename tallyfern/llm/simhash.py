@@ -31,7 +31,10 @@ RADIUS = 4
 
 #: Blocks of the 64 bits as (shift, width): all but ``RADIUS`` of them agree.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Points of a shard whose tree grows together with others', and the leaf of larger trees,
+#: which is compared pair by pair; squared sizes of the shards that grow at once.
 LEAF = 256
+SLICE = 1 << 22
 COUNT_CHUNK = 1 << 15
 #: Tasks that the rows of one hot fingerprint or hub are dealt to.
 SALTS = 16
@@ -170,18 +173,85 @@ def _brute(points, left, right, radius: int, forest: Forest) -> None:
         forest.link(part[a], right[b])
 
 
+def _several(node: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the nodes in sorted ``node``, and whether ``value`` differs inside each."""
+    starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    apart = np.minimum.reduceat(value, starts) != np.maximum.reduceat(value, starts)
+    return starts, apart
+
+
+def vantage_forest(node: np.ndarray, points: np.ndarray, radius: int, forest: Forest) -> int:
+    """Link the points of each shard (sorted ``node``) in ``forest``, by one vantage-point
+    tree a shard, all trees grown together level by level; returns the nodes visited.
+
+    A node is a set compared with itself (side 0) or two sets compared with each other
+    (sides 1 and 2).  Its first member is the vantage point: it is linked with what lies
+    within ``radius``, and leaves.  The others are split at their median distance to it;
+    pairs across the boundary meet only from the two bands ``radius`` wide.  Nodes whose
+    members already hang together end.
+    """
+    at, side, visited = np.arange(len(points)), np.zeros(len(points), np.int8), 0
+    while len(at):
+        # only nodes with several components and, of two sets, with both
+        starts, apart = _several(node, forest.roots(at))
+        sizes = np.diff(np.append(starts, len(node)))
+        two = side[starts] > 0
+        apart &= ~two | _several(node, side)[1]
+        keep = np.repeat(apart, sizes)
+        at, side, sizes, two = at[keep], side[keep], sizes[apart], two[apart]
+        if not len(at):
+            break
+        visited += len(sizes)
+        place = np.repeat(np.arange(len(sizes)), sizes)
+        starts = np.cumsum(sizes) - sizes
+        vantage = at[starts]
+        away = _distance(points[at], points[vantage][place]).astype(np.int64)
+        near = (away <= radius) & (side != 1)
+        forest.link(vantage[place[near]], at[near])
+        rest = np.ones(len(at), bool)
+        rest[starts] = False
+        at, side, place, away = at[rest], side[rest], place[rest], away[rest]
+        # the median of the first set's distances, node by node
+        first = np.flatnonzero(side < 2)
+        first = first[np.lexsort((away[first], place[first]))]
+        counts = np.bincount(place[first], minlength=len(sizes))
+        middle = np.minimum(np.cumsum(counts) - counts + (counts - 1) // 2, max(0, len(first) - 1))
+        cut = np.where(counts > 0, away[first[middle]] if len(first) else 0, -1)[place]
+        inner = away <= cut
+        edge, rim = inner & (away > cut - radius), ~inner & (away <= cut + radius)
+        pair = two[place]
+        children = [
+            (~pair & inner, 0), (~pair & ~inner, 0), (~pair & edge, 1), (~pair & rim, 2),
+            (pair & inner, side), (pair & ~inner, side),
+            (pair & edge & (side == 1), 1), (pair & rim & (side == 2), 2),
+            (pair & rim & (side == 1), 1), (pair & edge & (side == 2), 2),
+        ]
+        slots = (0, 1, 2, 2, 3, 4, 5, 5, 6, 6)
+        made = [np.flatnonzero(mask) for mask, _ in children]
+        node = np.concatenate([place[m] * 7 + slot for m, slot in zip(made, slots)])
+        sides = [np.broadcast_to(np.asarray(s, np.int8), len(at))[m] for m, (_, s) in zip(made, children)]
+        at, side = at[np.concatenate(made)], np.concatenate(sides)
+        order = np.lexsort((side, node))
+        node, at, side = node[order], at[order], side[order]
+    return visited
+
+
 def _run_edges(keys: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest edges of one sorted stretch of whole shards."""
+    """Forest edges of one sorted stretch of whole shards: trees of shards up to ``LEAF``
+    points grow together, in slices of bounded pairs, larger ones one by one."""
     cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     sizes = np.diff(np.append(cuts, len(keys)))
     forest = Forest(len(points))
     large = sizes > LEAF
-    member = np.repeat(~large, sizes)
-    for step in range(1, int(sizes[~large].max(initial=1))):
-        same = (keys[step:] == keys[:-step]) & member[step:]
-        at = np.flatnonzero(same)
-        at = at[_distance(points[at], points[at + step]) <= radius]
-        forest.link(at, at + step)
+    several = np.flatnonzero((sizes > 1) & ~large)
+    slices = np.cumsum(sizes[several] ** 2) // SLICE
+    for chosen in np.split(several, np.flatnonzero(np.diff(slices)) + 1):
+        n = sizes[chosen]
+        shard = np.repeat(np.arange(len(chosen)), n)
+        member = np.arange(len(shard)) + np.repeat(cuts[chosen] - (np.cumsum(n) - n), n)
+        grown = Forest(len(member))
+        vantage_forest(shard, points[member], radius, grown)
+        forest.parent[member] = member[grown.roots(np.arange(len(member)))]
     for first, size in zip(cuts[large].tolist(), sizes[large].tolist()):
         roots = vantage_links(points[first : first + size], radius)
         forest.parent[first : first + size] = roots + first

@@ -208,6 +208,38 @@ def test_links_across_shards_and_chains(spark):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+@pytest.mark.parametrize("spread", [2, 5, 64])
+def test_trees_of_many_shards_equal_brute_force(spread):
+    rng = np.random.default_rng(spread)
+    for _ in range(40):
+        keys = np.repeat(np.arange(12), rng.integers(1, 40, 12))
+        points = rng.integers(0, 1 << 63, 3, dtype=np.uint64)[rng.integers(0, 3, len(keys))]
+        for _ in range(spread):
+            points = points ^ (np.uint64(1) << rng.integers(0, 64, len(keys)).astype(np.uint64))
+        forest = simhash.Forest(len(keys))
+        assert simhash.vantage_forest(keys, points, simhash.RADIUS, forest) >= 1
+        found = forest.roots(np.arange(len(keys)))
+        for shard in range(12):
+            at = np.flatnonzero(keys == shard)
+            pairs = list(zip(found[at], brute_groups(points[at])))
+            assert len(set(pairs)) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_a_shard_of_two_is_a_tree_of_one_node():
+    points = np.array([0, 15, 0, 31, 7], np.uint64)
+    forest = simhash.Forest(5)
+    assert simhash.vantage_forest(np.array([0, 0, 1, 1, 2]), points, 4, forest) == 2
+    assert forest.roots(np.arange(5)).tolist() == [0, 0, 2, 3, 4]
+
+
+def test_no_shard_is_compared_without_a_tree(monkeypatch):
+    grown = []
+    trees = simhash.vantage_forest
+    monkeypatch.setattr(simhash, "vantage_forest", lambda *a: grown.append(trees(*a)))
+    a, b = simhash._run_edges(np.array([3, 3, 4, 9, 9, 9]), np.array([1, 2, 1, 8, 9, 10], np.uint64), 4)
+    assert sum(grown) >= 2 and len(a) == len(b) == 3
+
+
 def test_vantage_links_refuse_a_wider_radius(spark):
     with pytest.raises(ValueError):
         simhash.link_edges(spark.createDataFrame([], "fingerprint long"), 5)
