@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -36,9 +37,6 @@ IMITATED, NOISE, SEPARATOR, DRAWN_OUT, DOUBLED = -0.7, -12.0, -0.5, -0.7, -6.0
 #: Lengths of the word beginnings that count as features beside the words.
 BEGINNINGS = (3, 4, 5, 7)
 SPACED_LETTERS = 3
-#: Marks of a lattice: longer forms are decoded in pieces.
-PIECE = 60
-LEXICON_WORDS = 512
 LEXICON_DOCUMENTS = 4
 CONTAINED_LENGTH = 4
 #: Expected numbers of labelled documents the classifier is fitted on: the bound of
@@ -142,11 +140,15 @@ def lattice(form: str) -> list[list[tuple[str, float]]]:
 
 
 def restore(form: str, model: CharacterModel) -> str:
-    """The most probable word behind a written form (Viterbi over two symbols)."""
+    """The most probable word behind a written form (Viterbi over two symbols).
+
+    A path keeps its letters as a chain back to the start, so a form of any length costs
+    linear time.  Equally probable words: the greatest.
+    """
     log_p, code = model.log_p, lambda c: int(_TABLE[min(ord(c), 0xFFFF)])
-    beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    beams: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}
     for readings in [*lattice(form), [(" ", 0.0)]]:
-        following: dict[tuple[int, int], tuple[float, str]] = {}
+        following: dict[tuple[int, int], tuple] = {}
         for (a, b), (score, made) in beams.items():
             for letters, cost in readings:
                 x, y, total = a, b, score + cost
@@ -155,9 +157,19 @@ def restore(form: str, model: CharacterModel) -> str:
                     total += float(log_p[x, y, z])
                     x, y = y, z
                 if (x, y) not in following or following[x, y][0] < total:
-                    following[x, y] = (total, made + letters)
+                    following[x, y] = (total, (made, letters) if letters else made)
         beams = following
-    return max(beams.values())[1].strip()
+    best = max(score for score, _ in beams.values())
+    return max(_spelt(chain) for score, chain in beams.values() if score == best).strip()
+
+
+def _spelt(chain: tuple | None) -> str:
+    """The letters of a path, from its start."""
+    found = []
+    while chain is not None:
+        chain, letters = chain
+        found.append(letters)
+    return "".join(reversed(found))
 
 
 def readings_of(token: str, model: CharacterModel) -> tuple[str, ...]:
@@ -170,8 +182,24 @@ def readings_of(token: str, model: CharacterModel) -> tuple[str, ...]:
         return (core, restore(core, model)) if _DRAWN.search(core) else plain
     if not plain:
         return plain
-    pieces = [core[i : i + PIECE] for i in range(0, len(core), PIECE)]
-    return tuple(dict.fromkeys([*plain, *(restore(p, model) for p in pieces)]))
+    return tuple(dict.fromkeys([*plain, restore(core, model)]))
+
+
+def edge_forms(token: str) -> list[str]:
+    """The token's core with the marks beside it that imitate letters: those before it,
+    those after it, both.  A mark there may be punctuation or the word's first or last
+    letter, so these readings count only where they are whole words of the lexicon."""
+    core = _OUTER.sub("", token)
+    at = token.find(core) if core else 0
+    if not core:  # nothing but marks
+        return []
+    first, last = at, at + len(core)
+    while first and token[first - 1] in IMITATIONS:
+        first -= 1
+    while last < len(token) and token[last] in IMITATIONS:
+        last += 1
+    before, after = token[first:at], token[at + len(core) : last]
+    return list(dict.fromkeys(f for f in (before + core, core + after, before + core + after) if f != core))
 
 
 def spaced_words(text: str, model: CharacterModel) -> list[str]:
@@ -196,6 +224,7 @@ class Reader:
         self.model, self.weights = model, weights or {}
         self.long = [w for w in self.weights if len(w) >= CONTAINED_LENGTH and "-" not in w]
         self.known: dict[str, tuple] = {}
+        self.edged: dict[str, tuple] = {}
 
     def words(self, text: str) -> set[str]:
         low, found = text.lower(), set()
@@ -207,7 +236,9 @@ class Reader:
     def hits(self, text: str) -> dict[str, list[str]]:
         """The words with features in the lexicon, and those features."""
         low, found = text.lower(), {}
+        edged: set[str] = set()
         for token in set(low.split()):
+            edged.update(self.edge_words(token))
             reading = self.known.get(token)
             if reading is None:
                 reading = tuple(
@@ -223,8 +254,23 @@ class Reader:
             for word in (run, *(w for w in self.long if w in run)):
                 if marks := [m for m in marks_of(word) if m in self.weights]:
                     found[word] = marks
+        for word in edged:
+            found.setdefault(word, [word])
         return found
 
+    def edge_words(self, token: str) -> tuple[str, ...]:
+        """Words of the lexicon behind a token whose first or last letter is disguised."""
+        if token[0].isalnum() and token[-1].isalnum():
+            return ()
+        words = self.edged.get(token)
+        if words is None:
+            made = (restore(form, self.model) for form in edge_forms(token))
+            words = tuple(sorted({w for w in made if w in self.weights and w != ANY}))
+            if len(self.edged) >= CACHED_FORMS:
+                self.edged.clear()
+            self.edged[token] = words
+        return words
+
     def total(self, text: str) -> float:
         """Sum of the weights of the features of a text's distinct words."""
         found = self.hits(text)
@@ -244,16 +290,39 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(np.asarray(totals, float) + self.bias, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, row_weight: np.ndarray, ridge: float = 0.1):
-    """Weights and bias by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    beta, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-3
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-x @ beta))
-        slope = x.T @ (row_weight * (p - y)) + penalty * beta
-        curve = (x * (row_weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
-        step = np.linalg.solve(curve + np.diag(penalty), slope)
+def _logistic(entries, shape: tuple[int, int], y: np.ndarray, share: np.ndarray, ridge: float = 0.1):
+    """Weights and bias of a table given by its ``entries`` (row, column, value arrays), by
+    Newton steps whose systems conjugate gradients solve: nothing of the size of
+    rows times columns, or of columns squared, is held."""
+    rows, columns, values = entries
+    n, d = shape
+    penalty = np.append(np.full(d, ridge), 1e-3)
+
+    def times(beta: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, values * beta[columns], n) + beta[-1]
+
+    def back(v: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(columns, values * v[rows], d), v.sum())
+
+    beta = np.zeros(d + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(times(beta), -500, 500)))
+        slope = back(share * (p - y)) + penalty * beta
+        curve = share * np.maximum(p * (1 - p), 1e-6)
+        scale = np.append(np.bincount(columns, values**2 * curve[rows], d), curve.sum()) + penalty
+        step, left = np.zeros(d + 1), slope.copy()
+        towards = left / scale
+        size, goal = float(left @ towards), 1e-20 * float(slope @ (slope / scale))
+        for _ in range(2 * (d + 1) + 50):
+            if size <= goal:
+                break
+            bent = back(curve * times(towards)) + penalty * towards
+            length = size / float(towards @ bent)
+            step += length * towards
+            left -= length * bent
+            scaled = left / scale
+            before, size = size, float(left @ scaled)
+            towards = scaled + size / before * towards
         beta -= step * min(1.0, 4 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
@@ -273,8 +342,8 @@ def fit(
     are not held out.
 
     Labelled documents are sampled by a hash of the id, at rates that keep the stated
-    numbers; the sample's words are counted by Spark, and only the documents' hits
-    among at most ``LEXICON_WORDS`` words reach the driver.  Null labels and ids are
+    numbers; the sample's words are counted by Spark, and only those over the limits of
+    count and odds, and the documents' hits among them, reach the driver.  Null labels and ids are
     not used; a repeated id counts with its largest label.
     """
     grams = {r["gram"]: r["n"] for r in trigram_counts(docs, text).collect()}
@@ -321,11 +390,9 @@ def fit(
         .groupBy("word")
         .agg(F.count(F.when(F.col("toxic"), 1)).alias("p"), F.count(F.when(~F.col("toxic"), 1)).alias("n"))
         .where((F.col("p") >= LEXICON_DOCUMENTS) & (odds > math.log(LEAST_ODDS)))
-        .withColumn("signal", odds * F.sqrt("p"))
-        .orderBy(F.desc("signal"), "word")
-        .limit(LEXICON_WORDS)
     )
-    listed = [(r["word"], r["p"], r["n"]) for r in chosen.collect()]
+    # each is in several of the sampled toxic documents, so the sample bounds them
+    listed = sorted((r["word"], r["p"], r["n"]) for r in chosen.collect())
     lexicon = [w for w, _, _ in listed]
 
     def make_hits():
@@ -365,13 +432,16 @@ def word_weights(
     rows: Sequence[tuple[Sequence[str], bool, float]], lexicon: Sequence[str]
 ) -> tuple[dict[str, float], float]:
     """Logistic weights of the lexicon from (features with repeats, toxic, weight) rows."""
-    place_of = {w: i for i, w in enumerate(lexicon)}
-    x = np.zeros((len(rows), len(lexicon) + 1))
+    place_of = {w: i for i, w in enumerate([*lexicon, ANY])}
+    counted: Counter[tuple[int, int]] = Counter()
     for i, (hit, _, _) in enumerate(rows):
-        np.add.at(x[i], [place_of[w] for w in hit], 1)
-        x[i, -1] = bool(hit)
+        counted.update((i, place_of[w]) for w in hit)
+        if hit:
+            counted[i, place_of[ANY]] = 1
+    pairs = np.array([*counted], np.int64).reshape(-1, 2)
+    entries = (pairs[:, 0], pairs[:, 1], np.array([*counted.values()], float))
     y, share = (np.array([r[k] for r in rows], float) for k in (1, 2))
-    weights, bias = _logistic(x, y, share)
+    weights, bias = _logistic(entries, (len(rows), len(place_of)), y, share)
     return dict(zip([*lexicon, ANY], weights.tolist())), bias
 
 
@@ -383,7 +453,7 @@ def toxicity(
     Null, empty and word-less texts have the score of a document without a lexicon
     word.  Only the text is used.  No shuffle; one row out per row in, and a column
     of ``keep`` named as an output column gives way to it.  The model that is
-    broadcast holds at most ``SYMBOLS`` cubed numbers and ``LEXICON_WORDS`` words.
+    broadcast holds at most ``SYMBOLS`` cubed numbers and the words of a bounded sample.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -100,6 +101,50 @@ def test_deobfuscated_words_are_scored(spark, toxic_tables):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got.values())
 
 
+def test_disguised_first_and_last_letters(spark, toxic_tables):
+    docs, labels = toxic_tables
+    model = toxicity.fit(docs, labels)
+    cases = ["venomou$ thing", "$piteful", "($piteful!", "*$p1teful*", "spiteful!", "babab!", "(cabab)", "$$$ !! ((", "b@b"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(table, model).collect()}
+    assert [got[i] for i in range(len(cases))] == [1] * 5 + [0] * 4
+
+
+def test_edge_forms():
+    assert toxicity.edge_forms("plain") == [] and toxicity.edge_forms("$$!") == []
+    assert toxicity.edge_forms("a$$") == ["a$$"]
+    assert toxicity.edge_forms("!diot!") == ["!diot", "diot!", "!diot!"]
+    assert toxicity.edge_forms('"(unt"') == ["(unt"]
+
+
+def test_long_forms_and_repeated_rows_have_one_score(spark, toxic_tables):
+    docs, labels = toxic_tables
+    model = toxicity.fit(docs, labels)
+    long = "b4" * 30_000 + " spiteful " + "cab " * 100_000
+    table = spark.createDataFrame([(1, long), (1, long), (2, "b4" * 30_000)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["predicted"]) for r in toxicity.toxicity(table, model).collect())
+    assert got == [(1, 1), (1, 1), (2, 0)]
+    assert len(toxicity.restore("b4" * 30_000, model.characters)) == 60_000
+
+
+def test_logistic_weights_meet_the_optimality_condition():
+    rng = np.random.default_rng(4)
+    lexicon = [f"w{i}" for i in range(700)]
+    rows = [
+        ([lexicon[j] for j in rng.integers(0, 700, rng.integers(0, 9))], bool(rng.random() < 0.3), float(rng.integers(1, 5)))
+        for _ in range(900)
+    ]
+    weights, bias = toxicity.word_weights(rows, lexicon)
+    slope, bias_slope = {w: 0.1 * v for w, v in weights.items()}, 1e-3 * bias
+    for hit, toxic, share in rows:
+        total = bias + sum(weights[w] for w in hit) + (weights[toxicity.ANY] if hit else 0)
+        wrong = share * (1 / (1 + math.exp(-total)) - toxic)
+        bias_slope += wrong
+        for w in [*hit, *([toxicity.ANY] if hit else [])]:
+            slope[w] += wrong
+    assert max(map(abs, slope.values())) < 1e-3 and abs(bias_slope) < 1e-3
+
+
 def test_toxicity_without_labels(spark):
     docs = fixtures.documents(spark)
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
