@@ -111,7 +111,7 @@ def parseable_date(
     )
 
 
-def _record(dataset: str, rule: Rule, failures: Column, details: dict[str, Column]) -> Column:
+def record(dataset: str, rule: Rule, failures: Column, details: dict[str, Column]) -> Column:
     """One long-form record; ``details`` values become strings."""
     pairs = [part for k, v in details.items() for part in (F.lit(k), v.cast("string"))]
     return F.struct(
@@ -125,14 +125,19 @@ def _record(dataset: str, rule: Rule, failures: Column, details: dict[str, Colum
     )
 
 
+def absent_column(rule: Rule, columns: Sequence[str]) -> str | None:
+    """The first column of a rule that a table has not."""
+    return next((c for c in rule.columns if c not in columns), None)
+
+
 def _missing(dataset: str, rule: Rule, df: DataFrame) -> Column | None:
     """The failed record of a rule whose column is absent."""
-    gone = [c for c in rule.columns if c not in df.columns]
-    if not gone:
+    gone = absent_column(rule, df.columns)
+    if gone is None:
         return None
     # Fixed value: the error text of an absent column.
-    text = f"Column '{gone[0]}' not found"
-    return _record(dataset, rule, F.lit(1), {"error": F.lit(text)})
+    text = f"Column '{gone}' not found"
+    return record(dataset, rule, F.lit(1), {"error": F.lit(text)})
 
 
 def unexpected_values(df: DataFrame, column: str, valid: Sequence[str]) -> DataFrame:
@@ -168,7 +173,7 @@ def run_checks(df: DataFrame, dataset: str, rules: Sequence[Rule]) -> DataFrame:
         if rule.required is not None:
             gone = [c for c in rule.required if c not in df.columns]
             listed = F.lit(",".join(gone))
-            fixed.append(_record(dataset, rule, F.lit(len(gone)), {"missing_columns": listed}))
+            fixed.append(record(dataset, rule, F.lit(len(gone)), {"missing_columns": listed}))
         elif absent is not None:
             fixed.append(absent)
         elif rule.unique is not None:
@@ -178,10 +183,10 @@ def run_checks(df: DataFrame, dataset: str, rules: Sequence[Rule]) -> DataFrame:
             ids = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
             extra = ids.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("_extra"))
             notes = {k: F.lit(v) for k, v in rule.notes.items()}
-            record = _record(
+            unique = record(
                 dataset, rule, F.col("_extra"), {**notes, "duplicate_count": F.col("_extra")}
             )
-            parts.append(extra.select(F.inline(F.array(record))))
+            parts.append(extra.select(F.inline(F.array(unique))))
         else:
             shared.append((rule, f"_{position}_".__add__))
 
@@ -207,7 +212,7 @@ def run_checks(df: DataFrame, dataset: str, rules: Sequence[Rule]) -> DataFrame:
             details.update({c: F.col(name(c)) for c in rule.counts})
             if rule.unexpected:
                 details["unexpected_distinct"] = F.col(name("unexpected_distinct"))
-            records.append(_record(dataset, rule, failures, details))
+            records.append(record(dataset, rule, failures, details))
         parts.append(totals.select(F.inline(F.array(*records))))
 
     result = parts[0]

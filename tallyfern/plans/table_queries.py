@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfern.operators import quality, ranking, sampling
+from tallyfern.operators import check_states, quality, ranking, sampling
 from tallyfern.sources.readers import missing_tokens_to_null, normalise_columns, read_table
 from tallyfern.sources.readers import filter_nonempty_text, rename_project
+from tallyfern.sources.session import shared_folder
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
 SEED = 42
@@ -75,6 +79,33 @@ def quality_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(quality.run_checks(with_gaps(spark, sf_dir), "orders", rules)).drop("details")
 
 
+def quality_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of orders, checked as they were appended, period by period."""
+    rules = [
+        quality.required_columns(["o_orderkey", "o_orderpriority", "channel"]),
+        quality.no_duplicate_ids("o_custkey"),
+        replace(quality.no_duplicate_ids("o_orderstatus"), check="status_ids"),
+        quality.numeric_range("amount", 0, 1000, "amount_range"),
+        quality.allowed_values("o_orderpriority", PRIORITIES, "priority_values"),
+        quality.nonnegative("amount", "amount_sign"),
+        quality.parseable_date("placed_on", check="placed_on_dates"),
+        quality.nonempty_text("comment", "comment_text"),
+    ]
+    base = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}"
+    rows, year = with_gaps(spark, sf_dir), F.substring("placed_on", 1, 4)
+    periods = {
+        "early": year < "1994",
+        "middle": (year >= "1994") & (year < "1997"),
+        "late": year.isNull() | (year >= "1997"),
+    }
+    for name, period in periods.items():
+        check_states.append_state(rows.where(period), rules, base, name)
+    records = check_states.state_records(check_states.stored_states(spark, base), "orders", rules)
+    return records.select(
+        "dataset", "check", "passed", "failures", F.col("details")["unexpected_distinct"].alias("unexpected")
+    )
+
+
 def quality_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [quality.allowed_values("o_orderpriority", PRIORITIES, "priority_values")]
     records = quality.run_checks(with_gaps(spark, sf_dir), "orders", rules)
@@ -212,6 +243,7 @@ SELECT 'documents' AS dataset, "check", failures = 0 AS passed, failures FROM (
 
 QUERIES = {
     "quality_orders": quality_orders,
+    "quality_appended": quality_appended,
     "quality_details": quality_details,
     "unexpected_values": unexpected_values,
     "quality_documents": quality_documents,
@@ -229,6 +261,16 @@ QUERIES = {
 
 ORACLES = {
     "quality_orders": _QUALITY_SQL,
+    "quality_appended": f"""WITH {_GAPS_SQL}, whole AS ({_QUALITY_SQL}),
+ids AS (SELECT CAST(sum(n - 1) AS BIGINT) AS extra FROM (SELECT count(*) AS n FROM gaps GROUP BY o_custkey)),
+states AS (SELECT CAST(sum(n - 1) AS BIGINT) AS extra FROM (SELECT count(*) AS n FROM gaps GROUP BY o_orderstatus)),
+records AS (
+  SELECT * FROM whole WHERE "check" <> 'no_duplicate_ids'
+  UNION ALL SELECT 'orders', 'no_duplicate_ids', extra = 0, extra FROM ids
+  UNION ALL SELECT 'orders', 'status_ids', extra = 0, extra FROM states)
+SELECT *, CASE WHEN "check" = 'priority_values' THEN
+    (SELECT CAST(count(DISTINCT o_orderpriority) FILTER (WHERE o_orderpriority NOT IN {PRIORITIES}) AS VARCHAR)
+     FROM gaps) END AS unexpected FROM records""",
     "quality_documents": _QUALITY_DOCUMENTS_SQL,
     "quality_summary": f"""
 SELECT dataset, bool_and(passed) AS passed, count(*) AS n_checks,
