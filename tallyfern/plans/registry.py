@@ -11,6 +11,7 @@ MODULES = (
     "ask_queries",
     "model_queries",
     "stream_queries",
+    "window_queries",
     "record_queries",
     "file_queries",
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyfern.operators import encoding, telemetry
+from tallyfern.operators import encoding, sketches, telemetry
 from tallyfern.operators.chunking import chunk_table
 from tallyfern.sources.tables import compact, replace_all, versions, write_version
 
@@ -56,6 +56,19 @@ def hourly_event_counts(
     )
 
 
+def window_sketches(
+    rows: DataFrame,
+    columns: Sequence[str],
+    time: str,
+    width: str = "1 day",
+    lateness: str = LATENESS,
+    alpha: float = sketches.ALPHA,
+) -> DataFrame:
+    """The sketch of each column and window, once the watermark has passed the window
+    (append mode); stored windows merge by ``sketches.merge_sketches``."""
+    return sketches.window_sketches(rows.withWatermark(time, lateness), columns, time, width, alpha)
+
+
 def to_table(
     stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 ) -> StreamingQuery:
