@@ -12,8 +12,9 @@ from tallyfern.operators import sketches
 from tallyfern.plans.stream_queries import stream_of
 from tallyfern.plans.table_queries import table
 from tallyfern.sources.session import shared_folder
-from tallyfern.streaming import streams
+from tallyfern.streaming import running, streams
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 PROBABILITIES = (0.0, 0.25, 0.5, 0.9, 0.99, 1.0)
 
 
@@ -42,7 +43,24 @@ def stream_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("value", F.round("value", 6)).withColumn("error", F.round("error", 6))
 
 
-QUERIES = {"drift_windows": drift_windows, "stream_quantiles": stream_quantiles}
+def stream_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and means by event type since the last reset, kept by a stream in which every
+    sign-up of class 7 resets the log."""
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    k = F.get_json_object("props", "$.k").cast("int")
+    events = stream_of(spark, sf_dir, "events").withColumn("timestamp", F.col("ts").cast("timestamp"))
+    reset = (F.col("event_type") == "signup") & (k == 7)
+    found = running.running_summaries(events, {"value": F.col("value"), "k": k}, EVENT_TYPES, reset)
+    running.run_summaries(found, f"{place}/out", f"{place}/log").awaitTermination()
+    totals = running.latest(spark.read.parquet(f"{place}/out"), ["value", "k"])
+    return totals.withColumn("avg_value", F.round("avg_value", 6)).withColumn("avg_k", F.round("avg_k", 6))
+
+
+QUERIES = {
+    "drift_windows": drift_windows,
+    "stream_quantiles": stream_quantiles,
+    "stream_running": stream_running,
+}
 
 _STEP = math.log((1 + sketches.ALPHA) / (1 - sketches.ALPHA))
 _BASE = -math.floor(sketches.LEAST_LOG / _STEP)
@@ -62,6 +80,15 @@ def _middle_sql(b: str) -> str:
 
 
 ORACLES = {
+    "stream_running": """WITH all_events AS (
+  SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
+), resets AS (SELECT max(ts) AS since FROM all_events WHERE event_type = 'signup' AND k = 7),
+live AS (
+  SELECT e.* FROM all_events e, resets
+  WHERE (since IS NULL OR ts > since) AND NOT (event_type = 'signup' AND k = 7)
+), types AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS event_type)
+SELECT t.event_type, count(l.event_id) AS n_events, round(avg(value), 6) AS avg_value, round(avg(k), 6) AS avg_k
+FROM types t LEFT JOIN live l ON l.event_type = t.event_type GROUP BY 1""",
     "drift_windows": f"""WITH long AS (
   SELECT 'value' AS "column", value AS x, strftime(ts, '%Y-%m-%d') AS day FROM events
   UNION ALL SELECT 'user_id', user_id::DOUBLE, strftime(ts, '%Y-%m-%d') FROM events
