@@ -14,6 +14,7 @@ import functools
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -46,10 +47,12 @@ BREAKS_P = BLOCK - {"button", "label"}
 PATH_SIZE, WORD_SIZE, EXTRA = 32, 16, 8
 FEATURES = PATH_SIZE + WORD_SIZE + EXTRA
 HIDDEN = 12
+#: Marks of a path that generated layouts have at most; outer ones of real pages fade.
 PATH_DEPTH = 12
 #: Expected number of pages the labeller is trained on: the bound of its sample.
 SAMPLE_PAGES = 160
 TRAIN_BLOCKS = 48
+DENSE_WORDS, DENSE_LINKED = 12, 0.3
 STEPS = 450
 BATCH_PAGES = 64
 SEED = 11
@@ -67,6 +70,13 @@ class Block:
     linked: int
 
 
+def attributes_end(page: str, place: int) -> int:
+    """Where the tag ends whose attributes begin here, '>' in quotes passed over; -1 if
+    a quote or the tag never ends."""
+    match = _REST.match(page, place)
+    return match.end() if match else -1
+
+
 def blocks_of(page: str) -> list[Block]:
     """Non-empty leaf blocks in page order, white space and references resolved."""
     found: list[Block] = []
@@ -74,6 +84,8 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     linked = links = place = 0
     n = len(page)
+    quotes = True
+    opened: Counter[str] = Counter()
     ended: set[str] = set()  # silent elements that nothing closes any more
 
     def close() -> None:
@@ -82,15 +94,21 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 marks = [mark for name, marks in stack if name in BLOCK for mark in marks]
-                found.append(Block(tuple(marks[-PATH_DEPTH:]), text, linked))
+                found.append(Block(tuple(marks), text, linked))
             parts.clear()
         linked = 0
 
+    def cut(first: int) -> None:
+        opened.subtract(name for name, _ in stack[first:])
+        del stack[first:]
+
     def drop(names: Sequence[str]) -> None:
         """Close the innermost open element of these names, not beyond a container."""
-        for i in range(len(stack) - 1, max(-1, len(stack) - 64), -1):
+        if not any(opened[name] for name in names):
+            return
+        for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i][0] in ("table", "ul", "ol", "dl", "div", "section", "article"):
                 return
@@ -114,10 +132,11 @@ def blocks_of(page: str) -> list[Block]:
                 break
             place = end + 3
             continue
-        rest = _REST.match(page, match.end())
-        end = rest.end() if rest else page.find(">", match.end()) + 1
-        if end <= 0:
-            break
+        end = attributes_end(page, match.end()) if quotes else -1
+        if end < 0:  # a quote that nothing closes: from here on tags end at the first '>'
+            quotes, end = False, page.find(">", match.end()) + 1
+            if not end:
+                break
         attributes, place = page[match.end() : end], end
         name = mark.lstrip("</").lower()
         if mark in ("<!", "<?"):
@@ -127,9 +146,9 @@ def blocks_of(page: str) -> list[Block]:
                 close()
             if name == "a":
                 links = max(0, links - 1)
-            for i in range(len(stack) - 1, max(-1, len(stack) - 256), -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[i][0] == name:
-                    del stack[i:]
+                    cut(i)
                     break
             continue
         if name in SILENT and name not in ended:
@@ -154,6 +173,7 @@ def blocks_of(page: str) -> list[Block]:
         if name not in VOID and name in BLOCK and not attributes.endswith("/>"):
             words = [w.lower() for v in _NAMES.findall(attributes) for w in _NAME.findall(v)]
             stack.append((name, (f"<{name}", *words[:4])))
+            opened[name] += 1
     close()
     return found
 
@@ -178,7 +198,8 @@ def features(blocks: Sequence[Block]) -> np.ndarray:
         row = out[i]
         for depth, mark in enumerate(reversed(block.path)):
             at = _bucket(mark, PATH_SIZE)
-            row[at >> 1] += (1 if at & 1 else -1) * (1.0 if depth < 6 else 0.5)
+            weight = 1.0 if depth < 6 else 0.5 if depth < PATH_DEPTH else 0.5 * PATH_DEPTH / (depth + 1)
+            row[at >> 1] += (1 if at & 1 else -1) * weight
         words = block.text.split()
         hashed = np.array([_bucket(w.lower(), WORD_SIZE) for w in words])
         signed = np.bincount(hashed >> 1, np.where(hashed & 1, 1.0, -1.0), WORD_SIZE)
@@ -369,6 +390,17 @@ def _semantic_label(block: Block) -> int:
     return int(inside and not clutter.intersection(path))
 
 
+def _by_density(page: Sequence[Block]) -> list[Block]:
+    """The page with its running text taken as an article: blocks of ``DENSE_WORDS``
+    words or more, at most ``DENSE_LINKED`` of them links."""
+    return [
+        Block(("<article", "<p"), b.text, b.linked)
+        if len(b.text.split()) >= DENSE_WORDS and b.linked <= DENSE_LINKED * len(b.text)
+        else b
+        for b in page
+    ]
+
+
 def laid_out(page: Sequence[Block], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
     """The page's article in a new layout: tags renamed, clutter around and within."""
     core = [b for b in page if _semantic_label(b)]
@@ -426,10 +458,17 @@ def laid_out(page: Sequence[Block], rng: np.random.Generator) -> tuple[list[Bloc
 
 
 def train(pages: Sequence[Sequence[Block]], seed: int = SEED, steps: int = STEPS) -> Labeller:
-    """Adam on pages as they are and laid out anew, windows of ``TRAIN_BLOCKS`` blocks."""
+    """Adam on pages as they are and laid out anew, windows of ``TRAIN_BLOCKS`` blocks.
+
+    Where no page has an article or main element, running text makes the articles that
+    are laid out anew, and no page is learnt from as it is.
+    """
     rng = np.random.default_rng(seed)
     model = Labeller.fresh(seed)
     usable = [p for p in pages if any(map(_semantic_label, p))]
+    told = bool(usable)
+    if not told:
+        usable = [p for p in map(_by_density, pages) if any(map(_semantic_label, p))]
     if not usable:
         return model
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
@@ -437,7 +476,7 @@ def train(pages: Sequence[Sequence[Block]], seed: int = SEED, steps: int = STEPS
         rows, marks = [], []
         for i in rng.integers(len(usable), size=16).tolist():
             page = usable[i]
-            if rng.random() < 0.45:
+            if rng.random() < 0.45 and told:
                 blocks, labels = list(page), [_semantic_label(b) for b in page]
             else:
                 if len(page) > TRAIN_BLOCKS:  # shorter articles: their surroundings are seen
@@ -470,7 +509,8 @@ def fit(
 ) -> Labeller:
     """A labeller trained on a bounded sample of the table's pages, chosen by a hash of
     the id at a rate that the number of pages gives.  Pages are cut into blocks where
-    they lie.  Without usable pages the labeller is untrained."""
+    they lie.  Without semantic tags the articles of training are the pages' running
+    text; without any text the labeller is untrained."""
     ids = pages.where(F.col(page_id).isNotNull())
     rate = min(1.0, sample_pages / max(1, ids.count()))
     place = F.pmod(F.xxhash64(F.lit("pages"), page_id), F.lit(1 << 30)) / F.lit(float(1 << 30))

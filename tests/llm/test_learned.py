@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -392,3 +394,98 @@ def test_odd_responses(spark):
     assert got["k", "conversion"] == "<p>é" and got["i", "conversion"] == ""
     assert "source-payload-digest: pd" in got["i", "metadata"]
     assert warc.derivatives(table.limit(0)).count() == 0
+
+
+def test_header_fields_of_equal_name_are_all_kept(spark, tmp_path):
+    head = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nContent-Type: text/plain\r\nset-cookie: b=2,\r\n c=3\r\n\r\nx"
+    rows = [("i", "response", "u", "d", None, None, None, None, None, head)]
+    derived = warc.derivatives(spark.createDataFrame(rows, warc.RECORD))
+    got = {r["warc_type"]: r for r in derived.collect()}
+    for row in got.values():
+        assert row["fields"]["HTTP-Set-Cookie"] == "a=1\nb=2, c=3"
+    lines = bytes(got["metadata"]["block"]).decode().split("\r\n")
+    assert "http-header-set-cookie: a=1" in lines and "http-header-set-cookie: b=2, c=3" in lines
+    warc.write_warc(derived, str(tmp_path / "w"))
+    back = {r["warc_type"]: r for r in warc.read_warc(spark, f"{tmp_path}/w/part-*").collect()}
+    assert {k: r["fields"] for k, r in back.items()} == {k: r["fields"] for k, r in got.items()}
+
+
+def _body(header: bytes, body: bytes) -> bytes:
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n" + header + b"\r\n\r\n" + body
+
+
+def test_codings_are_undone(spark):
+    text = b"hello there " * 20_000
+    packed = gzip.compress(text)
+    chunks = b"".join(b"%x;q=1\r\n%s\r\n" % (len(c), c) for c in (packed[:7], packed[7:90], packed[90:])) + b"0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    blocks = {
+        "both": _body(b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunks),
+        "members": _body(b"Content-Encoding: gzip", gzip.compress(text[:60]) + gzip.compress(text[60:])),
+        "zlib": _body(b"Content-Encoding: deflate", zlib.compress(text)),
+        "raw": _body(b"Content-Encoding: deflate", raw.compress(text) + raw.flush()),
+        "undone before": _body(b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip", text),
+        "cut": _body(b"Transfer-Encoding: chunked", b"ff\r\nhel"),
+        "unknown": _body(b"Content-Encoding: br", b"\x00\xff"),
+        "empty": _body(b"Content-Encoding: gzip", b""),
+    }
+    rows = [(k, "response", "u", "d", None, None, None, None, None, b) for k, b in blocks.items()]
+    derived = warc.derivatives(spark.createDataFrame(rows, warc.RECORD)).collect()
+    got = {(r["refers_to"], r["warc_type"]): bytes(r["block"]).decode() for r in derived}
+    for name in ("both", "members", "zlib", "raw", "undone before"):
+        assert got[name, "conversion"] == text.decode(), name
+    assert got["cut", "conversion"] == "hel" and got["empty", "conversion"] == ""
+    assert got["unknown", "conversion"] == "" and "coding-not-undone: br" in got["unknown", "metadata"]
+    assert f"source-payload-digest: {warc.digest(packed)}" in got["both", "metadata"]
+    assert warc.inflated(packed[:-20], "gzip")[:12] == b"hello there " and warc.inflated(b"\x1f\x8bxx", "gzip") == b""
+
+
+def test_links_of_long_and_hostile_pages():
+    long = f"<a data-x='{'>' * 50_000}' HREF = /far?a=1&amp;b=2>x</a>"
+    page = f"<!-- <a href=no> --><script>'<a href=no>'</script>{long}<img alt='<a href=no>'><abbr href=no><a name=n>"
+    assert warc.links_of(page + "<a href='/q r'><a\nhref=\"z\" href=no>") == ["/far?a=1&b=2", "/q r", "z"]
+    for hostile in ("<a " * 200_000, "<a \"" * 200_001, "<a \">\" " * 200_000 + "'", "<!--" * 200_000, "<a href=" * 200_000):
+        begun = time.perf_counter()
+        warc.links_of(hostile), html_extraction.blocks_of(hostile)
+        assert time.perf_counter() - begun < 5
+    assert warc.links_of("<a href=1><a title='><a href=2>") == ["1", "2"]
+
+
+def test_damaged_warc_files_do_not_end_the_job(spark, tmp_path):
+    def record(name: str) -> bytes:
+        row = dict.fromkeys(warc.RECORD.names) | {"warc_type": "resource", "record_id": name, "block": b"b" * 5000}
+        return warc.serialised(row) + b"\r\n\r\n"
+
+    good = b"".join(gzip.compress(record(f"g{i}")) for i in range(300))
+    (tmp_path / "good.warc.gz").write_bytes(good)
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(record("c1")) + gzip.compress(record("c2"))[:-30])
+    (tmp_path / "short.warc").write_bytes(record("s1") + record("s2")[:-200])
+    (tmp_path / "empty.warc").write_bytes(b"")
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    named = {r["record_id"] for r in got if r["warc_type"] == "resource"}
+    assert named == {*(f"g{i}" for i in range(300)), "c1", "s1"}
+    damaged = [r["fields"]["Path"] for r in got if r["warc_type"] == warc.DAMAGED]
+    assert sorted(p.rsplit("/", 1)[1] for p in damaged) == ["cut.warc.gz", "short.warc"]
+
+
+def test_deeply_nested_articles_and_pages_without_semantic_tags(spark):
+    deep = "<article>" + "".join(f"<div class='part k{'abcdefghijklm'[i]}'>" for i in range(13)) + "<p>inside"
+    assert html_extraction._semantic_label(html_extraction.blocks_of(deep)[0]) == 1
+    unclosed = "<div class='far'>" + "<ul>" * 300 + "a</div><p>c"
+    assert html_extraction.blocks_of(unclosed)[-1].path == ("<p",)
+    rng = random.Random(3)
+    words = "river stone market evening letter garden winter report people answer window morning".split()
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = []
+    for i in range(60):
+        core = [text(rng.randint(25, 60)) for _ in range(rng.randint(3, 8))]
+        menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in words[:6])
+        body = "".join(f"<p>{c}</p>" for c in core)
+        page = f"<div class='menu'><ul>{menu}</ul></div><div class='content'>{body}</div><div class='footer'>(c) {i}</div>"
+        rows.append((i, "u", f"<html><body>{page}</body></html>", "\n".join(core)))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, truth string")
+    got = html_extraction.extract(table, html_extraction.fit(table), keep=["truth"]).collect()
+    kept = [set(r["text"].split("\n")) for r in got]
+    truth = [set(r["truth"].split("\n")) for r in got]
+    shared = sum(len(k & t) for k, t in zip(kept, truth))
+    assert shared >= 0.95 * sum(map(len, truth)) and shared >= 0.9 * sum(map(len, kept))
