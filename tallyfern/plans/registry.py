@@ -14,6 +14,7 @@ MODULES = (
     "window_queries",
     "record_queries",
     "file_queries",
+    "saved_queries",
 )
 
 

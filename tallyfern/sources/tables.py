@@ -12,7 +12,8 @@ import base64
 import json
 import uuid
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,8 @@ RECORDS = "_records"
 #: Filter bits for each key, least and most bits, and bits set for a key.
 BITS_PER_KEY, LEAST_BITS, MOST_BITS, HASHES = 10, 1 << 10, 1 << 23, 4
 ADDED, WHOLE = "added", "whole"
+#: Folders of the tables cut while :func:`cut_result` makes its table.
+_CUTS: ContextVar[list[str] | None] = ContextVar("cuts", default=None)
 
 
 def write_table(
@@ -51,9 +54,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (cuts := _CUTS.get()) is not None:
+        cuts.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_result(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` returns, cut; every table cut while it was made is
+    deleted once this one is written.  ``make`` must hand out no other table that reads
+    them.  If it fails they stay."""
+    token = _CUTS.set([])
+    try:
+        made = make()
+        within = _CUTS.get()
+    finally:
+        _CUTS.reset(token)
+    result = cut_lineage(made)
+    for path in within:
+        remove(spark, path)
+    return result
+
+
 def drop_cut(cut: DataFrame) -> None:
     """Delete the files of a table that :func:`cut_lineage` returned, once whatever
     reads it has been written."""
