@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfern.llm import bpe, decontamination, line_quality, pii, simhash
-from tallyfern.sources.tables import cut_lineage
+from tallyfern.sources.tables import cut_result, drop_cut
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -106,10 +106,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each result is cut into the shared folder."""
+    """All stages over the documents table; each result is cut into the shared folder.
+
+    What a stage cut on its way, and the result before it, are deleted once its own
+    result is written; the last stage's input stays, as the returned rows read it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut_lineage(docs)
-    return docs
+    *before, (_, last) = STAGES
+    for i, (_, stage) in enumerate(before):
+        given = docs
+        docs = cut_result(spark, lambda: stage(spark, given, sf_dir))
+        if i:
+            drop_cut(given)
+    return last(spark, docs, sf_dir)
