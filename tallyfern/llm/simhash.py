@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfern.llm.batches import field, map_rows, utf8
-from tallyfern.sources.tables import cut_lineage
+from tallyfern.sources.tables import cut_lineage, drop_cut
 
 #: Fixed by the contract: shingle words, seed, bits that linked fingerprints may differ in.
 SHINGLE_WORDS = 4
@@ -319,7 +319,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``a`` and ``root``, the smallest vertex of its component, for every vertex
     that is not a root itself, by alternating large-star and small-star passes.
 
-    Each pass is cut into the shared folder.  Stops when a pass changes nothing.
+    Each pass is cut into the shared folder and takes the place of the one before.
+    Stops when a pass changes nothing.
     """
 
     def clean(df: DataFrame) -> DataFrame:
@@ -333,7 +334,9 @@ def components(edges: DataFrame) -> DataFrame:
     current = cut_lineage(clean(edges))
     before = state(current)
     while before[0]:
-        current = cut_lineage(clean(_small_star(clean(_large_star(current)))))
+        passed = cut_lineage(clean(_small_star(clean(_large_star(current)))))
+        drop_cut(current)
+        current = passed
         after = state(current)
         if after == before:
             break
@@ -369,7 +372,6 @@ def near_duplicates(
         marked.groupBy("fingerprint").agg(F.min(doc_id).alias("least_id"))
     )
     rooted = components(link_edges(distinct.select("fingerprint"), radius))
-    rooted = cut_lineage(rooted)
     labelled = distinct.join(
         rooted.withColumnRenamed("a", "fingerprint"), "fingerprint", "left"
     ).withColumn("root", F.coalesce("root", "fingerprint"))

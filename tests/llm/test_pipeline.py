@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from pathlib import Path
 
 import corpus_pipeline
 import public_tokenizers
@@ -13,6 +14,7 @@ from llm import fixtures
 from llm.test_exact import brute_contamination, brute_fingerprint, brute_groups, brute_quality
 
 from tallyfern.llm import bpe, pii
+from tallyfern.sources.session import shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -75,8 +77,11 @@ def test_stages_over_their_predecessors(spark, folder, tmp_path):
         ids = encoder.encode_ordinary(text)
         assert row["n_tokens"] == len(ids) == len(row["ids"]) // 4
         assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    before = set(Path(shared_folder(spark)).glob("cut-*"))
     again = corpus_pipeline.run(spark, place)
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, final), key=str)
+    # only the table that the returned rows read is left
+    assert len(set(Path(shared_folder(spark)).glob("cut-*")) - before) == 1
 
 
 def test_empty_documents(spark, tmp_path):
