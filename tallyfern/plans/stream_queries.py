@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from tallyfern.operators.chunking import chunk_table, chunks_per_group
 from tallyfern.plans.table_queries import table
 from tallyfern.plans.text_queries import CHUNKS_SQL, DOCUMENT_COLUMNS
+from tallyfern.sources.paths import is_folder
 from tallyfern.sources.session import shared_folder
 from tallyfern.sources.tables import read_index, upsert_version
 from tallyfern.streaming import streams
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    """A table as a stream, stored as one file or as a folder of files of any name."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    if is_folder(spark, path):
+        return streams.read_stream(spark, path, schema, "*")
     return streams.read_stream(spark, sf_dir, schema, f"{name}.parquet")
 
 
