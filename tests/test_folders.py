@@ -25,7 +25,7 @@ def folders(spark, tmp_path_factory):
     return str(place)
 
 
-@pytest.mark.parametrize("name", ["stream_index", "stream_ask"])
+@pytest.mark.parametrize("name", ["stream_index", "stream_ask", "index_versions"])
 def test_stream_over_a_folder_equals_sql(spark, folders, name):
     found = entry.queries()[name](spark, folders)
     expected = duck(SMALL).sql(entry.oracle_sql()[name])
