@@ -164,13 +164,16 @@ def answer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Themes over the windows of every document, listed as ``document:window``."""
-    pieces = chunk_text(clean_text(F.col("text")))
-    listed = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("query_id"),
+    # The cleaned text is a column of its own: windows name it several times.
+    cleaned = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("query_id"), clean_text(F.col("text")).alias("clean")
+    )
+    listed = cleaned.select(
+        "query_id",
         F.transform(
-            pieces,
+            chunk_text(F.col("clean")),
             lambda p, i: F.concat_ws(
-                ":", F.col("doc_id").cast("string"), i.cast("string"), F.length(p).cast("string")
+                ":", F.col("query_id").cast("string"), i.cast("string"), F.length(p).cast("string")
             ),
         ).alias("evidence_ids"),
     )

@@ -128,3 +128,23 @@ def test_upsert_is_idempotent_and_can_replace_documents(spark):
     assert chunking.upsert_chunks(index, new).count() == 5
     replaced = chunking.upsert_chunks(index, new, replace_documents=True)
     assert sorted(r.complaint_id for r in replaced.collect()) == ["1", "3"]
+
+
+def test_clean_text_with_every_blank(spark):
+    """Blanks of all kinds alone, in runs, at the ends and beside redaction marks."""
+    rng = random.Random(5)
+    parts = [*tx.BLANKS, "  ", "XX", "xxx", "a", "–", "_"]
+    texts = ["".join(rng.choices(parts, k=40)) for _ in range(300)]
+    assert apply(spark, tx.clean_text, texts) == [python_clean(t) for t in texts]
+
+
+def test_windows_take_one_regex_pass(spark):
+    cut = spark.range(1).select(tx.chunk_text(F.col("id").cast("string")).alias("cut"))
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_themes_clean_a_text_once(spark):
+    from tallyfern.plans import ask_queries
+
+    plan = ask_queries.themes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("regexp_replace(translate(") <= 2  # with and without redaction
