@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, SQLTransformer
+import pyarrow as pa
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import (
+    CountVectorizerModel,
+    ElementwiseProduct,
+    Normalizer,
+    SQLTransformer,
+)
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,13 +44,71 @@ def _counter(text_column: str, dimensions: int) -> PipelineModel:
     return PipelineModel([words, slots])
 
 
-def _weigher() -> Pipeline:
-    return Pipeline(
-        stages=[
-            IDF(inputCol="_counts", outputCol="_weighted"),
-            Normalizer(p=2.0, inputCol="_weighted", outputCol="_unit"),
-        ]
+def _slots(dimensions: int) -> Callable[[Column], Column]:
+    """The filled slots of a list of words and the words in each, as sorted arrays.
+
+    The same counts as the model's own first stages, where a word's md5 is taken for
+    every time it occurs; here once for all rows of a batch.
+    """
+
+    def count(words: pa.Array) -> pa.Array:
+        n_words = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        digests = [hashlib.md5(w.encode()).digest()[:4] for w in coded.dictionary.to_pylist()]
+        slots = np.array([int.from_bytes(d, "big") % dimensions for d in digests], np.int64)
+        rows = np.repeat(np.arange(len(words)), n_words)
+        cells, counts = np.unique(
+            rows * dimensions + slots[coded.indices.to_numpy(zero_copy_only=False)], return_counts=True
+        )
+        ends = np.searchsorted(cells, np.arange(len(words) + 1) * dimensions).astype(np.int32)
+        return pa.StructArray.from_arrays(
+            [
+                pa.ListArray.from_arrays(ends, pa.array((cells % dimensions).astype(np.int32))),
+                pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32))),
+            ],
+            names=["slots", "counts"],
+        )
+
+    count.__annotations__ = {"words": pa.Array, "return": pa.Array}
+    return F.arrow_udf(count, "struct<slots:array<int>,counts:array<int>>")
+
+
+def _unit_of(idf: np.ndarray) -> Callable[[Column], Column]:
+    """The weighted vector of counted slots, scaled to length one."""
+
+    def weigh(counted: pa.Array) -> pa.Array:
+        slots, counts = counted.field(0), counted.field(1)
+        filled = np.zeros((len(counted), len(idf)))
+        rows = np.repeat(np.arange(len(counted)), slots.value_lengths().to_numpy(zero_copy_only=False))
+        places = slots.flatten().to_numpy(zero_copy_only=False)
+        filled[rows, places] = counts.flatten().to_numpy(zero_copy_only=False) * idf[places]
+        lengths = np.sqrt((filled * filled).sum(axis=1))
+        lengths[lengths == 0] = 1.0
+        filled /= lengths[:, None]
+        ends = np.arange(len(counted) + 1, dtype=np.int32) * len(idf)
+        return pa.ListArray.from_arrays(ends, pa.array(filled.astype(np.float32).ravel()))
+
+    weigh.__annotations__ = {"counted": pa.Array, "return": pa.Array}
+    return F.arrow_udf(weigh, T.ArrayType(T.FloatType()))
+
+
+def _counted(text: str, dimensions: int) -> Column:
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return _slots(dimensions)(words)
+
+
+def _fitted(counted: DataFrame, text_column: str, dimensions: int) -> tuple[PipelineModel, np.ndarray]:
+    """The encoder of counted rows: one counter for each dimension reaches the driver."""
+    seen = counted.select(F.explode("_counted.slots").alias("slot")).groupBy("slot").count()
+    frequency = np.zeros(dimensions)
+    for slot, n in seen.collect():
+        frequency[slot] = n
+    idf = np.log((counted.count() + 1.0) / (frequency + 1.0))
+    scale = ElementwiseProduct(
+        scalingVec=Vectors.dense(idf), inputCol="_counts", outputCol="_weighted"
     )
+    unit = Normalizer(p=2.0, inputCol="_weighted", outputCol="_unit")
+    return PipelineModel([*_counter(text_column, dimensions).stages, scale, unit]), idf
 
 
 def fit_hashed_tfidf(
@@ -49,12 +116,10 @@ def fit_hashed_tfidf(
 ) -> PipelineModel:
     """Hashed word counts weighted by inverse document frequency, unit length.
 
-    Fitting is one pass that keeps one counter per dimension.  All stages are
-    Spark ML's own, so the model saves and loads as any pipeline does.
+    All stages are Spark ML's own, so the model saves and loads as any pipeline does.
     """
-    counter = _counter(text_column, dimensions)
-    weigher = _weigher().fit(counter.transform(chunks))
-    return PipelineModel([*counter.stages, *weigher.stages])
+    counted = chunks.select(_counted(text_column, dimensions).alias("_counted"))
+    return _fitted(cut_lineage(counted), text_column, dimensions)[0]
 
 
 def fit_and_encode(
@@ -67,19 +132,31 @@ def fit_and_encode(
 
     The counts are written to the shared folder; fitting and encoding read them.
     """
-    counter = _counter(text_column, dimensions)
-    counted = cut_lineage(counter.transform(chunks).drop("_buckets"))
+    counted = cut_lineage(chunks.withColumn("_counted", _counted(text_column, dimensions)))
     if counted.isEmpty():
         raise ValueError("there is no chunk to encode")
-    weigher = _weigher().fit(counted)
-    encoded = weigher.transform(counted).select(
-        *chunks.columns, vector_to_array("_unit", "float32").alias(output)
-    )
-    return PipelineModel([*counter.stages, *weigher.stages]), encoded
+    model, idf = _fitted(counted, text_column, dimensions)
+    return model, counted.select(*chunks.columns, _unit_of(idf)(F.col("_counted")).alias(output))
+
+
+def _hashed_weights(model: PipelineModel) -> tuple[str, np.ndarray] | None:
+    """Text column and weights of a model that :func:`fit_and_encode` made; None for others."""
+    kinds = (SQLTransformer, CountVectorizerModel, ElementwiseProduct, Normalizer)
+    if [type(s) for s in model.stages] != list(kinds):
+        return None
+    idf = np.array(model.stages[2].getScalingVec())
+    statement = model.stages[0].getStatement()
+    named = re.search(r"regexp_extract_all\(lower\((\w+)\)", statement)
+    if not named or statement != _BUCKETS.format(text=named[1], dimensions=len(idf)):
+        return None
+    return named[1], idf
 
 
 def encode(chunks: DataFrame, model: PipelineModel, output: str = "embedding") -> DataFrame:
     """Rows plus their vector as ``array<float>``."""
+    if (hashed := _hashed_weights(model)) is not None:
+        text, idf = hashed
+        return chunks.withColumn(output, _unit_of(idf)(_counted(text, len(idf))))
     return model.transform(chunks).select(
         *chunks.columns, vector_to_array("_unit", "float32").alias(output)
     )

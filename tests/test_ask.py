@@ -341,3 +341,26 @@ def test_encoder_that_gives_another_number_of_vectors(spark):
         encoding.encode_with(texts, lambda: lambda batch: [[1.0]] * 7).collect()
     kept = encoding.encode_with(texts, lambda: lambda batch: [[len(t), 1.0] for t in batch]).collect()
     assert {tuple(r.embedding) for r in kept} == {(1.0, 1.0), (0.0, 1.0)}
+
+
+def test_counting_by_batch_equals_the_model(spark):
+    """The short way through a fitted encoder gives what its own Spark ML stages give."""
+    words = ["late", "fee", "Fee", "été", "ßtraße", "漢字", "x1", "--", "İ", "a_b", "½", ""]
+    rows = [(str(i), " ".join(words[(i * k) % len(words)] for k in range(i % 17))) for i in range(120)]
+    texts = spark.createDataFrame(rows, "id string, text string").repartition(3)
+    model, encoded = encoding.fit_and_encode(texts, dimensions=16)
+    long = model.transform(texts).select("id", encoding.vector_to_array("_unit", "float32").alias("v"))
+    expected = {r.id: np.array(r.v) for r in long.collect()}
+    assert encoding._hashed_weights(model) is not None
+    for found in (encoded, encoding.encode(texts, model)):
+        got = {r.id: np.array(r.embedding) for r in found.collect()}
+        assert got.keys() == expected.keys()
+        assert all(np.allclose(got[k], expected[k], rtol=3e-7, atol=0) for k in got)
+
+
+def test_no_word_is_hashed_in_the_scan(spark):
+    """An md5 for each word was most of the work of encoding."""
+    texts = spark.createDataFrame([("a", "late fee")], "id string, text string")
+    model, encoded = encoding.fit_and_encode(texts, dimensions=16)
+    for found in (encoded, encoding.encode(texts, model)):
+        assert "md5" not in found._jdf.queryExecution().optimizedPlan().toString()
