@@ -73,11 +73,13 @@ def _slots(dimensions: int) -> Callable[[Column], Column]:
     return F.arrow_udf(count, "struct<slots:array<int>,counts:array<int>>")
 
 
-def _unit_of(idf: np.ndarray) -> Callable[[Column], Column]:
-    """The weighted vector of counted slots, scaled to length one."""
+def unit_matrix(idf: np.ndarray) -> Callable[[pa.Array], np.ndarray]:
+    """A function from counted slots to weighted rows of length one, in single precision."""
 
-    def weigh(counted: pa.Array) -> pa.Array:
-        slots, counts = counted.field(0), counted.field(1)
+    def weigh(counted: pa.Array) -> np.ndarray:
+        if isinstance(counted, pa.ChunkedArray):
+            counted = counted.combine_chunks()
+        slots, counts = counted.flatten()
         filled = np.zeros((len(counted), len(idf)))
         rows = np.repeat(np.arange(len(counted)), slots.value_lengths().to_numpy(zero_copy_only=False))
         places = slots.flatten().to_numpy(zero_copy_only=False)
@@ -85,11 +87,22 @@ def _unit_of(idf: np.ndarray) -> Callable[[Column], Column]:
         lengths = np.sqrt((filled * filled).sum(axis=1))
         lengths[lengths == 0] = 1.0
         filled /= lengths[:, None]
-        ends = np.arange(len(counted) + 1, dtype=np.int32) * len(idf)
-        return pa.ListArray.from_arrays(ends, pa.array(filled.astype(np.float32).ravel()))
+        return filled.astype(np.float32)
+
+    return weigh
+
+
+def _unit_of(idf: np.ndarray) -> Callable[[Column], Column]:
+    """The vector of counted slots as a column."""
+    weigh = unit_matrix(idf)
 
-    weigh.__annotations__ = {"counted": pa.Array, "return": pa.Array}
-    return F.arrow_udf(weigh, T.ArrayType(T.FloatType()))
+    def vectors(counted: pa.Array) -> pa.Array:
+        rows = weigh(counted)
+        ends = np.arange(len(rows) + 1, dtype=np.int32) * len(idf)
+        return pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))
+
+    vectors.__annotations__ = {"counted": pa.Array, "return": pa.Array}
+    return F.arrow_udf(vectors, T.ArrayType(T.FloatType()))
 
 
 def _counted(text: str, dimensions: int) -> Column:
@@ -122,6 +135,18 @@ def fit_hashed_tfidf(
     return _fitted(cut_lineage(counted), text_column, dimensions)[0]
 
 
+def fit_and_count(
+    chunks: DataFrame, text_column: str = "text", dimensions: int = DIMENSIONS
+) -> tuple[PipelineModel, DataFrame, np.ndarray]:
+    """The fitted encoder, the chunks with their filled slots as ``_counted`` and the slots'
+    weights: a search reads a tenth of what vectors take, by :func:`unit_matrix`."""
+    counted = cut_lineage(chunks.withColumn("_counted", _counted(text_column, dimensions)))
+    if counted.isEmpty():
+        raise ValueError("there is no chunk to encode")
+    model, idf = _fitted(counted, text_column, dimensions)
+    return model, counted, idf
+
+
 def fit_and_encode(
     chunks: DataFrame,
     text_column: str = "text",
@@ -132,10 +157,7 @@ def fit_and_encode(
 
     The counts are written to the shared folder; fitting and encoding read them.
     """
-    counted = cut_lineage(chunks.withColumn("_counted", _counted(text_column, dimensions)))
-    if counted.isEmpty():
-        raise ValueError("there is no chunk to encode")
-    model, idf = _fitted(counted, text_column, dimensions)
+    model, counted, idf = fit_and_count(chunks, text_column, dimensions)
     return model, counted.select(*chunks.columns, _unit_of(idf)(F.col("_counted")).alias(output))
 
 

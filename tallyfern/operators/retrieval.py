@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,6 +136,7 @@ def _search_block(
     key: str,
     vector: str,
     cell: str | None,
+    matrix: Callable[[pa.Array], np.ndarray],
 ) -> DataFrame:
     """Keys and distances of the k nearest rows per question and task."""
     carried = [chunks.schema[key]]
@@ -154,7 +155,7 @@ def _search_block(
         for whole in batches:
             for start in range(0, whole.num_rows, step):
                 batch = whole.slice(start, step)
-                units = _unit(_matrix(batch.column(vector)))
+                units = _unit(matrix(batch.column(vector)).astype(np.float64, copy=False))
                 best.add(batch.select(names), units, _allowed(batch, block, cell))
         if best.rows is not None:
             asked = best.pairs["q"].astype(int)
@@ -219,6 +220,8 @@ def top_k(
     vector: str = "embedding",
     cell: str | None = None,
     block_bytes: int = BLOCK_BYTES,
+    stored: str | None = None,
+    matrix: Callable[[pa.Array], np.ndarray] = _matrix,
 ) -> DataFrame:
     """The ``k`` nearest chunks of every question, nearest first, exact.
 
@@ -233,8 +236,12 @@ def top_k(
     than one block are searched block after block, each result landing in the
     shared folder, so no size of either side has to fit a machine.
 
+    Chunks that have their vectors in another form name its column as ``stored`` and
+    give the function that makes a ``matrix`` of a batch of it; it is not returned.
+
     Distances are compared at nine decimals; equal ones rank by chunk key.
     """
+    stored = stored or vector
     columns = set(questions.columns)
     asked = questions.where(F.col(vector).isNotNull())
     if "question" in columns:
@@ -253,10 +260,10 @@ def top_k(
 
     def search(rows: list) -> DataFrame:
         block = _block_of(rows, vector, cell)
-        found = _search_block(chunks, block, query_field, chunk_key, vector, cell)
+        found = _search_block(chunks, block, query_field, chunk_key, stored, cell, matrix)
         best = _ranked(found, query_key, chunk_key, block.k)
         # Few winners are sent to the chunks; many meet them in a shuffle.
-        rest = [c for c in chunks.columns if c != vector]
+        rest = [c for c in chunks.columns if c != stored]
         return chunks.select(*rest).join(small_side(best), chunk_key).select(
             query_key, *rest, "distance", "rank"
         )
@@ -266,7 +273,7 @@ def top_k(
     per_block = max(1, block_bytes // (8 * max(1, first[0] if first else 1)))
     few = asked.limit(per_block + 1).collect()
     if not few:
-        rest = [F.col(c) for c in chunks.columns if c != vector]
+        rest = [F.col(c) for c in chunks.columns if c != stored]
         return chunks.where(F.lit(False)).select(
             F.lit(None).cast(query_field.dataType).alias(query_key),
             *rest,

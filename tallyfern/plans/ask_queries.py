@@ -79,11 +79,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _retrieved(
     spark: SparkSession, sf_dir: str, refusal: float = retrieval.REFUSAL_DISTANCE
 ) -> tuple[DataFrame, DataFrame]:
-    model, index = encoding.fit_and_encode(chunks(spark, sf_dir))
+    model, index, idf = encoding.fit_and_count(chunks(spark, sf_dir))
     asked = questions(spark, sf_dir)
     encoded = encoding.encode(asked.withColumnRenamed("question", "text"), model)
     encoded = encoded.withColumnRenamed("text", "question")
-    found = retrieval.retrieve(index, encoded, refusal_distance=refusal)
+    found = retrieval.retrieve(
+        index, encoded, refusal_distance=refusal, stored="_counted", matrix=encoding.unit_matrix(idf)
+    )
     return asked, found
 
 

@@ -364,3 +364,14 @@ def test_no_word_is_hashed_in_the_scan(spark):
     model, encoded = encoding.fit_and_encode(texts, dimensions=16)
     for found in (encoded, encoding.encode(texts, model)):
         assert "md5" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_search_of_counts_equals_search_of_vectors(spark):
+    rows = [(f"c{i:03d}", " ".join(f"w{(i * k) % 31}" for k in range(1, 2 + i % 11))) for i in range(200)]
+    texts = spark.createDataFrame(rows, "chunk_id string, text string").repartition(4)
+    model, counted, idf = encoding.fit_and_count(texts, dimensions=32)
+    asked = encoding.encode(texts.limit(20), model).select(F.col("chunk_id").alias("query_id"), "embedding")
+    long = retrieval.top_k(encoding.encode(texts, model), asked)
+    short = retrieval.top_k(counted, asked, stored="_counted", matrix=encoding.unit_matrix(idf))
+    assert short.columns == long.columns
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, long.collect()))
