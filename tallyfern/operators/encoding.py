@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -45,17 +46,20 @@ def _counter(text_column: str, dimensions: int) -> PipelineModel:
 
 
 def _slots(dimensions: int) -> Callable[[Column], Column]:
-    """The filled slots of a list of words and the words in each, as sorted arrays.
+    """The filled slots of words with a space between them, and the words in each, as
+    sorted arrays.
 
     The same counts as the model's own first stages, where a word's md5 is taken for
     every time it occurs; here once for all rows of a batch.
     """
 
-    def count(words: pa.Array) -> pa.Array:
+    def count(texts: pa.Array) -> pa.Array:
+        words = pc.split_pattern(pc.if_else(pc.equal(texts, ""), None, texts), " ")
         n_words = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
-        digests = [hashlib.md5(w.encode()).digest()[:4] for w in coded.dictionary.to_pylist()]
-        slots = np.array([int.from_bytes(d, "big") % dimensions for d in digests], np.int64)
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        digests = b"".join([hashlib.md5(w).digest() for w in distinct])
+        slots = np.frombuffer(digests, ">u4")[::4].astype(np.int64) % dimensions
         rows = np.repeat(np.arange(len(words)), n_words)
         cells, counts = np.unique(
             rows * dimensions + slots[coded.indices.to_numpy(zero_copy_only=False)], return_counts=True
@@ -69,7 +73,7 @@ def _slots(dimensions: int) -> Callable[[Column], Column]:
             names=["slots", "counts"],
         )
 
-    count.__annotations__ = {"words": pa.Array, "return": pa.Array}
+    count.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(count, "struct<slots:array<int>,counts:array<int>>")
 
 
@@ -106,8 +110,9 @@ def _unit_of(idf: np.ndarray) -> Callable[[Column], Column]:
 
 
 def _counted(text: str, dimensions: int) -> Column:
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return _slots(dimensions)(words)
+    # One string a row goes to Python, not one for each word.
+    spaced = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")
+    return _slots(dimensions)(F.trim(spaced))
 
 
 def _fitted(counted: DataFrame, text_column: str, dimensions: int) -> tuple[PipelineModel, np.ndarray]:
