@@ -391,3 +391,12 @@ def test_words_go_to_python_as_one_string_a_row(spark):
         assert dict(zip(filled["slots"], filled["counts"])) == {
             int(i): int(n) for i, n in zip(r["_counts"].indices, r["_counts"].values)
         }
+
+
+def test_letters_are_counted_text_by_text():
+    from tallyfern.plans import ask_queries
+
+    texts = ["aeiou nst", "", "Sea sand", "\u00e4 \U0001f600 e"]
+    assert ask_queries._load_letter_counter()(texts) == [
+        [t.count(c) for c in ask_queries.LETTERS] for t in texts
+    ]
